@@ -162,9 +162,9 @@ def latency_report(log: DataFrame) -> DataFrame:
         .groupBy("camera_id", "lag_status")
         .agg(
             _n().alias("frames"),
-            F.round(F.avg("e2e_ms"), 6).alias("avg_e2e_ms"),
+            F.round(F.avg("e2e_ms"), 9).alias("avg_e2e_ms"),
             F.round(F.max("e2e_ms"), 6).alias("max_e2e_ms"),
-            F.round(F.avg("fps"), 6).alias("avg_fps"),
+            F.round(F.avg("fps"), 9).alias("avg_fps"),
         )
     )
 

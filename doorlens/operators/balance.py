@@ -9,6 +9,7 @@ from doorlens.config import BalanceConfig
 from doorlens.functions.geometry import c, lit
 from doorlens.functions.hashing import draw, u01
 from doorlens.operators.ranking import hash_rank, two_level_prefix
+from doorlens.operators.settle import settle
 
 # Input of all operators here: one row per image with image_id, scene, open_cnt, close_cnt, is_error, is_type_a and
 # close_near_edge (any close box near the frame edge).
@@ -72,7 +73,7 @@ def fill_close(images: DataFrame, cfg: BalanceConfig = BalanceConfig()) -> DataF
     top = top.join(used, "scene", "left")
     top = top.filter(c("_rn") <= F.lit(cfg.scene_cap) - F.coalesce("used", F.lit(0))).drop("_rn", "used")
     run = two_level_prefix(
-        top,
+        settle(top),  # at most scene_cap rows per scene
         [],
         [-F.floor(c("priority") * 200)],
         [F.desc("priority"), c("image_id")],
@@ -92,8 +93,9 @@ def cap_background(images: DataFrame, limit: Column, cfg: BalanceConfig = Balanc
 def balance(images: DataFrame, cfg: BalanceConfig = BalanceConfig()) -> DataFrame:
     """Whole balance job: open copies, filled close-only images and capped background, tagged by ``role``."""
     cols = ["image_id", "version", "scene", "open_cnt", "close_cnt", "is_error", "is_type_a", "replica_id"]
+    images = settle(images.select(*cols[:-1], "close_near_edge"))  # read by every branch below
     opens = oversample_open(images, cfg)
-    close = fill_close(images, cfg).withColumn("replica_id", F.lit(1))
+    close = settle(fill_close(images, cfg)).withColumn("replica_id", F.lit(1))
     n_open = images.filter(c("open_cnt") > 0).agg(F.coalesce(F.sum(copies(cfg).cast("bigint")), F.lit(0)))
     n_close = close.agg(F.count(F.lit(1)))
     cap = F.floor((n_open.scalar() + n_close.scalar()) * lit(cfg.max_bg_ratio))

@@ -11,7 +11,11 @@ from typing import Any, Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
+
+
+def column_names(schema: str) -> list[str]:
+    """Column names of a flat schema text."""
+    return [part.split()[0] for part in schema.split(",")]
 
 
 def ordered_fold(
@@ -20,14 +24,14 @@ def ordered_fold(
     order: Sequence[str],
     start: Callable[[], Any],
     step: Callable[[Any, Any], list[tuple]],
-    schema: T.StructType,
+    schema: str,
     group: str | None = None,
 ) -> DataFrame:
     """Fold sorted rows per key; ``step(state, row)`` returns output rows and changes the state in place.
 
     With ``group`` the step receives the list of consecutive rows that share that column (one frame).
     """
-    names = [f.name for f in schema.fields]
+    names = column_names(schema)
     keys = list(keys)
 
     def frame_of(rows: list[tuple]) -> pd.DataFrame:

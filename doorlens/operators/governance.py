@@ -7,7 +7,6 @@ from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from doorlens.config import GateConfig
 from doorlens.functions.geometry import c, lit
@@ -17,7 +16,7 @@ from doorlens.operators.audit import fitness
 from doorlens.operators.folds import ordered_fold
 from doorlens.operators.repair import fields_of
 
-PROMOTION_SCHEMA = T.StructType.fromDDL(
+PROMOTION_SCHEMA = (
     "experiment string, run_id bigint, mode string, fitness double, open_recall double, ghost_fp int, promoted boolean, "
     "reason string, parent_run bigint"
 )
@@ -56,7 +55,7 @@ def promotion_history(runs: DataFrame, cfg: GateConfig = GateConfig()) -> DataFr
     return out
 
 
-ABSORB_SCHEMA = T.StructType.fromDDL(
+ABSORB_SCHEMA = (
     "experiment string, run_id bigint, map50 double, retry_map50 double, outcome string, best_map50 double"
 )
 

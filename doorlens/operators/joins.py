@@ -100,9 +100,8 @@ def exclude_contained(cands: DataFrame, pool: DataFrame) -> DataFrame:
     """
     n = F.length("file_name")
     lengths = cands.select(n.alias("l")).distinct().agg(F.collect_set("l").alias("ls"))  # at most 255 numbers
-    names = pool.select("file_name").distinct()
-    d = names.withColumn("_ls", F.filter(lengths.scalar(), lambda l: l <= n))
-    d = d.select("file_name", F.explode("_ls").alias("_l"))
+    names = pool.select("file_name").distinct().withColumn("_ls", lengths.scalar())
+    d = names.select("file_name", F.explode("_ls").alias("_l")).filter(c("_l") <= n)
     d = d.select(F.explode(F.transform(F.sequence(F.lit(1), n - c("_l") + 1), lambda i: F.substr(c("file_name"), i, c("_l")))).alias("file_name"))
     return cands.join(d, "file_name", "left_anti")
 

@@ -223,7 +223,8 @@ def _ranked_predictions(gt: DataFrame, pred: DataFrame, ious: Sequence[float]) -
 
 def _average_precision(points: DataFrame, keys: Sequence[str]) -> DataFrame:
     """101-point interpolated AP from ``q`` (recall in whole percent) and ``p`` (best precision there)."""
-    grid = points.select(*keys).distinct().withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(100))).cast("bigint"))
+    steps = F.sequence(F.lit(0).cast("bigint"), F.lit(100).cast("bigint"))
+    grid = points.select(*keys).distinct().withColumn("q", F.explode(steps))
     full = grid.join(points, [*keys, "q"], "left")
     right = Window.partitionBy(*keys).orderBy("q").rowsBetween(0, Window.unboundedFollowing)
     full = full.withColumn("p", F.coalesce(F.max("p").over(right), lit(0)))

@@ -98,8 +98,8 @@ def route_by_embedding(
 ) -> DataFrame:
     """Softmax over scaled cosine to the prototypes (in label order): the first decides positive, the second negative."""
     table = protos.agg(F.array_sort(F.collect_list(F.struct("label", "prototype"))))  # one row per prompt
-    d = items.withColumn("_p", F.transform(table.scalar(), lambda e: e["prototype"]))
-    scores = F.transform("_p", lambda p: cosine(c("embedding"), p) * lit(scale))
+    d = items.withColumn("_p", table.scalar())
+    scores = F.transform("_p", lambda e: cosine(c("embedding"), e["prototype"]) * lit(scale))
     d = d.withColumn("probs", softmax(scores)).drop("_p")
     route = F.when(c("probs")[0] > lit(positive), "positive").when(c("probs")[1] > lit(negative), "negative")
     return d.withColumn("route", route.otherwise("dropped"))

@@ -10,15 +10,19 @@ from doorlens.functions.geometry import c, lit
 from doorlens.functions.hashing import draw, hash_bucket
 from doorlens.functions.text import scene_key
 from doorlens.operators.ranking import hash_rank, two_level_prefix
+from doorlens.operators.settle import settle
 
 
 def with_scene(images: DataFrame) -> DataFrame:
     return images.withColumn("scene", scene_key("file_name"))
 
 
-def version_seeds(images: DataFrame, seed: int) -> DataFrame:
-    """Seed per version: base plus the version's position. One row per version, a directory-sized table."""
-    names = images.groupBy("version").agg(F.count(F.lit(1)).alias("v_images"))
+def version_seeds(units: DataFrame, seed: int) -> DataFrame:
+    """Image and scene counts and the seed of each version (base plus the version's position in name order).
+
+    ``units`` has one row per version and scene; the result one per version, as many as there are directories.
+    """
+    names = units.groupBy("version").agg(F.sum("n").alias("v_images"), F.count(F.lit(1)).alias("n_scenes"))
     pos = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("version"))
     return names.withColumn("v_seed", (F.lit(seed) + pos - 1).cast("bigint"))
 
@@ -29,10 +33,8 @@ def scene_split(images: DataFrame, cfg: SplitConfig = SplitConfig()) -> DataFram
     Input has ``version``, ``scene``, ``image_id``. The drawing order is a hash, so ranks are computed per hash bucket
     and a version of any size stays spread over many tasks.
     """
-    seeds = version_seeds(images, cfg.seed)
-    units = images.groupBy("version", "scene").agg(F.count(F.lit(1)).alias("n"))
-    n_scenes = units.groupBy("version").agg(F.count(F.lit(1)).alias("n_scenes"))
-    info = seeds.join(n_scenes, "version")  # one row per version
+    units = settle(images.groupBy("version", "scene").agg(F.count(F.lit(1)).alias("n")))
+    info = version_seeds(units, cfg.seed)
     units = units.join(info, "version").withColumn("_d", draw(c("v_seed"), "version", "scene"))
     ranked = hash_rank(units, ["version"], "_d", "rk", ["scene"])
     take = F.greatest(F.lit(1), F.floor(c("n_scenes") * lit(cfg.ratio)))
@@ -55,8 +57,8 @@ def open_safeguard(split: DataFrame, cfg: SplitConfig = SplitConfig()) -> DataFr
     count before it is below target and the train count after it is not below the floor, for it and all before it.
     """
     is_open = c("open_cnt") > 0
-    scenes = split.groupBy("version", "scene", "split").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(is_open).alias("opens")
+    scenes = settle(
+        split.groupBy("version", "scene", "split").agg(F.count(F.lit(1)).alias("n"), F.count_if(is_open).alias("opens"))
     )
     totals = scenes.groupBy("version").agg(
         F.sum("opens").alias("all_open"),

@@ -130,7 +130,7 @@ def _(t):
 
 @query(
     "latency_report",
-    """SELECT camera_id, lag_status, COUNT(*) AS frames, ROUND(AVG(e), 6) AS avg_e2e_ms, ROUND(MAX(e), 6) AS max_e2e_ms, ROUND(AVG(CASE WHEN e > 0 THEN 1000.0::DOUBLE / e ELSE 0 END), 6) AS avg_fps
+    """SELECT camera_id, lag_status, COUNT(*) AS frames, ROUND(AVG(e), 9) AS avg_e2e_ms, ROUND(MAX(e), 6) AS max_e2e_ms, ROUND(AVG(CASE WHEN e > 0 THEN 1000.0::DOUBLE / e ELSE 0 END), 9) AS avg_fps
 FROM (SELECT camera_id, e, CASE WHEN e > 100 THEN 'CRIT' WHEN e > 50 THEN 'WARN' ELSE 'OK' END AS lag_status FROM (SELECT camera_id, capture_ms + infer_ms + logic_ms + render_ms AS e FROM {latency_log})) GROUP BY 1, 2""",
 )
 def _(t):

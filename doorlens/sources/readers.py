@@ -6,7 +6,6 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from doorlens.functions.geometry import c
 from doorlens.functions.text import stem
@@ -17,11 +16,11 @@ VIDEO_EXTS = ("mp4", "avi", "mkv")
 # Files of a review package that are not labels.
 NOT_LABELS = ("train.txt", "val.txt", "test.txt", "obj.names", "obj.data", "classes.txt")
 
-DETECTION_SCHEMA = T.StructType.fromDDL(
+DETECTION_SCHEMA = (
     "camera_id bigint, frame_seq bigint, timestamp_ms bigint, det_no int, label string, conf double, "
     "x1 int, y1 int, x2 int, y2 int, frame_w int, frame_h int"
 )
-RUN_SCHEMA = T.StructType.fromDDL(
+RUN_SCHEMA = (
     "timestamp string, dataset string, dataset_hash string, base_model string, "
     "metrics struct<mAP50:double,mAP50_95:double,precision:double,recall:double,open_recall:double>, save_dir string"
 )
@@ -29,7 +28,7 @@ FN_FIELDS = (
     "array<struct<image_name:string,gt_idx:bigint,max_open_iou:double,max_open_conf:double,max_any_iou:double,"
     "max_any_cls:int>>"
 )
-FN_SCHEMA = T.StructType.fromDDL(", ".join(f"Type_{x} {FN_FIELDS}" for x in "ABCD"))
+FN_SCHEMA = (", ".join(f"Type_{x} {FN_FIELDS}" for x in "ABCD"))
 
 
 def _has_ext(path: Column, exts: Sequence[str]) -> Column:
@@ -121,7 +120,7 @@ def image_dims(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return d.select(c("image.origin").alias("path"), c("image.width").alias("width"), c("image.height").alias("height"))
 
 
-def read_detections_stream(spark: SparkSession, path: str, schema: T.StructType = DETECTION_SCHEMA, fmt: str = "json", max_files: int | None = None) -> DataFrame:
+def read_detections_stream(spark: SparkSession, path: str, schema: str = DETECTION_SCHEMA, fmt: str = "json", max_files: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema).format(fmt)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)

@@ -14,12 +14,12 @@ from typing import Any, Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from doorlens.config import AlertConfig, DoorConfig, TrackerConfig, WarningConfig
 from doorlens.functions.geometry import c
 from doorlens.operators import stateful as S
+from doorlens.operators.folds import column_names
 from doorlens.operators.repair import illumination_band
 
 
@@ -46,13 +46,13 @@ def stream_fold(
     order: Sequence[str],
     start: Callable[[], Any],
     step: Callable[[Any, Any], list[tuple]],
-    schema: T.StructType,
+    schema: str,
     load: Callable[[dict], Any],
     group: bool = False,
 ) -> DataFrame:
     """``ordered_fold`` over a stream. Output has the batch columns and ``late_rows``."""
-    out_schema = T.StructType([*schema.fields, T.StructField("late_rows", T.LongType())])
-    names = [f.name for f in out_schema.fields]
+    out_schema = f"{schema}, late_rows bigint"
+    names = column_names(out_schema)
     frame = order[0]
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
