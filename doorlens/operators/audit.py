@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from doorlens.functions.geometry import c, lit
 from doorlens.functions.text import fps
-from doorlens.operators.repair import boxes_per_image, fields_of
+from doorlens.operators.repair import boxes_per_image, fields_of, once
 
 
 def _n() -> Column:
@@ -59,8 +59,7 @@ def audit_versions(images: DataFrame, boxes: DataFrame) -> DataFrame:
 
 def label_stats(images: DataFrame, lines: DataFrame) -> DataFrame:
     """Per version from raw label lines; every class but 0 counts as close here."""
-    p = fields_of()
-    d = lines.select("image_id", p.alias("_p"))
+    d = once(lines.select("image_id", "line"), _p=fields_of())
     d = d.select(
         "image_id",
         (F.size("_p") >= 5).alias("box"),
@@ -68,7 +67,7 @@ def label_stats(images: DataFrame, lines: DataFrame) -> DataFrame:
         F.try_element_at("_p", F.lit(4)).try_cast("double").alias("w"),
         F.try_element_at("_p", F.lit(5)).try_cast("double").alias("h"),
     )
-    d = d.withColumn("box", c("box") & c("cls").isNotNull())
+    d = once(d.select("image_id", "box", "cls", "w", "h"), _box=c("box") & c("cls").isNotNull()).withColumn("box", c("_box"))
     per_image = d.groupBy("image_id").agg(
         F.count_if("box").alias("boxes"),
         F.count_if(c("box") & (c("cls") == 0)).alias("open"),

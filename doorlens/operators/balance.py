@@ -59,6 +59,10 @@ def fill_close(images: DataFrame, cfg: BalanceConfig = BalanceConfig()) -> DataF
     Skipping a scene at its cap does not depend on the box count, so: rank inside the scene first (Spark keeps only
     the first ``scene_cap`` rows of a scene before the shuffle), then a running close count over priority ranges.
     """
+    return _fill_close(settle(images), cfg)
+
+
+def _fill_close(images: DataFrame, cfg: BalanceConfig) -> DataFrame:
     copies_n = copies(cfg).cast("bigint")
     kept = images.filter(c("open_cnt") > 0)
     need = kept.agg(
@@ -95,7 +99,7 @@ def balance(images: DataFrame, cfg: BalanceConfig = BalanceConfig()) -> DataFram
     cols = ["image_id", "version", "scene", "open_cnt", "close_cnt", "is_error", "is_type_a", "replica_id"]
     images = settle(images.select(*cols[:-1], "close_near_edge"))  # read by every branch below
     opens = oversample_open(images, cfg)
-    close = settle(fill_close(images, cfg)).withColumn("replica_id", F.lit(1))
+    close = settle(_fill_close(images, cfg)).withColumn("replica_id", F.lit(1))
     n_open = images.filter(c("open_cnt") > 0).agg(F.coalesce(F.sum(copies(cfg).cast("bigint")), F.lit(0)))
     n_close = close.agg(F.count(F.lit(1)))
     cap = F.floor((n_open.scalar() + n_close.scalar()) * lit(cfg.max_bg_ratio))

@@ -14,7 +14,7 @@ from doorlens.functions.hashing import content_hash
 from doorlens.functions.text import basename, fmt_run_time
 from doorlens.operators.audit import fitness
 from doorlens.operators.folds import ordered_fold
-from doorlens.operators.repair import fields_of
+from doorlens.operators.repair import fields_of, once
 
 PROMOTION_SCHEMA = (
     "experiment string, run_id bigint, mode string, fitness double, open_recall double, ghost_fp int, promoted boolean, "
@@ -146,9 +146,9 @@ def assert_class_map(df: DataFrame) -> DataFrame:
 def line_violations(lines: DataFrame, nc: int = 2) -> DataFrame:
     """One row per broken rule and line: bom, field_count, bad_number, class_range, coord_range."""
     text = c("line")
-    p = fields_of("line")
-    nums = F.transform(p, lambda x: x.try_cast("double"))
-    d = lines.select("image_id", "line_no", text.startswith("\ufeff").alias("bom"), p.alias("_p"), nums.alias("_n"), (F.trim(text) == "").alias("_blank"))
+    d = lines.select("image_id", "line_no", "line", text.startswith("\ufeff").alias("bom"), (F.trim(text) == "").alias("_blank"))
+    d = once(d, _p=fields_of("line"))
+    d = once(d, _n=F.transform("_p", lambda x: x.try_cast("double")))
     wrong = F.size("_p") != 5
     unread = F.exists("_n", lambda x: x.isNull())
     cls = c("_n")[0].try_cast("bigint")

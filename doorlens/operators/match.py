@@ -17,6 +17,7 @@ from doorlens.functions import geometry as G
 from doorlens.functions.geometry import c, lit
 from doorlens.functions.hashing import draw
 from doorlens.operators.ranking import two_level_prefix
+from doorlens.operators.settle import settle
 
 CROWDED = 2048  # boxes per image from which the grid is used
 CROWDED_MAX = 10_000  # at most this many images carry a grid size (bounds the broadcast); others stay exact without
@@ -57,9 +58,7 @@ def overlaps(gt: DataFrame, pred: DataFrame) -> DataFrame:
     # a pair is reported only by the cell that holds the corner of its intersection
     home = (_cell(F.greatest("gx1", "px1")) == c("_gx")) & (_cell(F.greatest("gy1", "py1")) == c("_gy"))
     pairs = a.join(b, ["image_id", "_gx", "_gy"]).filter(touching & home)
-    return pairs.select("image_id", "box_id", "gt_cls", "det_id", "pred_cls", "conf", G.iou(ga, pb).alias("iou")).filter(
-        c("iou") > 0
-    )
+    return pairs.select("image_id", "box_id", "gt_cls", "det_id", "pred_cls", "conf", G.iou(ga, pb).alias("iou"))
 
 
 def match_boxes(gt: DataFrame, pred: DataFrame, iou_min: float = 0.0) -> DataFrame:
@@ -177,7 +176,7 @@ def claims(pairs: DataFrame, iou_min: float) -> DataFrame:
 def confusion(gt: DataFrame, pred: DataFrame, conf: float = 0.25, iou: float = 0.45) -> DataFrame:
     """Counts per (true class, predicted class); -1 is background on either side."""
     kept = pred.filter(c("conf") >= lit(conf))
-    won = claims(overlaps(gt, kept), iou)
+    won = settle(claims(overlaps(gt, kept), iou))  # read three times below
     n = F.count(F.lit(1))
     hit = won.groupBy("gt_cls", "pred_cls").agg(n.alias("n"))
     # background = all boxes or predictions of a class minus those that were matched
@@ -191,9 +190,9 @@ def confusion(gt: DataFrame, pred: DataFrame, conf: float = 0.25, iou: float = 0
     return cells.groupBy("gt_cls", "pred_cls").agg(F.sum("n").alias("n")).filter(c("n") > 0)
 
 
-def _ranked_predictions(gt: DataFrame, pred: DataFrame, ious: Sequence[float]) -> DataFrame:
-    """Predictions with their rank in the class by confidence and cumulative true positives per IoU threshold."""
-    pairs = overlaps(gt, pred).filter(c("gt_cls") == c("pred_cls"))
+def _flagged_predictions(pairs: DataFrame, pred: DataFrame, ious: Sequence[float]) -> DataFrame:
+    """Predictions with bit i of ``mask`` set where they are a true positive at the i-th IoU threshold."""
+    pairs = pairs.filter(c("gt_cls") == c("pred_cls"))
     best = F.max(F.struct("iou", (-c("box_id")).alias("nb"), "conf")).alias("m")
     taken = pairs.groupBy("image_id", "det_id").agg(best).filter(c("m.iou") >= lit(min(ious)))
     # every threshold a claim reaches: at most len(ious) rows per matched prediction
@@ -204,8 +203,12 @@ def _ranked_predictions(gt: DataFrame, pred: DataFrame, ious: Sequence[float]) -
         F.bit_or(F.expr("shiftleft(1, t)")).alias("mask")
     )
     d = pred.select("image_id", "det_id", "cls_id", "conf").join(mask, ["image_id", "det_id"], "left")
-    d = d.withColumn("mask", F.coalesce(c("mask"), F.lit(0)))
-    d = d.withColumn("_h", draw("ap", "image_id", "det_id"))
+    return settle(d.withColumn("mask", F.coalesce(c("mask"), F.lit(0))))
+
+
+def _ranked_predictions(flagged: DataFrame, ious: Sequence[float]) -> DataFrame:
+    """Adds the rank in the class by confidence and cumulative true positives per IoU threshold."""
+    d = flagged.withColumn("_h", draw("ap", "image_id", "det_id"))
     sums = {"rank": F.lit(1).cast("bigint")}
     for i in range(len(ious)):
         sums[f"tp{i}"] = F.getbit(c("mask"), F.lit(i)).cast("bigint")
@@ -233,7 +236,8 @@ def _average_precision(points: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def detection_metrics(gt: DataFrame, pred: DataFrame, ious: Sequence[float] = COCO_IOUS) -> DataFrame:
     """Per class: counts, precision, recall and AP at the first threshold, AP averaged over all thresholds."""
-    ranked = _ranked_predictions(gt, pred, ious)
+    flagged = _flagged_predictions(overlaps(gt, pred), pred, ious)
+    ranked = _ranked_predictions(flagged, ious)
     totals = gt.groupBy("cls_id").agg(F.count(F.lit(1)).alias("n_gt"))
     per_t = F.array(
         *[F.struct(F.lit(i).alias("t"), c(f"tp{i}").alias("k"), F.getbit(c("mask"), F.lit(i)).alias("is_tp")) for i in range(len(ious))]
@@ -247,7 +251,8 @@ def detection_metrics(gt: DataFrame, pred: DataFrame, ious: Sequence[float] = CO
     ap = ap.groupBy("cls_id").agg(
         F.max(F.when(c("t") == 0, c("ap"))).alias("ap50"), (F.sum("ap") / lit(len(ious))).alias("ap50_95")
     )
-    counts = ranked.groupBy("cls_id").agg(F.count(F.lit(1)).alias("n_pred"), F.max("tp0").alias("tp"))
+    first = F.getbit(c("mask"), F.lit(0)).cast("bigint")
+    counts = flagged.groupBy("cls_id").agg(F.count(F.lit(1)).alias("n_pred"), F.sum(first).alias("tp"))
     out = totals.join(counts, "cls_id", "left").join(ap, "cls_id", "left")
     out = out.na.fill(0, ["n_pred", "tp"]).na.fill(0.0, ["ap50", "ap50_95"])
     return out.select(
@@ -269,7 +274,8 @@ def threshold_sweep(gt: DataFrame, pred: DataFrame, confs: Sequence[float] = SWE
     one ranking gives all cut-offs: rows are counted by the highest cut-off they pass and summed from the top.
     """
     cuts = sorted(confs)
-    ranked = _ranked_predictions(gt, pred, [iou])
+    pairs = settle(overlaps(gt, pred))
+    ranked = _ranked_predictions(_flagged_predictions(pairs, pred, [iou]), [iou])
     level = sum((F.when(c("conf") >= lit(t), 1).otherwise(0) for t in cuts), F.lit(0))
     totals = gt.groupBy("cls_id").agg(F.count(F.lit(1)).alias("n_gt"))
     q = F.when(F.getbit(c("mask"), F.lit(0)) == 1, F.expr("100 * tp0 div n_gt"))
@@ -302,7 +308,7 @@ def threshold_sweep(gt: DataFrame, pred: DataFrame, confs: Sequence[float] = SWE
         F.avg("r").alias("mr"),
         F.avg("ap").alias("map50"),
     )
-    won = claims(overlaps(gt, pred), iou).filter((c("gt_cls") == CLOSE) & (c("pred_cls") == OPEN))
+    won = claims(pairs, iou).filter((c("gt_cls") == CLOSE) & (c("pred_cls") == OPEN))
     wrong = (
         won.withColumn("level", level)
         .filter(c("level") >= 1)
@@ -338,7 +344,7 @@ def residual_items(
     Misses and background hits on an image that truly holds both classes go to review instead.
     """
     kept = pred.filter(c("conf") >= lit(conf))
-    pairs = overlaps(gt, kept).filter(c("gt_cls") == c("pred_cls"))
+    pairs = settle(overlaps(gt, kept).filter(c("gt_cls") == c("pred_cls")))
     boxes = gt.select("image_id", "box_id", lit(0).alias("iou")).unionByName(pairs.select("image_id", "box_id", "iou"))
     boxes = boxes.groupBy("image_id", "box_id").agg(F.max("iou").alias("iou"))
     kind = F.when(c("iou") < lit(iou), "miss_recovery").when(c("iou") < lit(low_iou), "box_refinement")

@@ -10,11 +10,19 @@ from pyspark.sql import functions as F
 from doorlens.config import DEFAULT_CONF, DoorConfig, FrameGateConfig
 from doorlens.functions import geometry as G
 from doorlens.functions.geometry import c, lit
-from doorlens.functions.text import box_line, strip_bom
+from doorlens.functions.text import box_line
 
 
 def fields_of(line="line") -> Column:
-    return F.split(F.trim(F.regexp_replace(strip_bom(line), r"\s+", " ")), " ")
+    """Blank-separated fields of a label line; blanks around it and a byte-order mark are ignored."""
+    return F.split(F.trim(c(line), F.lit(" \t\r\n\ufeff")), r"\s+")
+
+
+def once(df: DataFrame, **exprs: Column) -> DataFrame:
+    """Adds columns that are computed exactly once per row. Catalyst would inline a plain projection into every later
+    use, which repeats string parsing; a one-element generator is not inlined."""
+    row = F.struct(*[e.alias(n) for n, e in exprs.items()])
+    return df.select("*", F.explode(F.array(row)).alias("_once")).select("*", *[c(f"_once.{n}").alias(n) for n in exprs]).drop("_once")
 
 
 def _number(x: Column) -> Column:
@@ -25,9 +33,10 @@ def parse_labels(
     lines: DataFrame, min_area: float = 5e-5, min_dim: float = 0.008, on_error: str = "quarantine"
 ) -> DataFrame:
     """Label lines to boxes. Bad lines are left out; ``on_error="stop"`` also drops all later lines of that image."""
-    d = lines.withColumn("_p", fields_of()).filter(F.size("_p") >= 5)
-    cls = c("_p")[0].try_cast("int")
-    nums = [_number(c("_p")[i]) for i in range(1, 5)]
+    d = once(lines, _p=fields_of()).filter(F.size("_p") >= 5)
+    numbers = {f"_{i}": _number(c("_p")[i]) for i in range(1, 5)}
+    d = once(d, _cls=c("_p")[0].try_cast("int"), _n=F.size("_p"), **numbers)
+    cls, nums = c("_cls"), [c(n) for n in numbers]
     good = cls.isin(0, 1)
     for n in nums:
         good = good & n.isNotNull()
@@ -46,7 +55,7 @@ def parse_labels(
         cy.alias("cy"),
         w.alias("w"),
         h.alias("h"),
-        (F.size("_p") > 5).alias("is_polygon"),
+        (c("_n") > 5).alias("is_polygon"),
     )
     d = d.withColumn("area", c("w") * c("h"))
     d = d.filter((c("area") >= lit(min_area)) & (F.least("w", "h") >= lit(min_dim)))
@@ -59,14 +68,16 @@ def repair_labels(lines: DataFrame, max_cls: int = 1) -> DataFrame:
     Keeps one row per input line, so both the clean text (``clean is not null``) and the change report
     (``changed_images``) come from the same narrow pass.
     """
-    p = F.split(F.trim(F.regexp_replace(c("line"), r"\s+", " ")), " ")
+    d = once(lines, _p=F.split(F.trim("line"), r"\s+"))
+    p = c("_p")
     cls = _number(p[0]).try_cast("bigint")
     keep = F.coalesce(cls <= max_cls, F.lit(False)) & (F.trim(c("line")) != "")
     rest = F.concat_ws(" ", F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))))
-    clean = F.when(keep, F.concat(cls.cast("string"), F.lit(" "), rest))
+    d = once(d, clean=F.when(keep, F.concat(cls.cast("string"), F.lit(" "), rest)))
+    clean = c("clean")
     blank = F.trim(c("line")) == ""
     changed = ~blank & (clean.isNull() | (clean != c("line")))
-    return lines.select("image_id", "line_no", "line", clean.alias("clean"), changed.alias("changed"))
+    return d.select("image_id", "line_no", "line", clean, changed.alias("changed"))
 
 
 def changed_images(repaired: DataFrame) -> DataFrame:
@@ -77,11 +88,12 @@ def changed_images(repaired: DataFrame) -> DataFrame:
 
 def repair_polygons(lines: DataFrame) -> DataFrame:
     """Polygon lines become box lines; other lines are trimmed."""
-    p = fields_of()
-    coords = F.transform(F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), lambda x: x.try_cast("double"))
-    d = lines.select("image_id", "line_no", "line", p.alias("_p"), coords.alias("_c"))
-    box = G.to_centre(G.polygon_to_box(c("_c")))
+    d = once(lines.select("image_id", "line_no", "line"), _p=fields_of())
     fixed = F.size("_p") > 5
+    coords = F.transform(F.slice("_p", 2, F.greatest(F.size("_p") - 1, F.lit(0))), lambda x: x.try_cast("double"))
+    d = once(d, _c=F.when(fixed, coords))
+    d = once(d, **{f"_{n}": v for n, v in G.polygon_to_box(c("_c"))._asdict().items()})
+    box = G.to_centre(G.corners("_x1", "_y1", "_x2", "_y2"))
     text = F.when(
         fixed,
         F.concat(c("_p")[0], F.lit(" "), F.format_string("%.6f %.6f %.6f %.6f", box.cx, box.cy, box.w, box.h)),
@@ -96,14 +108,15 @@ def polygon_report(repaired: DataFrame) -> DataFrame:
 
 def postprocess_autolabels(lines: DataFrame, images: DataFrame, min_area: float = 200, min_dim: float = 10) -> DataFrame:
     """Model label lines to clipped boxes with a ``kept`` flag; images without lines appear once with null boxes."""
-    p = fields_of()
-    d = lines.select("image_id", "line_no", p.alias("_p"))
-    d = d.withColumn("_cls", c("_p")[0].try_cast("int"))
-    d = d.withColumn("_c", F.transform(F.slice("_p", 2, F.greatest(F.size("_p") - 1, F.lit(0))), lambda x: x.try_cast("double")))
+    d = once(lines.select("image_id", "line_no", "line"), _p=fields_of())
+    coords = F.transform(F.slice("_p", 2, F.greatest(F.size("_p") - 1, F.lit(0))), lambda x: x.try_cast("double"))
+    d = once(d, _cls=c("_p")[0].try_cast("int"), _c=coords)
     d = d.filter(c("_cls").isNotNull() & (F.size("_c") >= 4) & F.forall("_c", lambda x: x.isNotNull()))
     poly = G.polygon_to_box(c("_c"))
     plain = G.to_xyxy(G.Centre(c("_c")[0], c("_c")[1], c("_c")[2], c("_c")[3]))
-    k = [F.when(F.size("_p") > 5, a).otherwise(b) for a, b in zip(poly, plain)]
+    polygon = F.size("_p") > 5
+    d = once(d, **{f"_k{i}": F.when(polygon, a).otherwise(b) for i, (a, b) in enumerate(zip(poly, plain))})
+    k = [c(f"_k{i}") for i in range(4)]
     zero, one = lit(0), lit(1)
     cut = G.Corners(F.greatest(zero, k[0]), F.greatest(zero, k[1]), F.least(one, k[2]), F.least(one, k[3]))
     box = G.to_centre(cut)

@@ -275,7 +275,7 @@ FROM (SELECT CAST(SUM(open_cnt) AS BIGINT) AS o, CAST(SUM(close_cnt) AS BIGINT)
 )
 def _(t):
     d = features(t)
-    return governance.gate_balance(balance.balance_manifest(balance.balance(d), d))
+    return governance.gate_balance(balance.balance_manifest(balance.balance(d), features(t, False)))
 
 
 @query(
