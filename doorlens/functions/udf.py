@@ -33,7 +33,10 @@ def _lightness(raw: bytes, channels: int) -> np.ndarray:
     return light * 2.55
 
 
-@F.pandas_udf("mean_l double, std_l double")
+LUMA = T.StructType([T.StructField("mean_l", T.DoubleType()), T.StructField("std_l", T.DoubleType())])
+
+
+@F.pandas_udf(LUMA)
 def luma_stats(data: pd.Series, channels: pd.Series) -> pd.DataFrame:
     """Mean and deviation of lightness per image of Spark's image source."""
 

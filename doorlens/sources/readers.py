@@ -45,7 +45,8 @@ def list_media(spark: SparkSession, paths: str | list[str], exts: Sequence[str]
 def scan_images(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Images with the label file of the same stem in the sibling ``labels`` folder, if there is one.
 
-    An empty label file means a background image; no label file leaves ``label_path`` null.
+    Spark's file sources pass over zero-byte files, so an empty label reads like a missing one: ``label_path`` is null
+    and the image is background, which is how both cases are meant.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("path", "length")
     folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
@@ -68,10 +69,9 @@ def scan_images(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 def read_label_lines(spark: SparkSession, paths: str | list[str], skip: Sequence[str] = ()) -> DataFrame:
     """Lines of label files: file_name, stem, line_no, line. Blank lines keep their number."""
     d = (
-        spark.read.option("wholetext", "true")
-        .option("recursiveFileLookup", "true")
+        spark.read.option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.txt")
-        .text(paths)
+        .text(paths, wholetext=True)
         .select(c("_metadata.file_name").alias("file_name"), c("_metadata.file_path").alias("path"), "value")
     )
     if skip:
@@ -130,9 +130,8 @@ def read_detections_stream(spark: SparkSession, path: str, schema: str = DETECTI
 def consolidate_logs(spark: SparkSession, path: str, pattern: str = "training_*.log") -> DataFrame:
     """All matching logs as one ordered text: file_name, line_no, line, with a marker before and after each file."""
     d = (
-        spark.read.option("wholetext", "true")
-        .option("pathGlobFilter", pattern)
-        .text(path)
+        spark.read.option("pathGlobFilter", pattern)
+        .text(path, wholetext=True)
         .select(c("_metadata.file_name").alias("file_name"), "value")
         .filter(c("file_name") != "training_master.log")
     )
