@@ -16,7 +16,10 @@ def stem(file_name="file_name") -> Column:
 
 def scene_key(file_name="file_name", frames_per_segment: int = 30) -> Column:
     """Scene of an image: video frames by segment, then dash tails, then digit tails, else the whole stem."""
-    name = stem(file_name)
+    return scene_of_stem(stem(file_name), frames_per_segment)
+
+
+def scene_of_stem(name: Column, frames_per_segment: int = 30) -> Column:
     video = r"^(.*?_Video Project)_([0-9]+)$"
     segment = F.floor(F.regexp_extract(name, video, 2).cast("bigint") / frames_per_segment).cast("string")
     padded = F.when(F.length(segment) < 3, F.lpad(segment, 3, "0")).otherwise(segment)

@@ -195,13 +195,16 @@ def _flagged_predictions(pairs: DataFrame, pred: DataFrame, ious: Sequence[float
     pairs = pairs.filter(c("gt_cls") == c("pred_cls"))
     best = F.max(F.struct("iou", (-c("box_id")).alias("nb"), "conf")).alias("m")
     taken = pairs.groupBy("image_id", "det_id").agg(best).filter(c("m.iou") >= lit(min(ious)))
-    # every threshold a claim reaches: at most len(ious) rows per matched prediction
-    reached = F.filter(F.array(*[F.lit(i) for i in range(len(ious))]), lambda i: c("m.iou") >= F.array(*[lit(t) for t in ious])[i])
-    per_t = taken.select("image_id", "det_id", (-c("m.nb")).alias("box_id"), "m.conf", F.explode(reached).alias("t"))
-    won = per_t.groupBy("image_id", "box_id", "t").agg(F.max(F.struct("conf", (-c("det_id")).alias("nd"))).alias("m"))
-    mask = won.groupBy("image_id", (-c("m.nd")).alias("det_id")).agg(
-        F.bit_or(F.expr("shiftleft(1, t)")).alias("mask")
+    taken = taken.select("image_id", "det_id", (-c("m.nb")).alias("box_id"), "m.conf", "m.iou")
+    claimant = F.struct("conf", (-c("det_id")).alias("nd"))
+    won = taken.groupBy("image_id", "box_id").agg(
+        *[F.max(F.when(c("iou") >= lit(t), claimant)).alias(f"w{i}") for i, t in enumerate(ious)]
     )
+    # a prediction claims one box only, so all its bits are in that box's row
+    winners = F.array_distinct(F.array_compact(F.array(*[-c(f"w{i}.nd") for i in range(len(ious))])))
+    won = won.select("image_id", *[f"w{i}" for i in range(len(ious))], F.explode(winners).alias("det_id"))
+    bits = [F.when(-c(f"w{i}.nd") == c("det_id"), F.lit(1 << i)).otherwise(F.lit(0)) for i in range(len(ious))]
+    mask = won.select("image_id", "det_id", sum(bits[1:], bits[0]).alias("mask"))
     d = pred.select("image_id", "det_id", "cls_id", "conf").join(mask, ["image_id", "det_id"], "left")
     return settle(d.withColumn("mask", F.coalesce(c("mask"), F.lit(0))))
 

@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 from doorlens.config import SplitConfig
 from doorlens.functions.geometry import c, lit
 from doorlens.functions.hashing import draw, hash_bucket
-from doorlens.functions.text import scene_key
+from doorlens.functions.text import scene_of_stem, stem
 from doorlens.operators.ranking import hash_rank, two_level_prefix
+from doorlens.operators.repair import once
 from doorlens.operators.settle import settle
 
 
 def with_scene(images: DataFrame) -> DataFrame:
-    return images.withColumn("scene", scene_key("file_name"))
+    """Adds ``scene``; the regular expressions run once per image, however often the scene is used later."""
+    d = once(images, _stem=stem("file_name"))
+    return once(d, scene=scene_of_stem(c("_stem"))).drop("_stem")
 
 
 def version_seeds(units: DataFrame, seed: int) -> DataFrame:
