@@ -12,6 +12,7 @@ from doorlens.functions import geometry as G
 from doorlens.functions.geometry import c, lit
 from doorlens.functions.hashing import draw, u01
 from doorlens.functions.text import augmented_name
+from doorlens.operators.repair import once
 
 # Fixed values per profile: flip chance, scale range, share of copies that are scaled, translation, rotation (degrees).
 PROFILES = {
@@ -90,7 +91,7 @@ def augment_boxes(plan: DataFrame, boxes: DataFrame, cfg: AugmentConfig = Augmen
     # enclosing box of the rotated rectangle
     nw = (c("_w") * F.abs(cos) + c("_h") * F.abs(sin)) * c("s")
     nh = (c("_w") * F.abs(sin) + c("_h") * F.abs(cos)) * c("s")
-    d = d.select("image_id", "box_id", "cls_id", "copy_no", "profile", "out_name", nx.alias("cx"), ny.alias("cy"), nw.alias("w"), nh.alias("h"))
+    d = once(d, cx=nx, cy=ny, w=nw, h=nh)
     cut = G.clip_box(G.centre())
     visible = F.when(c("w") * c("h") > 0, F.greatest(lit(0), cut.w) * F.greatest(lit(0), cut.h) / (c("w") * c("h")))
     out = d.select(

@@ -17,6 +17,7 @@ from doorlens.functions import geometry as G
 from doorlens.functions.geometry import c, lit
 from doorlens.functions.hashing import draw
 from doorlens.operators.ranking import two_level_prefix
+from doorlens.operators.repair import once
 from doorlens.operators.settle import settle
 
 CROWDED = 2048  # boxes per image from which the grid is used
@@ -211,13 +212,14 @@ def _flagged_predictions(pairs: DataFrame, pred: DataFrame, ious: Sequence[float
 
 def _ranked_predictions(flagged: DataFrame, ious: Sequence[float]) -> DataFrame:
     """Adds the rank in the class by confidence and cumulative true positives per IoU threshold."""
-    d = flagged.withColumn("_h", draw("ap", "image_id", "det_id"))
+    d = once(flagged, _h=draw("ap", "image_id", "det_id"))
     sums = {"rank": F.lit(1).cast("bigint")}
     for i in range(len(ious)):
         sums[f"tp{i}"] = F.getbit(c("mask"), F.lit(i)).cast("bigint")
-    # ranges of 1e-4; a repeated round value (1.0, 0.95 …) is split further by hash, in the same order
-    near = F.round("conf", 4)
-    part = F.when(c("conf") > near, "0").when(c("conf") == near, F.concat(F.lit("1"), F.substring("_h", 1, 2))).otherwise("2")
+    # ranges of 1e-3; a repeated round value (1.0, 0.95 …) is split further by hash, in the same order
+    d = d.withColumn("_near", F.round("conf", 3))
+    near = c("_near")
+    part = F.when(c("conf") > near, "0").when(c("conf") == near, F.concat(F.lit("1"), F.substring("_h", 1, 1))).otherwise("2")
     return two_level_prefix(
         d,
         ["cls_id"],
@@ -229,6 +231,7 @@ def _ranked_predictions(flagged: DataFrame, ious: Sequence[float]) -> DataFrame:
 
 def _average_precision(points: DataFrame, keys: Sequence[str]) -> DataFrame:
     """101-point interpolated AP from ``q`` (recall in whole percent) and ``p`` (best precision there)."""
+    points = settle(points)  # at most 101 rows per key, read twice
     steps = F.sequence(F.lit(0).cast("bigint"), F.lit(100).cast("bigint"))
     grid = points.select(*keys).distinct().withColumn("q", F.explode(steps))
     full = grid.join(points, [*keys, "q"], "left")
@@ -293,6 +296,7 @@ def threshold_sweep(gt: DataFrame, pred: DataFrame, confs: Sequence[float] = SWE
         )
         .filter(c("level") >= 1)
     )
+    cells = settle(cells)
     # at most classes × cut-offs × 102 rows from here on
     spread = cells.withColumn("cut", F.explode(F.sequence(F.lit(1), c("level"))))
     pr = spread.groupBy("cls_id", "n_gt", "cut").agg(F.sum("n").alias("n_pred"), F.sum("tp").alias("tp"))
