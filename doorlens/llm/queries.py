@@ -7,7 +7,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doorlens.llm import packing, toxicity
+from doorlens.llm import chosen_path, packing, toxicity
 from doorlens.llm.shared import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op2_jaccard_join")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    """Class and number of near-duplicate links of every document (five-word shingles, Jaccard 0.8)."""
+    return chosen_path.jaccard_join(table(spark, folder, "documents"))
+
+
 @query("op8_toxicity")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity of every document; labels of fold 0 of 5 are never seen."""
