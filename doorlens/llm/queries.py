@@ -7,7 +7,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doorlens.llm import chosen_path, packing, toxicity
+from doorlens.llm import chosen_path, mixing, packing, secrets, toxicity
 from doorlens.llm.shared import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,18 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return chosen_path.jaccard_join(table(spark, folder, "documents"))
 
 
+@query("op5_secrets")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """Strong and linked secret spans of every document."""
+    return secrets.report(table(spark, folder, "documents"))
+
+
+@query("op6_mixing")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    """How many words of every document the mix of sources takes."""
+    return mixing.mix(table(spark, folder, "documents"))
+
+
 @query("op8_toxicity")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity of every document; labels of fold 0 of 5 are never seen."""
