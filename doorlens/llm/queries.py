@@ -7,7 +7,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doorlens.llm import chosen_path, mixing, packing, secrets, toxicity
+from doorlens.llm import chosen_path, mixing, packing, secrets, seekable, toxicity
 from doorlens.llm.shared import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,6 +54,12 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@query("op9_token_files")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's ids, written to seekable files and read back."""
+    return seekable.round_trip(table(spark, folder, "documents"))
+
+
 @query("op10_packing")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's token pieces with their places in sequences of 4096 ids."""
