@@ -7,7 +7,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doorlens.llm import chosen_path, mixing, packing, secrets, seekable, toxicity
+from doorlens.llm import chosen_path, mixing, packing, ppm, secrets, seekable, toxicity
 from doorlens.llm.shared import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op1_language")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    """Predicted language of every document; fold 2 of 4 is never learned from."""
+    docs = table(spark, folder, "documents")
+    held_out = fold(F.col("doc_id"), 4) == 2
+    guessed = ppm.identify(docs.select("doc_id", "text"), ppm.fit(docs.filter(~held_out)))
+    return guessed.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 @query("op2_jaccard_join")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     """Class and number of near-duplicate links of every document (five-word shingles, Jaccard 0.8)."""
