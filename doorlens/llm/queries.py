@@ -7,7 +7,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doorlens.llm import chosen_path, mixing, packing, ppm, secrets, seekable, toxicity
+from doorlens.llm import chosen_path, mixing, multi_index, packing, ppm, secrets, seekable, toxicity
 from doorlens.llm.shared import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +41,12 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return chosen_path.jaccard_join(table(spark, folder, "documents"))
 
 
+@query("op3_nearest")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    """The five nearest vectors of every vector whose id is divisible by 50."""
+    return multi_index.nearest(table(spark, folder, "embeddings"), "vec_id % 50 = 0")
+
+
 @query("op5_secrets")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     """Strong and linked secret spans of every document."""
