@@ -7,7 +7,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doorlens.llm import chosen_path, mixing, multi_index, packing, ppm, secrets, seekable, toxicity
+from doorlens.llm import chosen_path, mixing, multi_index, packing, ppm, secrets, seekable, simhash, toxicity
 from doorlens.llm.shared import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +47,12 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return multi_index.nearest(table(spark, folder, "embeddings"), "vec_id % 50 = 0")
 
 
+@query("op4_fingerprints")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    """SimHash of every text and of its edited text; near fingerprints of the ids divisible by 20."""
+    return simhash.compare_edits(table(spark, folder, "documents"))
+
+
 @query("op5_secrets")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     """Strong and linked secret spans of every document."""
