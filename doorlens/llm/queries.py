@@ -7,7 +7,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doorlens.llm import chosen_path, mixing, multi_index, packing, ppm, secrets, seekable, simhash, toxicity
+from doorlens.llm import chosen_path, debruijn, mixing, multi_index, packing, ppm, secrets, seekable, simhash, toxicity
 from doorlens.llm.shared import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,6 +65,12 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"))
 
 
+@query("op7_substring_dedup")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the words of repeated 20-word windows."""
+    return debruijn.deduplicate(table(spark, folder, "documents")).drop("kept")
+
+
 @query("op8_toxicity")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity of every document; labels of fold 0 of 5 are never seen."""
