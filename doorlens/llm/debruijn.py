@@ -128,7 +128,8 @@ def edges(candidates: DataFrame, config: DedupConfig) -> DataFrame:
                 of = np.repeat(np.repeat(np.arange(a, b), np.diff(run_at[a : b + 1])), size)
                 start = np.repeat(starts[lo:hi], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
                 fits = start + config.window <= (offsets[1:] - offsets[:-1])[of]
-                of, start = of[fits], start[fits]
+                once = np.unique((of[fits] << 32) | start[fits])  # rows of one id share their runs, which may overlap
+                of, start = once >> 32, once & 0xFFFFFFFF
                 part = hashes[offsets[a] : offsets[b]]
                 at = offsets[of] - offsets[a] + start
                 h = rolling(part, config.window, 0xD6E8FEB86659FD93)[at]

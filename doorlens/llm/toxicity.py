@@ -163,8 +163,9 @@ def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityCon
         model = train(terms, all_rows["_y"].to_numpy(float), config)
         used = np.flatnonzero(model.weights)
         yield pd.DataFrame({"term": [-1], "weights": [[model.bias] + [0.0] * config.factors]})
-        both = np.column_stack([model.weights[used], model.vectors[used]]).astype(float)
-        yield pd.DataFrame({"term": used, "weights": list(both)})
+        if len(used):
+            both = np.column_stack([model.weights[used], model.vectors[used]]).astype(float)
+            yield pd.DataFrame({"term": used, "weights": list(both)})
 
     learned = rows.repartition(1).mapInPandas(learn, "term int, weights array<double>").toPandas()
     model = FactorizationMachine(-5.0, np.zeros(1 << config.bits, np.float32), np.zeros((1 << config.bits, columns - 1), np.float32))
