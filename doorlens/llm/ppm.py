@@ -83,6 +83,8 @@ class PpmModel:
 
     def __init__(self, languages: list[str], lang_no: np.ndarray, gram: np.ndarray, count: np.ndarray, order: int):
         self.languages, self.order = languages, order
+        if not len(gram):  # nothing learned: every byte costs 8 bits
+            lang_no, gram, count = np.zeros(1, np.int64), np.zeros(1, np.uint64), np.zeros(1)
         n = len(languages)
         self.tables: list[GramTable] = []
         self.costs: list[np.ndarray] = []
