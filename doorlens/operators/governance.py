@@ -135,6 +135,11 @@ def assert_metrics(df: DataFrame, column: str = "map50") -> DataFrame:
     return df.withColumn(column, F.when(c(column) == 0, bad).otherwise(c(column)))
 
 
+def metric_verdicts(df: DataFrame, column: str = "map50") -> DataFrame:
+    """What ``assert_metrics`` would say of each run, without failing: ``ok`` is false where the metric is zero."""
+    return df.withColumn("ok", F.coalesce(c(column) != 0, F.lit(True)))
+
+
 def assert_class_map(df: DataFrame) -> DataFrame:
     """Fails the job when class ids do not stand for open (0) and close (1)."""
     want = F.when(c("cls_id") == 0, "open").when(c("cls_id") == 1, "close")

@@ -21,16 +21,13 @@ from doorlens.operators.repair import once
 from doorlens.operators.settle import settle
 
 CROWDED = 2048  # boxes per image from which the grid is used
-CROWDED_MAX = 10_000  # at most this many images carry a grid size (bounds the broadcast); others stay exact without
 CELL_BOXES = 256
-GRID_MAX = 48
 
 
 def _crowded(gt: DataFrame, pred: DataFrame) -> DataFrame:
     n = gt.select("image_id").unionByName(pred.select("image_id")).groupBy("image_id").count()
-    n = n.filter(c("count") >= CROWDED).orderBy(F.desc("count"), "image_id").limit(CROWDED_MAX)
-    side = F.least(F.ceil(F.sqrt(c("count") / CELL_BOXES)), F.lit(GRID_MAX))
-    return n.select("image_id", F.greatest(side, F.lit(2)).cast("int").alias("_g"))
+    side = F.ceil(F.sqrt(c("count") / CELL_BOXES)).cast("int")
+    return n.filter(c("count") >= CROWDED).select("image_id", side.alias("_g"))
 
 
 def _cell(v: Column) -> Column:
@@ -39,7 +36,7 @@ def _cell(v: Column) -> Column:
 
 
 def _celled(boxes: DataFrame, crowded: DataFrame, prefix: str) -> DataFrame:
-    d = boxes.join(F.broadcast(crowded), "image_id", "left").withColumn("_g", F.coalesce(c("_g"), F.lit(1)))
+    d = boxes.join(crowded, "image_id", "left").withColumn("_g", F.coalesce(c("_g"), F.lit(1)))
     x1, y1, x2, y2 = (f"{prefix}{n}" for n in ("x1", "y1", "x2", "y2"))
     d = d.withColumn("_gx", F.explode(F.sequence(_cell(c(x1)), _cell(F.greatest(x1, x2)))))
     return d.withColumn("_gy", F.explode(F.sequence(_cell(c(y1)), _cell(F.greatest(y1, y2)))))
@@ -69,24 +66,12 @@ def match_boxes(gt: DataFrame, pred: DataFrame, iou_min: float = 0.0) -> DataFra
 def fn_taxonomy(gt: DataFrame, pred: DataFrame, strict: float = 0.45, loose: float = 0.1, conf: float = 0.25) -> DataFrame:
     """Status of every open ground-truth box: TP or the kind of miss (Type_A no box … Type_D suppressed)."""
     opens = gt.filter(c("cls_id") == OPEN)
-    pairs = overlaps(opens, pred).select("image_id", "box_id", "det_id", "pred_cls", "conf", "iou")
-    seeds = opens.select(
-        "image_id",
-        "box_id",
-        F.lit(None).cast("bigint").alias("det_id"),
-        F.lit(-1).alias("pred_cls"),
-        lit(0).alias("conf"),
-        lit(0).alias("iou"),
-    )
     best = F.struct("iou", (-c("det_id")).alias("first"), "pred_cls", "conf")
-    d = (
-        pairs.unionByName(seeds)
-        .groupBy("image_id", "box_id")
-        .agg(F.max(best).alias("any"), F.max(F.when(c("pred_cls") == OPEN, best)).alias("opn"))
-    )
+    found = overlaps(opens, pred).groupBy("image_id", "box_id").agg(F.max(best).alias("any"), F.max(F.when(c("pred_cls") == OPEN, best)).alias("opn"))
+    d = opens.select("image_id", "box_id").join(found, ["image_id", "box_id"], "left")  # one row per box, also for equal keys
     zero = lit(0)
     o_iou, o_conf = F.coalesce(c("opn.iou"), zero), F.coalesce(c("opn.conf"), zero)
-    a_iou = c("any.iou")
+    a_iou = F.coalesce(c("any.iou"), zero)
     status = (
         F.when((o_iou >= lit(strict)) & (o_conf >= lit(conf)), "TP")
         .when(o_iou >= lit(strict), "Type_D")
@@ -101,7 +86,7 @@ def fn_taxonomy(gt: DataFrame, pred: DataFrame, strict: float = 0.45, loose: flo
         F.round(o_iou, 4).alias("max_open_iou"),
         F.round(o_conf, 4).alias("max_open_conf"),
         F.round(a_iou, 4).alias("max_any_iou"),
-        c("any.pred_cls").alias("max_any_cls"),
+        F.coalesce(c("any.pred_cls"), F.lit(-1)).alias("max_any_cls"),
     )
 
 
@@ -120,11 +105,9 @@ def fn_lists(taxonomy: DataFrame, images: DataFrame) -> DataFrame:
 
 
 def _gt_flags(gt: DataFrame, hits: DataFrame) -> DataFrame:
-    """One row per ground-truth box with ``hit``; ``hits`` are pairs that count as a match."""
-    cols = ["image_id", "box_id", "cls_id"]
-    seeds = gt.select(*cols, F.lit(False).alias("hit"))
-    marks = hits.select("image_id", "box_id", c("gt_cls").alias("cls_id"), F.lit(True).alias("hit"))
-    return seeds.unionByName(marks).groupBy(*cols).agg(F.bool_or("hit").alias("hit"))
+    """All ground-truth rows with ``hit``; ``hits`` are pairs that count as a match of their box and class."""
+    marks = hits.groupBy("image_id", "box_id", c("gt_cls").alias("cls_id")).agg(F.lit(True).alias("hit"))
+    return gt.join(marks, ["image_id", "box_id", "cls_id"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
 
 
 def strict_missed(gt: DataFrame, pred: DataFrame, cls: int = OPEN, iou: float = 0.45) -> DataFrame:
@@ -146,15 +129,7 @@ def class_fn_report(
         (c("gt_cls") == c("pred_cls")) & (c("iou") >= lit(iou))
     )
     small = (c("w") * c("h")) < lit(small_area)
-    seeds = gt.select("image_id", "box_id", "cls_id", small.alias("small"), F.lit(False).alias("hit"))
-    marks = hits.select(
-        "image_id", "box_id", c("gt_cls").alias("cls_id"), F.lit(False).alias("small"), F.lit(True).alias("hit")
-    )
-    d = (
-        seeds.unionByName(marks)
-        .groupBy("image_id", "box_id", "cls_id")
-        .agg(F.bool_or("small").alias("small"), F.bool_or("hit").alias("hit"))
-    )
+    d = _gt_flags(gt.select("image_id", "box_id", "cls_id", small.alias("small")), hits)
     out = d.groupBy("cls_id").agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if("hit").alias("matched"),
@@ -352,8 +327,8 @@ def residual_items(
     """
     kept = pred.filter(c("conf") >= lit(conf))
     pairs = settle(overlaps(gt, kept).filter(c("gt_cls") == c("pred_cls")))
-    boxes = gt.select("image_id", "box_id", lit(0).alias("iou")).unionByName(pairs.select("image_id", "box_id", "iou"))
-    boxes = boxes.groupBy("image_id", "box_id").agg(F.max("iou").alias("iou"))
+    best = pairs.groupBy("image_id", "box_id").agg(F.max("iou").alias("iou"))
+    boxes = gt.select("image_id", "box_id").join(best, ["image_id", "box_id"], "left").withColumn("iou", F.coalesce("iou", lit(0)))
     kind = F.when(c("iou") < lit(iou), "miss_recovery").when(c("iou") < lit(low_iou), "box_refinement")
     from_gt = boxes.select("image_id", c("box_id").alias("item_id"), kind.alias("bucket")).filter(c("bucket").isNotNull())
     hit = pairs.filter(c("iou") >= lit(iou)).select("image_id", "det_id")

@@ -33,10 +33,11 @@ def mine_hard_negatives(
     close_conf: float = 0.35,
     open_conf: float = 0.25,
     uncertain: tuple[float, float] = (0.15, 0.35),
-    per_bucket: int = 200,
-    total: int = 500,
+    per_bucket: int | None = None,
+    total: int | None = None,
 ) -> DataFrame:
-    """Images by the kind of their most confident box, first ones in image order up to the report limits."""
+    """Images by the kind of their most confident box; ``per_bucket`` and ``total`` are optional review quotas, which
+    take the first ones in image order."""
     seen = dets.filter(c("conf") >= lit(uncertain[0]))
     best = seen.groupBy("image_id").agg(F.max(F.struct("conf", (-c("det_id")).alias("nd"), "cls_id")).alias("b"))
     conf, cls = c("b.conf"), c("b.cls_id")
@@ -46,9 +47,10 @@ def mine_hard_negatives(
         .when((conf >= lit(uncertain[0])) & (conf < lit(uncertain[1])), "uncertain_review")
     )
     d = best.select("image_id", conf.alias("max_conf"), bucket.alias("bucket")).filter(c("bucket").isNotNull())
-    first = Window.partitionBy("bucket").orderBy("image_id")
-    d = d.withColumn("_rn", F.row_number().over(first)).filter(c("_rn") <= per_bucket).drop("_rn")
-    return d.orderBy("image_id").limit(total)
+    if per_bucket is not None:
+        first = Window.partitionBy("bucket").orderBy("image_id")
+        d = d.withColumn("_rn", F.row_number().over(first)).filter(c("_rn") <= per_bucket).drop("_rn")
+    return d if total is None else d.orderBy("image_id").limit(total)
 
 
 def open_tier(conf: Column, video: bool) -> Column:
@@ -57,10 +59,10 @@ def open_tier(conf: Column, video: bool) -> Column:
 
 
 def mine_open(
-    dets: DataFrame, images: DataFrame, pool: DataFrame | None = None, target: int = 500, min_conf: float = 0.05,
+    dets: DataFrame, images: DataFrame, pool: DataFrame | None = None, target: int | None = None, min_conf: float = 0.1,
     video: bool = False,
 ) -> DataFrame:
-    """Images with an open detection by confidence tier, first ``target`` in image order.
+    """Images with an open detection by confidence tier; ``target`` is an optional quota in image order.
 
     Still images whose name occurs inside a pool name are skipped, video frames are not.
     """
@@ -69,19 +71,20 @@ def mine_open(
     cands = images.select("image_id", "file_name").join(top, "image_id")
     if pool is not None and not video:
         cands = exclude_contained(cands, pool)
-    d = cands.orderBy("image_id").limit(target)
+    d = cands if target is None else cands.orderBy("image_id").limit(target)
     tier = open_tier(c("max_conf"), video)
     return d.select("image_id", "max_conf", tier.alias("tier"), mined_name(tier, "file_name").alias("new_name"))
 
 
 def boost_open(
-    dets: DataFrame, images: DataFrame, pool: DataFrame, target: int = 350, conf: float = 0.45, min_area: float = 0.005
+    dets: DataFrame, images: DataFrame, pool: DataFrame, target: int | None = None, conf: float = 0.45, min_area: float = 0.005
 ) -> DataFrame:
-    """New images with a sure open box that is not too small, first ``target`` in image order."""
+    """New images with a sure open box that is not too small; ``target`` is an optional quota in image order."""
     sure = (c("cls_id") == OPEN) & (c("conf") >= lit(conf)) & (c("w") * c("h") >= lit(min_area))
     n = dets.filter(sure).groupBy("image_id").agg(F.count(F.lit(1)).alias("n_open"))
     fresh = exclude_existing(images.select("image_id", "file_name"), pool)
-    d = fresh.join(n, "image_id").orderBy("image_id").limit(target)
+    d = fresh.join(n, "image_id")
+    d = d if target is None else d.orderBy("image_id").limit(target)
     return d.select("image_id", "n_open", boost_name("file_name").alias("new_name"))
 
 

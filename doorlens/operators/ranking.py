@@ -41,7 +41,13 @@ def two_level_prefix(
         .select(*keys, *marks, *[F.sum(f"_t{n}").over(before).alias(f"_o{n}") for n in vals])
     )
     inside = Window.partitionBy(*keys, *marks).orderBy(*order).rowsBetween(_START, 0 if inclusive else -1)
-    d = d.join(offsets, [*keys, *marks], "left")
+    # null keys and null buckets are groups like others
+    same = None
+    for k in [*keys, *marks]:
+        offsets = offsets.withColumnRenamed(k, f"_j{k}")
+        both = d[k].eqNullSafe(F.col(f"_j{k}"))
+        same = both if same is None else same & both
+    d = d.join(offsets, same, "left")
     out = [
         (F.coalesce(F.col(f"_o{n}"), F.lit(0)) + F.coalesce(F.sum(n).over(inside), F.lit(0))).alias(name)
         for name, n in zip(sums, vals)
@@ -74,20 +80,22 @@ def look_back(
     build: Callable[[DataFrame, Callable[[int, int], Window]], DataFrame],
     span: int = SPAN,
 ) -> DataFrame:
-    """Row windows of at most ``rows`` preceding frames over a dense frame column, in one shuffle.
+    """Row windows of at most ``rows`` (<= ``span``) preceding rows, whatever gaps the frame numbers have.
 
-    The last ``rows`` frames of a block are also sent to the next block, so every window finds its look-back
-    inside its own (keys, block) partition. ``build`` receives the frame and a window factory ``w(lo, hi)``.
+    Rows are numbered first; blocks hold ``span`` rows each and the last ``rows`` of a block are also sent to the next
+    one, so every window finds its look-back inside its own (keys, block) partition. ``build`` receives the frame and
+    a window factory ``w(lo, hi)``.
     """
-    own = block_of(order, span)
-    tail = F.pmod(c(order), F.lit(span)) >= span - rows
-    d = df.withColumn("_blk", F.explode(F.when(tail, F.array(own, own + 1)).otherwise(F.array(own))))
+    numbered = number_rows(df, keys, block_of(order, span), [order], "_no")
+    own = F.floor((F.col("_no") - 1) / span)
+    tail = F.pmod(F.col("_no") - 1, F.lit(span)) >= span - rows
+    d = numbered.withColumn("_blk", F.explode(F.when(tail, F.array(own, own + 1)).otherwise(F.array(own))))
 
     def w(lo: int, hi: int):
         return Window.partitionBy(*keys, "_blk").orderBy(order).rowsBetween(lo, hi)
 
     d = build(d, w)
-    return d.filter(F.col("_blk") == own).drop("_blk")
+    return d.filter(F.col("_blk") == own).drop("_blk", "_no")
 
 
 def carry_last(

@@ -99,9 +99,11 @@ def _(t):
     return match.threshold_sweep(t.gt_boxes, t.detections)
 
 
-_RESIDUAL = """WITH pr AS (SELECT * FROM {pairs} WHERE gt_cls = pred_cls AND conf >= 0.4::DOUBLE),
-  gt AS (SELECT g.image_id, g.box_id AS item_id, COALESCE((SELECT MAX(iou) FROM pr WHERE pr.image_id = g.image_id AND pr.box_id = g.box_id), 0) AS iou FROM {gt_boxes} g),
-  fp AS (SELECT image_id, det_id AS item_id FROM {detections} d WHERE conf >= 0.4::DOUBLE AND NOT EXISTS (SELECT 1 FROM pr WHERE pr.image_id = d.image_id AND pr.det_id = d.det_id AND iou >= 0.5::DOUBLE)),
+_RESIDUAL = """WITH pr AS MATERIALIZED (SELECT image_id, box_id, det_id, iou FROM {pairs} WHERE gt_cls = pred_cls AND conf >= 0.4::DOUBLE),
+  best AS (SELECT image_id, box_id, MAX(iou) AS iou FROM pr GROUP BY 1, 2),
+  gt AS (SELECT g.image_id, g.box_id AS item_id, COALESCE(b.iou, 0) AS iou FROM {gt_boxes} g LEFT JOIN best b ON b.image_id = g.image_id AND b.box_id = g.box_id),
+  hit AS (SELECT DISTINCT image_id, det_id FROM pr WHERE iou >= 0.5::DOUBLE),
+  fp AS (SELECT d.image_id, d.det_id AS item_id FROM {detections} d LEFT JOIN hit h ON h.image_id = d.image_id AND h.det_id = d.det_id WHERE conf >= 0.4::DOUBLE AND h.det_id IS NULL),
   items AS (SELECT image_id, item_id, CASE WHEN iou < 0.5::DOUBLE THEN 'miss_recovery' ELSE 'box_refinement' END AS b FROM gt WHERE iou < 0.7::DOUBLE UNION ALL SELECT *, 'background_suppression' FROM fp),
   mixed AS (SELECT image_id FROM {gt_boxes} GROUP BY 1 HAVING bool_or(cls_id = 0) AND bool_or(cls_id = 1)),
   res AS (SELECT image_id, item_id, CASE WHEN b <> 'box_refinement' AND image_id IN (SELECT image_id FROM mixed) THEN 'mixed_state_review' ELSE b END AS bucket FROM items)
@@ -257,9 +259,11 @@ def _(t):
     return balance.fill_close(features(t)).select("image_id", "scene", "close_cnt", "close_before")
 
 
-@query("cap_background", "SELECT image_id, bg_rank FROM {bg_ranked} WHERE bg_rank <= 150")
+@query("cap_background", "SELECT image_id, bg_rank FROM {bg_ranked} WHERE bg_rank <= floor((SELECT COUNT(*) FROM {feats} WHERE open_cnt > 0 OR close_cnt > 0) * 0.2::DOUBLE)")
 def _(t):
-    return balance.cap_background(features(t, False), F.lit(150)).select("image_id", "bg_rank")
+    d = features(t, False)
+    kept = d.filter((c("open_cnt") > 0) | (c("close_cnt") > 0)).agg(F.count(F.lit(1))).scalar()
+    return balance.cap_background(d, F.floor(kept * F.lit(0.2))).select("image_id", "bg_rank")
 
 
 @query("balance", "SELECT image_id, version, scene, open_cnt, close_cnt, is_error, is_type_a, replica_id, role FROM {balanced}")
@@ -309,10 +313,9 @@ def _(t):
 
 @query(
     "mine_hard_negatives",
-    """SELECT image_id, max_conf, bucket FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY bucket ORDER BY image_id) AS rn FROM (
+    """SELECT image_id, max_conf, bucket FROM (
   SELECT image_id, conf AS max_conf, CASE WHEN cls_id = 1 AND conf >= 0.35::DOUBLE THEN 'fp_close_high' WHEN cls_id = 0 AND conf >= 0.25::DOUBLE THEN 'fp_open_high' WHEN conf >= 0.15::DOUBLE AND conf < 0.35::DOUBLE THEN 'uncertain_review' END AS bucket
-  FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY image_id ORDER BY conf DESC, det_id) AS k FROM {detections} WHERE conf >= 0.15::DOUBLE) WHERE k = 1) WHERE bucket IS NOT NULL)
-WHERE rn <= 200 ORDER BY image_id LIMIT 500""",
+  FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY image_id ORDER BY conf DESC, det_id) AS k FROM {detections} WHERE conf >= 0.15::DOUBLE) WHERE k = 1) WHERE bucket IS NOT NULL""",
 )
 def _(t):
     return mining.mine_hard_negatives(t.detections)
@@ -321,8 +324,8 @@ def _(t):
 @query(
     "mine_open",
     """SELECT image_id, max_conf, tier, 'm072_' || tier || '_' || file_name AS new_name FROM (SELECT i.image_id, i.file_name, max_conf, CASE WHEN max_conf >= 0.6::DOUBLE THEN 'high' WHEN max_conf > 0.3::DOUBLE THEN 'mid' ELSE 'low' END AS tier
-  FROM {raw_images} i JOIN (SELECT image_id, MAX(conf) AS max_conf FROM {detections} WHERE cls_id = 0 AND conf >= 0.05::DOUBLE GROUP BY 1) d ON i.image_id = d.image_id
-  WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT file_name FROM {gold_images}) g WHERE contains(g.file_name, i.file_name))) ORDER BY image_id LIMIT 500""",
+  FROM {raw_images} i JOIN (SELECT image_id, MAX(conf) AS max_conf FROM {detections} WHERE cls_id = 0 AND conf >= 0.1::DOUBLE GROUP BY 1) d ON i.image_id = d.image_id
+  WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT file_name FROM {gold_images}) g WHERE contains(g.file_name, i.file_name)))""",
 )
 def _(t):
     return mining.mine_open(t.detections, t.raw_images, t.gold_images)
@@ -332,7 +335,7 @@ def _(t):
     "boost_open",
     """SELECT i.image_id, n_open, 'boost_open_' || file_name AS new_name
 FROM {raw_images} i JOIN (SELECT image_id, COUNT(*) AS n_open FROM {detections} WHERE cls_id = 0 AND conf >= 0.45::DOUBLE AND w * h >= 0.005::DOUBLE GROUP BY 1) d ON i.image_id = d.image_id
-WHERE file_name NOT IN (SELECT file_name FROM {gold_images}) ORDER BY i.image_id LIMIT 350""",
+WHERE file_name NOT IN (SELECT file_name FROM {gold_images})""",
 )
 def _(t):
     return mining.boost_open(t.detections, t.raw_images, t.gold_images)

@@ -57,12 +57,12 @@ SELECT s.* EXCLUDE (split), m.scene IS NOT NULL AS moved, CASE WHEN m.scene IS N
 FROM {split9} s LEFT JOIN {safe_moves} m ON s.version = m.version AND s.scene = m.scene""",
     "taxo": """
 SELECT * , CASE WHEN oi >= 0.45::DOUBLE AND oc >= 0.25::DOUBLE THEN 'TP' WHEN oi >= 0.45::DOUBLE THEN 'Type_D' WHEN ai >= 0.45::DOUBLE THEN 'Type_C' WHEN ai > 0.1::DOUBLE THEN 'Type_B' ELSE 'Type_A' END AS status
-FROM (SELECT g.image_id, g.box_id,
-  COALESCE((SELECT MAX(iou) FROM {pairs} p WHERE p.image_id = g.image_id AND p.box_id = g.box_id AND pred_cls = 0), 0) AS oi,
-  COALESCE((SELECT arg_min(conf, (-iou, det_id)) FROM {pairs} p WHERE p.image_id = g.image_id AND p.box_id = g.box_id AND pred_cls = 0), 0) AS oc,
-  COALESCE((SELECT MAX(iou) FROM {pairs} p WHERE p.image_id = g.image_id AND p.box_id = g.box_id), 0) AS ai,
-  COALESCE((SELECT arg_min(pred_cls, (-iou, det_id)) FROM {pairs} p WHERE p.image_id = g.image_id AND p.box_id = g.box_id), -1) AS ac
-  FROM {gt_boxes} g WHERE g.cls_id = 0)""",
+FROM (SELECT g.image_id, g.box_id, COALESCE(oi, 0) AS oi, COALESCE(oc, 0) AS oc, COALESCE(ai, 0) AS ai, COALESCE(ac, -1) AS ac
+  FROM {gt_boxes} g LEFT JOIN (
+    SELECT image_id, box_id, MAX(iou) FILTER (pred_cls = 0) AS oi, arg_min(conf, (-iou, det_id)) FILTER (pred_cls = 0) AS oc,
+      MAX(iou) AS ai, arg_min(pred_cls, (-iou, det_id)) AS ac
+    FROM {pairs} WHERE gt_cls = 0 GROUP BY 1, 2) p ON p.image_id = g.image_id AND p.box_id = g.box_id
+  WHERE g.cls_id = 0)""",
     "flagged": """
 SELECT f.*, EXISTS (SELECT 1 FROM {taxo} t JOIN {images} i ON t.image_id = i.image_id WHERE t.status = 'Type_A' AND i.file_name = f.file_name) AS is_type_a
 FROM {feats} f""",

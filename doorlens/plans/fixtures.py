@@ -28,7 +28,7 @@ SELECT o_orderkey AS image_id, o_orderstatus AS pool,
 FROM {orders}""",
     "gt_boxes": """
 SELECT l_orderkey AS image_id,
-  ((CAST(l_partkey AS BIGINT) * 1000 + l_suppkey) * 10 + l_linenumber) AS box_id,
+  ((CAST(l_partkey AS BIGINT) * 100000000 + l_suppkey) * 10 + l_linenumber) AS box_id,
   CAST(CASE WHEN l_returnflag = 'A' THEN 0 ELSE 1 END AS INT) AS cls_id,
   CAST((l_partkey * 37 + l_linenumber * 101) % 1000 AS DOUBLE) / 1000 AS cx,
   CAST((l_suppkey * 53 + l_partkey * 7) % 1000 AS DOUBLE) / 1000 AS cy,
