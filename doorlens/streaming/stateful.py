@@ -1,13 +1,16 @@
 """Streaming runs of the batch step functions.
 
 State is kept per camera (or camera and track) as a small JSON text. Rows of a micro-batch are sorted by frame inside
-their key; rows at or before the last processed frame are late: they are dropped and counted in ``late_rows`` of the
-next output row of that key.
+their key. Where a frame has several rows, its rows may arrive in several micro-batches: the newest frame of a key waits
+in the state until a later frame of that key arrives. Rows at or before the last processed
+frame are late: they are dropped and counted in ``late_rows`` of the next output row of that key.
 """
 
 from __future__ import annotations
 
+import base64
 import json
+import pickle
 from dataclasses import asdict, fields, is_dataclass
 from typing import Any, Callable, Iterator, Sequence
 
@@ -40,6 +43,14 @@ def _load_warning(d: dict) -> S.WarningState:
     return S.WarningState({int(i): S.CarMemory(**{**m, "box": tuple(m["box"]), "center": tuple(m["center"])}) for i, m in d["cars"].items()})
 
 
+def pack(rows: pd.DataFrame) -> str:
+    return base64.b64encode(pickle.dumps(rows)).decode()
+
+
+def unpack(text: str) -> pd.DataFrame:
+    return pickle.loads(base64.b64decode(text))
+
+
 def stream_fold(
     df: DataFrame,
     keys: Sequence[str],
@@ -56,14 +67,23 @@ def stream_fold(
     frame = order[0]
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        saved = json.loads(state.get[0]) if state.exists else {"last": None, "late": 0, "s": None}
+        saved = json.loads(state.get[0]) if state.exists else {"last": None, "late": 0, "s": None, "held": None}
         s = load(saved["s"]) if saved["s"] is not None else start()
-        pdf = pd.concat(list(batches), ignore_index=True).sort_values(list(order), kind="stable")
         last, late = saved["last"], saved["late"]
-        if last is not None:
-            old = pdf[frame] <= last
+        parts = [unpack(saved["held"])] if saved["held"] else []
+        for part in batches:
+            old = part[frame] <= last if last is not None else pd.Series(False, index=part.index)
             late += int(old.sum())
-            pdf = pdf[~old]
+            parts.append(part[~old])
+        pdf = pd.concat(parts, ignore_index=True).sort_values(list(order), kind="stable")
+        held = None
+        if group and len(pdf):
+            newest = pdf[frame] == pdf[frame].max()
+            held, pdf = pack(pdf[newest]), pdf[~newest]
+        if not len(pdf):
+            body = asdict(s) if is_dataclass(s) else s
+            state.update((json.dumps({"last": last, "late": late, "s": body, "held": held}),))
+            return
         out: list[tuple] = []
         if group:
             for _, part in pdf.groupby(frame, sort=True):
@@ -71,13 +91,12 @@ def stream_fold(
         else:
             for row in pdf.itertuples(index=False):
                 out += step(s, row)
-        if len(pdf):
-            last = int(pdf[frame].max())
+        last = int(pdf[frame].max())
         if out:
             out = [(*out[0], late), *[(*r, 0) for r in out[1:]]]
             late = 0
         body = asdict(s) if is_dataclass(s) else s
-        state.update((json.dumps({"last": last, "late": late, "s": body}),))
+        state.update((json.dumps({"last": last, "late": late, "s": body, "held": held}),))
         yield pd.DataFrame.from_records(out, columns=names)
 
     return df.groupBy(*keys).applyInPandasWithState(run, out_schema, "state string", "append", GroupStateTimeout.NoTimeout)
@@ -115,8 +134,8 @@ def warning_stream(tracks: DataFrame, cfg: WarningConfig = WarningConfig()) -> D
 
 def alert_stream(intents: DataFrame, cfg: AlertConfig = AlertConfig()) -> DataFrame:
     return stream_fold(
-        intents, ["camera_id"], ["frame_seq"], S.AlertState, lambda s, r: S.alert_step(cfg, s, r), S.ALERT_SCHEMA,
-        lambda d: S.AlertState(**d),
+        intents, ["camera_id"], ["frame_seq"], S.AlertState, lambda s, r: S.alert_of_frame(cfg, s, r), S.ALERT_SCHEMA,
+        lambda d: S.AlertState(*[S.RunLatch(**d[k]) for k in ("door", "alarm")]),
     )
 
 
