@@ -3,11 +3,11 @@
 Every window of ``window`` words is an edge of a De Bruijn graph over the corpus. Edges that occur once need no work,
 and most do: each window is filed under its minimizer, the ``seed_words``-word sequence in it with the smallest hash,
 neighbouring windows mostly share it, and only windows whose minimizer stands at two places or more can be repeated.
-These meet by their 128-bit hash; the first source coordinate (document, start) of an edge is its place, all later ones
+These meet by their 95-bit hash; the first source coordinate (document, start) of an edge is its place, all later ones
 are repeats. Repeats whose edges follow each other both here and at their source lie on one nonbranching path and
 compact to one span (start, length, source); a join on the document brings the spans back to the texts, which are cut.
 
-Repeats inside one batch of documents are found there, so that an edge that stands in a third of all documents leaves
+Documents with the text of an earlier one consist of repeats and never enter the graph. Repeats inside one batch of documents are found there, so that an edge that stands in a third of all documents leaves
 each batch once: no task ever holds all occurrences of an edge.
 """
 
@@ -104,13 +104,13 @@ def filed(base: DataFrame, config: DedupConfig) -> DataFrame:
 
 
 def edges(candidates: DataFrame, config: DedupConfig) -> DataFrame:
-    """Windows of candidate runs: (h, h2, doc_id, place, span).
+    """Windows of candidate runs: (h, check, doc_id, row, span).
 
-    ``candidates``: doc_id, row, hashes (of all words), runs (array of start and n). ``place`` packs row and start.
-    The first place of an edge in its batch leaves without ``span``; later places leave as finished spans (n windows,
+    ``candidates``: doc_id, row, hashes (of all words), runs (array of start and n). ``check`` holds a second hash of
+    31 bits and, in its low half, the start of the window; few bytes matter here. The first place of an edge in its batch leaves without ``span``; later places leave as finished spans (n windows,
     source document and place), under a random h.
     """
-    names = ["h", "h2", "doc_id", "place", "span"]
+    names = ["h", "check", "doc_id", "row", "span"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,24 +134,25 @@ def edges(candidates: DataFrame, config: DedupConfig) -> DataFrame:
                 at = offsets[of] - offsets[a] + start
                 h = rolling(part, config.window, 0xD6E8FEB86659FD93)[at]
                 h2 = rolling(mix(part + U(77)), config.window, 0xA0761D6478BD642F)[at]
-                parts.append((h.view(np.int64), h2.view(np.int64), ids[of], (rows[of] << 32) | start))
+                h2 = (h2 >> U(33)).astype(np.int64)
+                parts.append((h.view(np.int64), h2, ids[of], (rows[of] << 32) | start))
             if not parts or not sum(len(x[0]) for x in parts):
                 continue
             h, h2, doc, place = (np.concatenate(x) for x in zip(*parts))
             order = np.lexsort((place, doc, h2, h))
             h, h2, doc, place = h[order], h2[order], doc[order], place[order]
             fresh = np.concatenate(([True], (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])))
-            cols = [pa.array(x[fresh]) for x in (h, h2, doc, place)]
+            cols = [pa.array(x[fresh]) for x in (h, (h2 << 32) | (place & 0xFFFFFFFF), doc, place >> 32)]
             yield pa.record_batch([*cols, pa.nulls(int(fresh.sum()), pa.binary())], names=names)
             first, later = np.flatnonzero(fresh)[np.cumsum(fresh) - 1], ~fresh
             doc, place, n, src_doc, src_place = paths(doc[later], place[later], doc[first[later]], place[first[later]])
             if len(doc):
                 packed = np.column_stack([n, src_doc, src_place]).astype("<i8")
                 spread = mix(doc.view(np.uint64) * U(31) + place.view(np.uint64)).view(np.int64)
-                cols = [pa.array(x) for x in (spread, np.zeros(len(doc), np.int64), doc, place)]
+                cols = [pa.array(x) for x in (spread, place & 0xFFFFFFFF, doc, place >> 32)]
                 yield pa.record_batch([*cols, pa.array([x.tobytes() for x in packed], pa.binary())], names=names)
 
-    schema = "h bigint, h2 bigint, doc_id bigint, place bigint, span binary"
+    schema = "h bigint, check bigint, doc_id bigint, row bigint, span binary"
     return candidates.select("doc_id", "row", "hashes", "runs").mapInArrow(cut, schema)
 
 
@@ -179,8 +180,11 @@ def repeats(edge_rows: DataFrame) -> DataFrame:
             done = batch.column(4).is_valid().to_numpy(zero_copy_only=False)
             finished = batch.filter(pa.array(done))
             packed = np.frombuffer(b"".join(finished.column(4).to_pylist()), "<i8").reshape(-1, 3)
-            yield pa.record_batch([finished.column(2), finished.column(3), *[pa.array(packed[:, k].copy()) for k in range(3)]], names=names)
-            h, h2, doc, place = (c.to_numpy()[~done] for c in batch.columns[:4])
+            h, check, doc, row = (c.to_numpy() for c in batch.columns[:4])
+            place = (row << 32) | (check & 0xFFFFFFFF)
+            cols = [doc[done], place[done], *[packed[:, k].copy() for k in range(3)]]
+            yield pa.record_batch([pa.array(x) for x in cols], names=names)
+            h, h2, doc, place = h[~done], check[~done] >> 32, doc[~done], place[~done]
             if not len(h):
                 continue
             same = np.zeros(len(h), bool)
@@ -195,25 +199,38 @@ def repeats(edge_rows: DataFrame) -> DataFrame:
             spans = paths(doc[same], place[same], src_doc[same], src_place[same])
             yield pa.record_batch([pa.array(x) for x in spans], names=names)
 
-    met = edge_rows.repartition("h").sortWithinPartitions("h", "h2", "doc_id", "place")
+    met = edge_rows.repartition("h").sortWithinPartitions("h", F.shiftright("check", 32), "doc_id", "row", "check")
     return met.mapInArrow(find, "doc_id bigint, place bigint, n bigint, src_doc bigint, src_place bigint")
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """doc_id, text and ``row``, which tells repeated rows of one id apart (by digest of the text)."""
-    text = F.coalesce(F.col("text"), F.lit("")).alias("text")
-    base = docs.filter("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), text)
-    return base.withColumn("row", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.md5("text"))))
+    """doc_id, text, row and copy: ``row`` tells repeated rows of one id apart (in order of the texts' digests),
+    ``copy`` says that an earlier document has the same text. All uses share one exchange of the texts by doc_id."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    base = docs.filter("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.md5(text).alias("key"))
+    ids = base.select("doc_id", "key")
+    first = ids.groupBy("key").agg(F.min("doc_id").alias("first"))
+    copies = ids.join(first, "key").filter("doc_id <> first").groupBy("doc_id").agg(F.collect_set("key").alias("copied"))
+    in_order = Window.partitionBy("doc_id").orderBy("key")
+    again = F.row_number().over(in_order) > F.rank().over(in_order)
+    rows = base.join(copies, "doc_id", "left").select(
+        "doc_id", "text", F.row_number().over(in_order).alias("row"), again.alias("_again"),
+        F.coalesce(F.array_contains("copied", F.col("key")), F.lit(False)).alias("_copied"),
+    )
+    return rows.select("doc_id", "text", "row", (F.col("_again") | F.col("_copied")).alias("copy"))
 
 
 def repeated_spans(docs: DataFrame, config: DedupConfig = DedupConfig()) -> DataFrame:
-    """doc_id, row, start, n (windows), src_doc, src_row, src_start of all repeats of windows (first places are none)."""
-    base = docs.filter("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    found = filed(base, config)
+    """doc_id, row, start, n (windows), src_doc, src_row, src_start of all repeats of windows (first places are none).
+
+    Documents that are copies as a whole are left out, see ``numbered``.
+    """
+    fresh = numbered(docs).filter(~F.col("copy"))
+    found = filed(fresh, config)
     twice = found.groupBy("m").agg(F.count("*").alias("c")).filter("c > 1").select("m")
     runs_of = found.join(twice, "m").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
     hashes = F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("hashes")
-    candidates = numbered(docs).join(runs_of, "doc_id").select("doc_id", "row", hashes, "runs")
+    candidates = fresh.join(runs_of, "doc_id").select("doc_id", "row", hashes, "runs")
     found = repeats(edges(candidates, config))
 
     def unpacked(place: str, row: str, start: str) -> list[Column]:
@@ -230,15 +247,16 @@ def deduplicate(docs: DataFrame, config: DedupConfig = DedupConfig()) -> DataFra
     documents one after the other. Extra columns are ignored; an empty table gives no rows.
     """
     spans = repeated_spans(docs, config).groupBy("doc_id").agg(F.collect_list(F.struct("row", "start", "n")).alias("spans"))
-    rows = numbered(docs).join(spans, "doc_id", "left").select("doc_id", "row", "text", "spans")
+    rows = numbered(docs).join(spans, "doc_id", "left").select("doc_id", "row", "text", "spans", "copy")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_removed, kept, sha = [], [], [], []
-            for row, text, spans in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+            copies = batch.column(4).to_pylist()
+            for row, text, spans, copy in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), copies):
                 found = WORD.findall(text.as_buffer().to_pybytes())
-                keep = np.ones(len(found), bool)
-                if spans.is_valid:
+                keep = np.full(len(found), not copy or len(found) < config.window)
+                if spans.is_valid and not copy:
                     inner = spans.values
                     own, pos, n = (inner.field(k).to_numpy(zero_copy_only=False) for k in range(3))
                     edge = np.zeros(len(found) + 1, np.int64)
