@@ -208,7 +208,19 @@ def mode_candidates(t):
     return d.select("camera_id", "frame_seq", c("mode").alias("candidate"))
 
 
-@query("mode_hysteresis")
+_RUN = "CASE WHEN n.candidate = r.sym THEN r.run + 1 ELSE 1 END"
+
+
+@query(
+    "mode_hysteresis",
+    f"""WITH RECURSIVE {_MOTION},
+  n AS (SELECT camera_id, frame_seq, mode AS candidate, ROW_NUMBER() OVER (PARTITION BY camera_id ORDER BY frame_seq) AS k FROM modes),
+  r AS (SELECT camera_id, k, frame_seq, candidate, candidate AS sym, 1 AS run, 'normal' AS mode FROM n WHERE k = 1
+    UNION ALL SELECT n.camera_id, n.k, n.frame_seq, n.candidate, n.candidate, {_RUN},
+      CASE WHEN {_RUN} >= CASE WHEN r.mode = 'violent' THEN 5 WHEN r.mode = 'large_sway' AND n.candidate = 'normal' THEN 4 ELSE 3 END THEN n.candidate ELSE r.mode END
+    FROM r JOIN n ON n.camera_id = r.camera_id AND n.k = r.k + 1)
+SELECT camera_id, frame_seq, candidate, mode FROM r""",
+)
 def _(t):
     return stateful.mode_hysteresis(mode_candidates(t))
 

@@ -144,3 +144,52 @@ def test_mode_hysteresis_pieces(spark, monkeypatch):
                 if n >= need:
                     mode, pend, n = m, None, 0
             assert got[(cam, f)] == mode
+
+
+def test_look_back_over_frames_with_gaps(spark):
+    rnd = random.Random(4)
+    rows, f = [], 0
+    for i in range(300):
+        f += rnd.choice([1, 3, 10, 97])
+        rows.append((1, f, i))
+    d = spark.createDataFrame(rows, "camera_id bigint, frame_seq bigint, i bigint")
+    build = lambda d, w: d.withColumn("n", F.count(F.lit(1)).over(w(-4, 0))).withColumn("first", F.first("i").over(w(-4, 0)))
+    got = ranking.look_back(d, ["camera_id"], "frame_seq", 4, build, span=SPAN).collect()
+    assert len(got) == len(rows)
+    assert all(r.n == min(r.i + 1, 5) and r.first == max(r.i - 4, 0) for r in got)
+
+
+def test_ranks_of_null_keys(spark):
+    rows = [(None if i % 3 == 0 else i % 2, None if i % 4 == 0 else i // 5, i) for i in range(60)]
+    d = spark.createDataFrame(rows, "g int, b int, i int")
+    got = ranking.two_level_prefix(d, ["g"], [F.col("b")], [F.col("b"), F.col("i")], {"r": F.lit(1)}).collect()
+    for g in (None, 0, 1):
+        own = sorted((r for r in got if r.g == g), key=lambda r: (r.b is not None, r.b or 0, r.i))
+        assert [r.r for r in own] == list(range(1, len(own) + 1))
+
+
+def test_repeated_ground_truth_rows_count_each(spark):
+    box = (1, 7, 0, 0.5, 0.5, 0.2, 0.2)
+    gt = spark.createDataFrame([box, box, (1, 8, 1, 0.1, 0.1, 0.1, 0.1)], "image_id bigint, box_id bigint, cls_id int, cx double, cy double, w double, h double")
+    pred = gt.filter("box_id = 7").limit(1).withColumnRenamed("box_id", "det_id").withColumn("conf", F.lit(0.9))
+    report = {r.cls_id: (r.total, r.matched) for r in match.class_fn_report(gt, pred).collect()}
+    assert report == {0: (2, 2), 1: (1, 0)}
+    assert match.fn_taxonomy(gt, pred).count() == 2
+    assert match.residual_items(gt, pred).count() == 1
+
+
+def test_alert_windows_equal_the_stream_rule(spark, monkeypatch):
+    from doorlens.config import AlertConfig
+    from types import SimpleNamespace
+
+    rnd = random.Random(6)
+    rows, intent, area = [], "OPEN", 0.2
+    for f in range(1, 400):
+        intent = intent if rnd.random() < 0.7 else rnd.choice(["OPEN", "CLOSE", "UNKNOWN"])
+        area = area if rnd.random() < 0.7 else rnd.choice([0.0, 0.07, 0.09, 0.1, 0.3])
+        rows.append((1, "s", f * 3, intent, area))
+    d = spark.createDataFrame(rows, "camera_id bigint, session string, frame_seq bigint, intent string, max_area double")
+    got = stateful.asym_alert(d, keys=("camera_id", "session")).orderBy("frame_seq").collect()
+    s, cfg = stateful.AlertState(), AlertConfig()
+    want = [stateful.alert_of_frame(cfg, s, SimpleNamespace(camera_id=1, frame_seq=r[2], intent=r[3], max_area=r[4]))[0] for r in rows]
+    assert [(r.state, r.alert) for r in got] == [w[2:4] for w in want] and {r.session for r in got} == {"s"}
