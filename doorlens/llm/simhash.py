@@ -116,8 +116,9 @@ def compare_edits(docs: DataFrame, radius: int = 3, blocks: int = 6, every: int
     longest = lengths.groupBy("doc_id").agg(F.max("s.n").alias("longest"))
     need = ring.select("doc_id", "prev_id", "text_key").join(longest.withColumnRenamed("doc_id", "prev_id"), "prev_id")
     cut = F.substring(F.col("text"), F.lit(1), F.floor(F.col("longest") / 4).cast("int"))
-    starts = base.join(need, "doc_id").filter(F.md5("text") == F.col("text_key"))
-    starts = starts.select(F.col("prev_id").alias("doc_id"), cut.alias("start")).dropDuplicates(["doc_id"])
+    # Not as a filter: an equality of digests would become a join key and deal the texts out once more.
+    start = F.when(F.md5("text") == F.col("text_key"), cut).alias("start")
+    starts = base.join(need, "doc_id").select(F.col("prev_id").alias("doc_id"), start).groupBy("doc_id").agg(F.max("start").alias("start"))
     n = F.char_length("text").cast("bigint")
     quarter = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), (n - quarter).cast("int")), F.substring(F.col("start"), F.lit(1), quarter))
