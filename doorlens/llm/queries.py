@@ -14,9 +14,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def query(name: str):
+def query(name: str, sql: str | None = None):
     def add(fn: Callable[[SparkSession, str], DataFrame]):
         QUERIES[name] = fn
+        if sql is not None:
+            SQL[name] = sql
         return fn
 
     return add
@@ -35,7 +37,20 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return guessed.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-@query("op2_jaccard_join")
+_WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
+
+
+@query(
+    "op2_jaccard_join",
+    f"""WITH RECURSIVE t AS (SELECT doc_id, {_WORDS.format("lower(coalesce(text, ''))")} AS ws FROM documents),
+  s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(2, len(ws) - 3))) AS i FROM t WHERE len(ws) > 0)),
+  n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+  p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+  l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.8::DOUBLE * (x.n + y.n - c) - 1e-9::DOUBLE),
+  r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT t.doc_id, coalesce(least(k.b, t.doc_id), t.doc_id) AS class_id, coalesce(m.links, 0) AS links FROM t
+  LEFT JOIN (SELECT a, min(b) AS b FROM r GROUP BY 1) k ON k.a = t.doc_id LEFT JOIN (SELECT a, count(*) AS links FROM l GROUP BY 1) m ON m.a = t.doc_id""",
+)
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     """Class and number of near-duplicate links of every document (five-word shingles, Jaccard 0.8)."""
     return chosen_path.jaccard_join(table(spark, folder, "documents"))
@@ -65,7 +80,16 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"))
 
 
-@query("op7_substring_dedup")
+@query(
+    "op7_substring_dedup",
+    f"""WITH t AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+  w AS (SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM t WHERE len(ws) >= 20)),
+  d AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS k FROM w) WHERE k > 1),
+  c AS (SELECT DISTINCT doc_id, i + j AS i FROM d, (SELECT unnest(range(0, 20)) AS j)),
+  o AS (SELECT x.doc_id, x.i, x.w, c.i IS NULL AS kept FROM (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS w FROM t) x LEFT JOIN c ON c.doc_id = x.doc_id AND c.i = x.i),
+  k AS (SELECT doc_id, count(*) FILTER (NOT kept) AS gone, coalesce(string_agg(w, ' ' ORDER BY i) FILTER (kept), '') AS left_over FROM o GROUP BY 1)
+SELECT t.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(gone, 0) AS n_removed, sha256(coalesce(left_over, '')) AS kept_sha256 FROM t LEFT JOIN k ON k.doc_id = t.doc_id""",
+)
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     """Every document without the words of repeated 20-word windows."""
     return debruijn.deduplicate(table(spark, folder, "documents")).drop("kept")
