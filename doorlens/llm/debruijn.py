@@ -34,6 +34,7 @@ class DedupConfig:
     window: int = 20
     seed_words: int = 8
     slice_words: int = 1_000_000  # words that one vectorised step holds
+    hot: int = 4096  # minimizers whose rows are spread
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -226,9 +227,19 @@ def repeated_spans(docs: DataFrame, config: DedupConfig = DedupConfig()) -> Data
     Documents that are copies as a whole are left out, see ``numbered``.
     """
     fresh = numbered(docs).filter(~F.col("copy"))
-    found = filed(fresh, config)
-    twice = found.groupBy("m").agg(F.count("*").alias("c")).filter("c > 1").select("m")
-    runs_of = found.join(twice, "m").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    found = filed(fresh, config).filter("m is not null")  # said here, so that both uses of the counts share an exchange
+    twice = found.groupBy("m").agg(F.count("*").alias("c")).filter("c > 1")
+    # The most frequent minimizers are known by a list of fixed length, their rows are spread; every other key holds
+    # less than one part in ``hot`` of the rows.
+    hot = twice.orderBy(F.desc("c"), "m").limit(config.hot).select("m", F.lit(True).alias("hot"))
+    spread = found.join(F.broadcast(hot), "m", "left").select(
+        "doc_id", "start",
+        F.when(F.col("hot"), -F.col("n")).otherwise(F.col("n")).alias("n"),
+        F.when(F.col("hot"), F.xxhash64("doc_id")).otherwise(F.col("m")).alias("k"),
+    )
+    again = twice.select(F.col("m").alias("k"), F.lit(True).alias("again"))
+    repeated = spread.join(again, "k", "left").filter("n < 0 or again")
+    runs_of = repeated.groupBy("doc_id").agg(F.collect_list(F.struct("start", F.abs("n").alias("n"))).alias("runs"))
     hashes = F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("hashes")
     candidates = fresh.join(runs_of, "doc_id").select("doc_id", "row", hashes, "runs")
     found = repeats(edges(candidates, config))

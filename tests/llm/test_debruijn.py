@@ -25,7 +25,7 @@ def brute(data, k):
     return out
 
 
-@pytest.mark.parametrize("config", [DedupConfig(), DedupConfig(window=6, seed_words=3, slice_words=50)])
+@pytest.mark.parametrize("config", [DedupConfig(), DedupConfig(window=6, seed_words=3, slice_words=50, hot=5)])
 def test_equals_brute_force(spark, config):
     rng = random.Random(9)
     data = rows()
