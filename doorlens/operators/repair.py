@@ -182,8 +182,17 @@ def reject_reason(cfg: DoorConfig = DoorConfig(), polygon_mode: str = "correct")
     return out.otherwise("accepted")
 
 
+def with_confidence(dets: DataFrame) -> DataFrame:
+    """Adds ``raw_conf`` and sets ``conf`` and ``det_conf``: the classifier's confidence (``cls_conf``, else ``conf``)
+    counts unless the detector's is higher."""
+    raw = c("cls_conf") if "cls_conf" in dets.columns else c("conf")
+    det = c("det_conf") if "det_conf" in dets.columns else raw
+    return dets.withColumn("raw_conf", raw).withColumn("det_conf", det).withColumn("conf", F.greatest(c("raw_conf"), c("det_conf")))
+
+
 def post_filter(dets: DataFrame, cfg: DoorConfig = DoorConfig(), polygon_mode: str = "correct") -> DataFrame:
-    return dets.withColumn("reject_reason", reject_reason(cfg, polygon_mode))
+    """Adds the reject reason, and the confidence columns of ``with_confidence``."""
+    return with_confidence(dets).withColumn("reject_reason", reject_reason(cfg, polygon_mode))
 
 
 def illumination_band(mean_l="mean_l", std_l="std_l", dark: float = 85) -> Column:

@@ -8,6 +8,7 @@ from doorlens.config import MINING_BUCKETS, SWEEP_CONFS, SplitConfig
 from doorlens.functions.geometry import c
 from doorlens.operators import audit, augment, balance, governance, joins, match, mining, split
 from doorlens.plans import checks  # noqa: F401  (registers the check views)
+from doorlens.plans.check_rules import augmented
 from doorlens.plans.registry import digest, fields, query
 
 # -- matching ----------------------------------------------------------------------------------------------------
@@ -282,21 +283,22 @@ def _(t):
     return governance.gate_balance(balance.balance_manifest(balance.balance(d), features(t, False)))
 
 
-@query(
-    "augment_plan",
-    """SELECT image_id, profile, m AS multiplier, k AS copy_no, CASE WHEN k = 0 THEN file_name ELSE stem || '_' || profile || '_aug_' || CAST(k - 1 AS VARCHAR) || '.jpg' END AS out_name
+_AUGMENT = """SELECT image_id, profile, m AS multiplier, k AS copy_no, CASE WHEN k = 0 THEN file_name ELSE stem || '_' || profile || '_aug_' || CAST(k - 1 AS VARCHAR) || '.jpg' END AS out_name
 FROM (SELECT f.image_id, f.file_name, s.stem, CAST(CASE WHEN open_cnt > 0 THEN 5 ELSE 1 END AS INT) AS m, CAST(UNNEST(range(0, CASE WHEN open_cnt > 0 THEN 5 ELSE 1 END)) AS INT) AS k,
   CASE WHEN open_cnt > 0 AND is_type_a THEN 'augment_fn_open' WHEN open_cnt > 0 AND close_cnt > 0 THEN 'mixed_boundary' WHEN open_cnt > 0 AND min_open_area < 0.05::DOUBLE THEN 'small_object_open'
     WHEN open_cnt > 0 THEN 'open_normal' WHEN close_cnt > 0 THEN 'close_fp_like' ELSE 'hard_negative' END AS profile
-  FROM {flagged} f JOIN {stems} s ON f.image_id = s.image_id)""",
-)
+  FROM {flagged} f JOIN {stems} s ON f.image_id = s.image_id)"""
+
+
+@query("augment_plan", _AUGMENT)
 def _(t):
     return augment.augment_plan(features(t))
 
 
-@query("augment_boxes")
+@query("augment_boxes", augmented(_AUGMENT))
 def _(t):
-    return augment.augment_boxes(augment.augment_plan(features(t)), t.gt_boxes)
+    d = augment.augment_boxes(augment.augment_plan(features(t)), t.gt_boxes)
+    return d.withColumns({x: F.round(x, 6) for x in ("cx", "cy", "w", "h", "visible")})
 
 
 # -- mining ------------------------------------------------------------------------------------------------------

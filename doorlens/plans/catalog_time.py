@@ -10,6 +10,7 @@ from doorlens.operators import audit, governance, split, stateful, temporal
 from doorlens.operators.repair import gate_detections
 from doorlens.plans.catalog_rows import _GATED
 from doorlens.plans.catalog_sets import features
+from doorlens.plans.check_rules import doors
 from doorlens.plans.registry import fields, query
 
 # -- windows -----------------------------------------------------------------------------------------------------
@@ -146,38 +147,53 @@ def _(t):
     return temporal.episodes(t.frame_dets, c("frame_seq"), 13.0).select("camera_id", "frame_seq", "det_no", "episode")
 
 
-# -- keyed state (no SQL form; checked against plain restatements in the tests) -----------------------------------
+# -- keyed state --------------------------------------------------------------------------------------------------
 
 
-@query("track")
+@query("track", "SELECT * FROM {tracked}")
 def _(t):
     return stateful.track(t.frame_dets)
 
 
-@query("door_states")
+@query("door_states", doors("SELECT *, 1::BIGINT AS track_id, conf AS raw_conf, conf AS det_conf, 0 AS missed FROM {frame_obs}"))
 def _(t):
     return stateful.door_states(t.frame_obs)
 
 
-@query("track_door_states")
+@query("track_door_states", doors("SELECT *, cls_conf AS raw_conf, frame_seq * 400 AS timestamp_ms, 1280 AS frame_w, 720 AS frame_h FROM {cascaded}"))
 def _(t):
-    tracks = stateful.track(t.frame_dets).withColumn("timestamp_ms", c("frame_seq") * 33)
-    label = F.when(c("camera_id") % 2 == 0, "open").otherwise("close")
-    d = tracks.withColumn("conf", c("det_conf")).withColumn("label", label)
+    """The whole cascade: tracks, second-stage budget, the answers carried on the tracks, door states."""
+    tracks = stateful.track(t.frame_dets)
+    asked = stateful.secondary_budget(tracks).join(tracks, ["camera_id", "track_id", "frame_seq"])
+    answers = asked.select(
+        "camera_id", "track_id", "frame_seq",
+        F.when(c("frame_seq") % 70 < 24, "close").otherwise("open").alias("label"),
+        ((60 + (c("x1") * 17) % 40).cast("double") / 100).alias("cls_conf"),
+    )
+    d = stateful.second_stage(tracks, answers).withColumn("timestamp_ms", c("frame_seq") * 400)
     return stateful.door_states(d.withColumn("frame_w", F.lit(1280)).withColumn("frame_h", F.lit(720)))
 
 
-@query("early_warning")
+@query("early_warning", "SELECT * FROM {warned}")
 def _(t):
-    return stateful.early_warning(t.car_frames)
+    return stateful.early_warning(t.car_frames).withColumn("speed", F.round("speed", 6))
 
 
-@query("alarms")
+@query(
+    "alarms",
+    "SELECT event, track_id, camera_id, frame_seq, illumination AS illumination_status, luma, time, door_x1, door_y1, door_x2, door_y2 FROM {warned} WHERE alarm",
+)
 def _(t):
     return stateful.alarms(stateful.early_warning(t.car_frames))
 
 
-@query("runtime_counters")
+@query(
+    "runtime_counters",
+    """SELECT camera_id, COUNT(*) AS frames, CAST(SUM(n) AS BIGINT) AS vehicles, CAST(SUM(hi) AS BIGINT) AS high, CAST(SUM(mid) AS BIGINT) AS medium, CAST(SUM(lo) AS BIGINT) AS low,
+  COUNT(*) FILTER (rois > 0) AS s2_batches, CAST(SUM(rois) AS BIGINT) AS s2_rois, CAST(SUM(al) AS BIGINT) AS alarms
+FROM (SELECT camera_id, frame_seq, COUNT(*) AS n, COUNT(*) FILTER (priority = 'HIGH') AS hi, COUNT(*) FILTER (priority = 'MEDIUM') AS mid, COUNT(*) FILTER (priority = 'LOW') AS lo,
+    COUNT(*) FILTER (ran_s2) AS rois, COUNT(*) FILTER (alarm) AS al FROM {warned} GROUP BY 1, 2) GROUP BY 1""",
+)
 def _(t):
     return audit.runtime_counters(stateful.early_warning(t.car_frames))
 
@@ -238,7 +254,7 @@ def _(t):
     return d.select("camera_id", "frame_seq", *[F.round(x, 6).alias(x) for x in ("out_dx", "out_dy", "out_da")])
 
 
-@query("secondary_budget")
+@query("secondary_budget", "SELECT * FROM {budgeted}")
 def _(t):
     d = stateful.track(t.frame_dets)
     return stateful.secondary_budget(d.select("camera_id", "frame_seq", "track_id", "missed", "det_conf"))

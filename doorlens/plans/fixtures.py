@@ -114,6 +114,8 @@ FROM {frame_obs}""",
     "car_frames": """
 SELECT camera_id, (frame_seq - frame_seq % 3) / 3 + (frame_seq - frame_seq % 90) / 90 * 25 AS frame_seq,
   frame_seq % 3 + (frame_seq - frame_seq % 21) / 21 * 3 AS track_id,
+  (frame_seq - frame_seq % 3) / 3 * 400 AS timestamp_ms,
+  CAST(event_id % 20 AS INT) AS roi_x1, CAST(event_id % 9 AS INT) AS roi_y1, CAST(30 + event_id % 20 AS INT) AS roi_x2, CAST(60 + event_id % 9 AS INT) AS roi_y2,
   x1, y1, CASE WHEN event_id % 29 = 0 THEN x1 + 30 ELSE x2 END AS x2, y2, frame_w, frame_h, mean_l, std_l,
   CASE WHEN (frame_seq - frame_seq % 24) % 48 = 0 THEN CASE WHEN event_type IN ('click', 'view') THEN 'door_open' ELSE 'door_opening' END
        ELSE 'door_closed' END AS roi_state

@@ -23,7 +23,6 @@ from doorlens.config import AlertConfig, DoorConfig, TrackerConfig, WarningConfi
 from doorlens.functions.geometry import c
 from doorlens.operators import stateful as S
 from doorlens.operators.folds import column_names
-from doorlens.operators.repair import illumination_band
 
 
 def _load_tracker(d: dict) -> S.TrackerState:
@@ -40,7 +39,7 @@ def _load_door(d: dict) -> S.DoorState:
 
 
 def _load_warning(d: dict) -> S.WarningState:
-    return S.WarningState({int(i): S.CarMemory(**{**m, "box": tuple(m["box"]), "center": tuple(m["center"])}) for i, m in d["cars"].items()})
+    return S.WarningState({int(i): S.CarMemory(**{**m, "box": tuple(m["box"]), "center": tuple(m["center"]), "door_box": tuple(m["door_box"]) if m["door_box"] else None}) for i, m in d["cars"].items()})
 
 
 def pack(rows: pd.DataFrame) -> str:
@@ -125,7 +124,7 @@ def door_stream(tracks: DataFrame, cfg: DoorConfig = DoorConfig()) -> DataFrame:
 
 
 def warning_stream(tracks: DataFrame, cfg: WarningConfig = WarningConfig()) -> DataFrame:
-    d = tracks.withColumn("illumination", illumination_band(dark=cfg.dark_threshold))
+    d = S.warning_input(tracks, cfg)
     return stream_fold(
         d, ["camera_id"], ["frame_seq", "track_id"], S.WarningState, lambda s, g: S.warning_step(cfg, s, g),
         S.WARNING_SCHEMA, _load_warning, group=True,
