@@ -4,6 +4,11 @@ State is kept per camera (or camera and track) as a small JSON text. Rows of a m
 their key. Where a frame has several rows, its rows may arrive in several micro-batches: the newest frame of a key waits
 in the state until a later frame of that key arrives. Rows at or before the last processed
 frame are late: they are dropped and counted in ``late_rows`` of the next output row of that key.
+
+With ``Timing`` the stream has a watermark and keys have timers: a key without rows for ``idle_ms`` is closed once the
+watermark has passed, without any new row of it. Its waiting frame is processed, the rule says what follows from the
+silence (a door is unknown then), and its state is dropped; the tracker keeps its id counter only. A micro-batch's rows
+of one key are sorted in memory, so the trigger's size limit bounds them.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from __future__ import annotations
 import base64
 import json
 import pickle
-from dataclasses import asdict, fields, is_dataclass
+from dataclasses import asdict, dataclass, fields, is_dataclass, replace
 from typing import Any, Callable, Iterator, Sequence
 
 import pandas as pd
@@ -42,6 +47,13 @@ def _load_warning(d: dict) -> S.WarningState:
     return S.WarningState({int(i): S.CarMemory(**{**m, "box": tuple(m["box"]), "center": tuple(m["center"]), "door_box": tuple(m["door_box"]) if m["door_box"] else None}) for i, m in d["cars"].items()})
 
 
+@dataclass(frozen=True)
+class Timing:
+    column: str = "event_time"  # timestamp column of the stream
+    delay: str = "10 seconds"  # how late a row may come
+    idle_ms: int = 60_000  # silence that closes a key
+
+
 def pack(rows: pd.DataFrame) -> str:
     return base64.b64encode(pickle.dumps(rows)).decode()
 
@@ -57,61 +69,101 @@ def stream_fold(
     start: Callable[[], Any],
     step: Callable[[Any, Any], list[tuple]],
     schema: str,
-    load: Callable[[dict], Any],
+    load: Callable[[Any], Any],
     group: bool = False,
+    timing: Timing | None = None,
+    silent: Callable[[tuple, Any, int], list[tuple]] = lambda key, s, last: [],
+    keep: Callable[[Any], Any] = lambda s: None,
 ) -> DataFrame:
-    """``ordered_fold`` over a stream. Output has the batch columns and ``late_rows``."""
+    """``ordered_fold`` over a stream. Output has the batch columns and ``late_rows``.
+
+    When a key is closed by its timer, ``silent(key, state, last frame)`` gives the rows that follow from the silence
+    and ``keep(state)`` the state that stays (None: none).
+    """
     out_schema = f"{schema}, late_rows bigint"
     names = column_names(out_schema)
     frame = order[0]
 
+    def steps(s: Any, pdf: pd.DataFrame) -> list[tuple]:
+        out: list[tuple] = []
+        if group:
+            for _, part in pdf.groupby(frame, sort=True):
+                out += step(s, list(part.itertuples(index=False)))
+        else:
+            for row in pdf.itertuples(index=False):
+                out += step(s, row)
+        return out
+
+    def counted(rows: list[tuple], late: int) -> pd.DataFrame:
+        return pd.DataFrame.from_records([(*r, 0 if i else late) for i, r in enumerate(rows)], columns=names)
+
+    def save(state: GroupState, **saved: Any) -> None:
+        s = saved["s"]
+        state.update((json.dumps(saved | {"s": asdict(s) if is_dataclass(s) else s}),))
+
+    def close(key: tuple, state: GroupState, saved: dict, s: Any) -> list[tuple]:
+        out, last = [], saved["last"]
+        if saved["held"]:
+            pdf = unpack(saved["held"])
+            out, last = steps(s, pdf), int(pdf[frame].max())
+        out += silent(key, s, last)
+        left = keep(s)
+        if left is None:
+            state.remove()
+        else:
+            save(state, last=last, late=0 if out else saved["late"], s=left, held=None, seen=None)
+        return out
+
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        saved = json.loads(state.get[0]) if state.exists else {"last": None, "late": 0, "s": None, "held": None}
+        saved = json.loads(state.get[0]) if state.exists else {"last": None, "late": 0, "s": None, "held": None, "seen": None}
         s = load(saved["s"]) if saved["s"] is not None else start()
-        last, late = saved["last"], saved["late"]
+        if state.hasTimedOut:
+            out = close(key, state, saved, s)
+            if out:
+                yield counted(out, saved["late"])
+            return
+        last, late, seen = saved["last"], saved["late"], saved["seen"]
         parts = [unpack(saved["held"])] if saved["held"] else []
         for part in batches:
             old = part[frame] <= last if last is not None else pd.Series(False, index=part.index)
             late += int(old.sum())
             parts.append(part[~old])
+            if timing and len(part):
+                seen = max(seen or 0, int(part[timing.column].max().timestamp() * 1000))
         pdf = pd.concat(parts, ignore_index=True).sort_values(list(order), kind="stable")
         held = None
         if group and len(pdf):
             newest = pdf[frame] == pdf[frame].max()
             held, pdf = pack(pdf[newest]), pdf[~newest]
-        if not len(pdf):
-            body = asdict(s) if is_dataclass(s) else s
-            state.update((json.dumps({"last": last, "late": late, "s": body, "held": held}),))
-            return
-        out: list[tuple] = []
-        if group:
-            for _, part in pdf.groupby(frame, sort=True):
-                out += step(s, list(part.itertuples(index=False)))
-        else:
-            for row in pdf.itertuples(index=False):
-                out += step(s, row)
-        last = int(pdf[frame].max())
+        out = steps(s, pdf) if len(pdf) else []
+        if len(pdf):
+            last = int(pdf[frame].max())
+        save(state, last=last, late=0 if out else late, s=s, held=held, seen=seen)
+        if timing:
+            state.setTimeoutTimestamp(max(seen + timing.idle_ms, state.getCurrentWatermarkMs() + 1))
         if out:
-            out = [(*out[0], late), *[(*r, 0) for r in out[1:]]]
-            late = 0
-        body = asdict(s) if is_dataclass(s) else s
-        state.update((json.dumps({"last": last, "late": late, "s": body, "held": held}),))
-        yield pd.DataFrame.from_records(out, columns=names)
+            yield counted(out, late)
 
-    return df.groupBy(*keys).applyInPandasWithState(run, out_schema, "state string", "append", GroupStateTimeout.NoTimeout)
+    kind = GroupStateTimeout.NoTimeout
+    if timing:
+        df, kind = df.withWatermark(timing.column, timing.delay), GroupStateTimeout.EventTimeTimeout
+    return df.groupBy(*keys).applyInPandasWithState(run, out_schema, "state string", "append", kind)
 
 
-def track_stream(dets: DataFrame, cfg: TrackerConfig = TrackerConfig()) -> DataFrame:
+def track_stream(dets: DataFrame, cfg: TrackerConfig = TrackerConfig(), timing: Timing | None = None) -> DataFrame:
     """Track ids are counted per camera over the whole stream, as in batch."""
     d = dets.withColumn("episode", F.lit(0).cast("bigint"))
     out = stream_fold(
         d, ["camera_id"], ["frame_seq", "det_no"], S.TrackerState, lambda s, g: S.track_step(cfg, s, g),
-        S.TRACK_SCHEMA, _load_tracker, group=True,
+        S.TRACK_SCHEMA, _load_tracker, group=True, timing=timing, keep=lambda s: S.TrackerState(next_id=s.next_id),
     )
     return out.withColumnRenamed("local_id", "track_id").drop("episode")
 
 
-def door_stream(tracks: DataFrame, cfg: DoorConfig = DoorConfig()) -> DataFrame:
+def door_stream(tracks: DataFrame, cfg: DoorConfig = DoorConfig(), timing: Timing | None = None) -> DataFrame:
+    """With ``timing`` (``idle_ms`` is the rule's timeout then), a door that is silent for the timeout gets one row that
+    says UNKNOWN, at the time the timeout ran out; its frame is the last one seen."""
+
     def step(s: S.DoorState, r: Any) -> list[tuple]:
         # the silence that separates batch episodes
         if cfg.timeout == "spec" and s.last_ms is not None and r.timestamp_ms - s.last_ms >= cfg.timeout_ms:
@@ -119,15 +171,24 @@ def door_stream(tracks: DataFrame, cfg: DoorConfig = DoorConfig()) -> DataFrame:
                 setattr(s, f.name, getattr(S.DoorState(), f.name))
         return S.door_step(cfg, s, r)
 
+    def silent(key: tuple, s: S.DoorState, last: int) -> list[tuple]:
+        if s.state == "UNKNOWN":
+            return []
+        at, box = s.last_ms + cfg.timeout_ms, s.box or (None,) * 4
+        return [(*key, last, "UNKNOWN", 0.0, 0, *box, at, at < s.cooldown_until, "none", "none", 0.0, 0.0, "no_observation", "state_timeout_unknown")]
+
+    if timing and cfg.timeout == "spec":
+        timing = replace(timing, idle_ms=cfg.timeout_ms)
+    says = silent if cfg.timeout == "spec" else lambda key, s, last: []
     d = S.observations(tracks, cfg)
-    return stream_fold(d, ["camera_id", "track_id"], ["frame_seq"], S.DoorState, step, S.DOOR_SCHEMA, _load_door)
+    return stream_fold(d, ["camera_id", "track_id"], ["frame_seq"], S.DoorState, step, S.DOOR_SCHEMA, _load_door, timing=timing, silent=says)
 
 
-def warning_stream(tracks: DataFrame, cfg: WarningConfig = WarningConfig()) -> DataFrame:
+def warning_stream(tracks: DataFrame, cfg: WarningConfig = WarningConfig(), timing: Timing | None = None) -> DataFrame:
     d = S.warning_input(tracks, cfg)
     return stream_fold(
         d, ["camera_id"], ["frame_seq", "track_id"], S.WarningState, lambda s, g: S.warning_step(cfg, s, g),
-        S.WARNING_SCHEMA, _load_warning, group=True,
+        S.WARNING_SCHEMA, _load_warning, group=True, timing=timing,
     )
 
 
@@ -138,6 +199,30 @@ def alert_stream(intents: DataFrame, cfg: AlertConfig = AlertConfig()) -> DataFr
     )
 
 
+def mode_stream(modes: DataFrame, timing: Timing | None = None) -> DataFrame:
+    """Motion mode with hysteresis; the mode of a closed camera starts afresh."""
+    return stream_fold(
+        modes, ["camera_id"], ["frame_seq"], lambda: S.RunLatch("normal"), S.mode_of_frame,
+        "camera_id bigint, frame_seq bigint, candidate string, mode string", lambda d: S.RunLatch(**d), timing=timing,
+    )
+
+
+def smooth_stream(motion: DataFrame, alpha: float = 0.8, timing: Timing | None = None) -> DataFrame:
+    """Smoothed path correction; the path of a closed camera starts afresh."""
+    return stream_fold(
+        S.smoothing_input(motion, alpha), ["camera_id"], ["frame_seq"], S.SmoothState,
+        lambda s, r: [(r.camera_id, *row) for row in S.smooth_step(s, r)],
+        f"camera_id bigint, {S.SMOOTH_SCHEMA}", lambda d: S.SmoothState(**d), timing=timing,
+    )
+
+
+def budget_stream(tracks: DataFrame, interval: int = 3, budget: int = 3, timing: Timing | None = None) -> DataFrame:
+    return stream_fold(
+        tracks, ["camera_id"], ["frame_seq", "track_id"], dict, lambda s, g: S.budget_step(interval, budget, s, g),
+        S.BUDGET_SCHEMA, lambda d: {int(i): f for i, f in d.items()}, group=True, timing=timing,
+    )
+
+
 def write_batches(stream: DataFrame, writer: Callable[[DataFrame, int], None], checkpoint: str):
     """Hands every micro-batch to the caller's writer (a storage plug-in)."""
     return stream.writeStream.foreachBatch(writer).option("checkpointLocation", checkpoint).start()

@@ -80,6 +80,60 @@ def test_alerts(spark, t, tmp_path):
     same(through_stream(spark, tmp_path, d, X.alert_stream), batch, batch.columns)
 
 
+def test_modes_paths_and_budget(spark, t, tmp_path):
+    modes = t.frame_motion.select("camera_id", "frame_seq", F.when(F.col("dx") > 0, "violent").otherwise("normal").alias("candidate"))
+    for name, d, op, batch in [
+        ("m", modes, X.mode_stream, S.mode_hysteresis(modes)),
+        ("p", t.frame_motion, X.smooth_stream, S.smooth_trajectory(t.frame_motion)),
+    ]:
+        (tmp_path / name).mkdir()
+        same(through_stream(spark, tmp_path / name, d, op), batch, batch.columns)
+    tracks = S.track(t.frame_dets).select("camera_id", "frame_seq", "track_id", "missed", "det_conf")
+    batch = S.secondary_budget(tracks)
+    (tmp_path / "b").mkdir()
+    out = through_stream(spark, tmp_path / "b", tracks, X.budget_stream)
+    newest = tracks.groupBy("camera_id").agg(F.max("frame_seq").alias("m"))
+    same(out, batch.join(newest, "camera_id").filter("frame_seq < m"), batch.columns)
+
+
+def timed(spark, tmp_path, batches, schema, op):
+    """Rows of a stream whose files come one per micro-batch, in the order given."""
+    src = str(tmp_path / "in")
+    for rows in batches:
+        spark.createDataFrame(rows, schema).withColumn("event_time", F.timestamp_millis("timestamp_ms")).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(spark.read.parquet(src).schema).option("maxFilesPerTrigger", 1).parquet(src)
+    name = f"out_{tmp_path.name}".replace("-", "_")
+    q = op(stream).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    return spark.table(name), q.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+
+DOOR = "camera_id bigint, track_id bigint, frame_seq bigint, timestamp_ms bigint, label string, conf double, x1 int, y1 int, x2 int, y2 int, frame_w int, frame_h int"
+
+
+def door_row(camera, frame, ms):
+    return (camera, 1, frame, ms, "close", 0.9, 100, 100, 300, 300, 1280, 720)
+
+
+def test_a_silent_door_becomes_unknown_without_a_new_frame(spark, tmp_path):
+    batches = [[door_row(1, f, f * 400) for f in range(1, 6)], [door_row(2, 1, 60_000)], [door_row(2, 2, 60_400)]]
+    out, keys = timed(spark, tmp_path, batches, DOOR, lambda s: X.door_stream(s, timing=X.Timing(delay="1 second")))
+    rows = out.filter("camera_id = 1").orderBy("timestamp_ms").collect()
+    assert [r.state for r in rows] == ["UNKNOWN", "UNKNOWN", "CLOSED", "CLOSED", "CLOSED", "UNKNOWN"]
+    assert (rows[-1].debug_reason, rows[-1].timestamp_ms, rows[-1].frame_seq) == ("state_timeout_unknown", 5000, 5)
+    assert keys == 1  # the silent door's state is gone
+
+
+def test_a_silent_camera_gives_its_last_frame_and_keeps_only_the_id_counter(spark, tmp_path):
+    schema = "camera_id bigint, frame_seq bigint, timestamp_ms bigint, det_no int, conf double, x1 int, y1 int, x2 int, y2 int"
+    box = (0, 0.9, 100, 100, 300, 300)
+    batches = [[(1, f, f * 400, *box) for f in (1, 2)], [(2, 1, 200_000, *box)], [(2, 2, 200_400, *box)], [(1, 900, 300_000, *box), (1, 901, 300_400, *box)]]
+    out, _ = timed(spark, tmp_path, batches, schema, lambda s: X.track_stream(s, timing=X.Timing(delay="1 second")))
+    rows = out.filter("camera_id = 1").orderBy("frame_seq").collect()
+    assert [(r.frame_seq, r.track_id, r.age) for r in rows] == [(1, 1, 1), (2, 1, 2), (900, 2, 1)]
+
+
 def test_late_rows_are_dropped_and_counted(spark, tmp_path):
     cols = "camera_id bigint, frame_seq bigint, intent string, max_area double"
     first = spark.createDataFrame([(1, 5, "OPEN", 0.2), (1, 4, "OPEN", 0.2)], cols)  # out of order inside a batch
