@@ -103,15 +103,20 @@ def latest_run(runs: DataFrame) -> DataFrame:
 
 
 def registry(promotions: DataFrame, runs: DataFrame) -> DataFrame:
-    """Registry rows of promoted runs: data and config hashes and the parent run."""
+    """Registry rows of promoted runs: data and config hashes, metrics, ghost statistics and the parent run.
+
+    ``runs`` carries the run's settings as text in ``config``.
+    """
     info = runs.select(
         "run_id",
         "dataset",
         content_hash("dataset").alias("dataset_hash"),
-        content_hash("experiment", "mode").alias("config_hash"),
+        content_hash("config").alias("config_hash"),
+        "map50", "map50_95", "open_recall", "ghost_fp",
     )
-    d = promotions.filter("promoted").join(info, "run_id")
-    return d.select("experiment", "run_id", "mode", "dataset", "dataset_hash", "config_hash", "parent_run")
+    d = promotions.filter("promoted").select("experiment", "run_id", "mode", "parent_run").join(info, "run_id")
+    metrics = ("map50", "map50_95", "open_recall", "ghost_fp")
+    return d.select("experiment", "run_id", "mode", "dataset", "dataset_hash", "config_hash", "parent_run", *metrics)
 
 
 def gate_autolabel(stats: DataFrame, cfg: GateConfig = GateConfig()) -> DataFrame:
@@ -173,7 +178,9 @@ def validate(images: DataFrame, lines: DataFrame, nc: int = 2) -> DataFrame:
     """Violations per rule and split. Input images carry ``split``; all lines are checked.
 
     Besides the line rules: ``no_labels`` (no label line in the split), ``train_val_overlap`` (same file name in both)
-    and ``empty_labels`` (images without lines, for information).
+    and ``empty_labels`` (images without lines, for information). Where images carry ``label_state`` (see
+    ``readers.scan_images`` with a listing), ``no_label_files`` (no image of the split has a label file) and
+    ``all_labels_empty`` (all label files of the split are empty) tell the two cases of ``no_labels`` apart.
     """
     per_line = line_violations(lines, nc).groupBy("image_id", "rule").agg(F.count(F.lit(1)).alias("n"))
     rules = (
@@ -197,4 +204,14 @@ def validate(images: DataFrame, lines: DataFrame, nc: int = 2) -> DataFrame:
         .filter(c("n") > 0)
         .select(F.lit("both").alias("split"), F.lit("train_val_overlap").alias("rule"), "n", "images")
     )
-    return rules.unionByName(empty).unionByName(none).unionByName(overlap)
+    out = rules.unionByName(empty).unionByName(none).unionByName(overlap)
+    if "label_state" in images.columns:
+        files = images.groupBy("split").agg(
+            F.count(F.lit(1)).alias("n"),
+            F.count_if(c("label_state") != "absent").alias("there"),
+            F.count_if(c("label_state") == "filled").alias("filled"),
+        )
+        rule = F.when(c("there") == 0, "no_label_files").when(c("filled") == 0, "all_labels_empty")
+        bad = files.withColumn("rule", rule).filter(c("rule").isNotNull())
+        out = out.unionByName(bad.select("split", "rule", "n", c("n").alias("images")))
+    return out

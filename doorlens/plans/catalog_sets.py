@@ -298,7 +298,7 @@ def _(t):
 @query("augment_boxes", augmented(_AUGMENT))
 def _(t):
     d = augment.augment_boxes(augment.augment_plan(features(t)), t.gt_boxes)
-    return d.withColumns({x: F.round(x, 6) for x in ("cx", "cy", "w", "h", "visible")})
+    return d.withColumns({x: F.round(x, 9) for x in ("cx", "cy", "w", "h", "visible")})
 
 
 # -- mining ------------------------------------------------------------------------------------------------------

@@ -283,11 +283,12 @@ def _(t):
 @query(
     "registry",
     _PROMOTE
-    + """SELECT p.experiment, p.run_id, p.mode, r.dataset, substr(sha256(r.dataset), 1, 12) AS dataset_hash, substr(sha256(concat_ws('|', p.experiment, p.mode)), 1, 12) AS config_hash, parent_run
+    + """SELECT p.experiment, p.run_id, p.mode, r.dataset, substr(sha256(r.dataset), 1, 12) AS dataset_hash, substr(sha256(concat_ws('|', r.mode, r.dataset, r.save_dir)), 1, 12) AS config_hash, parent_run, r.map50, r.map50_95, r.open_recall, r.ghost_fp
 FROM p JOIN r ON p.run_id = r.run_id WHERE promoted""",
 )
 def _(t):
-    return governance.registry(governance.promotion_history(t.experiments), t.experiments)
+    runs = t.experiments.withColumn("config", F.concat_ws("|", "mode", "dataset", "save_dir"))
+    return governance.registry(governance.promotion_history(t.experiments), runs)
 
 
 @query(

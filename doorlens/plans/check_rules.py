@@ -154,7 +154,7 @@ def augmented(plan: str) -> str:
   m AS (SELECT *, (ux * cos(a) - uy * sin(a)) * s + 0.5 + tx AS cx, (ux * sin(a) + uy * cos(a)) * s + 0.5 + ty AS cy, (bw * abs(cos(a)) + bh * abs(sin(a))) * s AS w, (bw * abs(sin(a)) + bh * abs(cos(a))) * s AS h FROM q),
   k AS (SELECT *, {cut} FROM m),
   z AS (SELECT *, CASE WHEN w * h > 0 THEN greatest(0, x2 - x1) * greatest(0, y2 - y1) / (w * h) END AS visible FROM k)
-SELECT image_id, box_id, cls_id, copy_no, profile, out_name, ROUND((x1 + x2) / 2, 6) AS cx, ROUND((y1 + y2) / 2, 6) AS cy, ROUND(x2 - x1, 6) AS w, ROUND(y2 - y1, 6) AS h, ROUND(visible, 6) AS visible FROM z WHERE visible >= 0.3::DOUBLE"""
+SELECT image_id, box_id, cls_id, copy_no, profile, out_name, ROUND((x1 + x2) / 2, 9) AS cx, ROUND((y1 + y2) / 2, 9) AS cy, ROUND(x2 - x1, 9) AS w, ROUND(y2 - y1, 9) AS h, ROUND(visible, 9) AS visible FROM z WHERE visible >= 0.3::DOUBLE"""
 
 
 fixtures.CHECK_VIEWS |= {"warned": warnings(BAND), "tracked": _TRACKED, "budgeted": _BUDGET, "cascaded": _CASCADE}

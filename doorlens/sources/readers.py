@@ -42,13 +42,15 @@ def list_media(spark: SparkSession, paths: str | list[str], exts: Sequence[str]
     return d.withColumn("file_name", F.regexp_extract("path", r"([^/]*)$", 1)).orderBy("path")
 
 
-def scan_images(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def scan_images(spark: SparkSession, paths: str | list[str], listing: DataFrame | None = None) -> DataFrame:
     """Images with the label file of the same stem in the sibling ``labels`` folder, if there is one.
 
-    Spark's file sources pass over zero-byte files, so an empty label reads like a missing one: ``label_path`` is null
-    and the image is background, which is how both cases are meant.
+    ``label_state`` is absent, empty or filled. Spark's file sources pass over zero-byte files, so only a ``listing``
+    (path, length: an inventory table of the store) shows empty label files; without one they count as absent.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("path", "length")
+    if listing is None:
+        listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+    files = listing.select("path", "length")
     folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
     images = files.filter(_has_ext(c("path"), IMAGE_EXTS)).select(
         "path",
@@ -63,7 +65,8 @@ def scan_images(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         stem("path").alias("stem"),
         F.regexp_replace(folder, "/labels$", "").alias("_root"),
     )
-    return images.join(labels, ["_root", "stem"], "left").drop("_root")
+    state = F.when(c("label_path").isNull(), "absent").when(c("label_length") == 0, "empty").otherwise("filled")
+    return images.join(labels, ["_root", "stem"], "left").drop("_root").withColumn("label_state", state)
 
 
 def read_label_lines(spark: SparkSession, paths: str | list[str], skip: Sequence[str] = ()) -> DataFrame:

@@ -37,6 +37,17 @@ def test_scan_and_media(spark, folder):
     assert [r.file_name for r in readers.list_media(spark, str(folder)).collect()] == ["a.jpg", "b.PNG", "c.jpg"]
 
 
+def test_a_listing_tells_empty_from_absent_labels(spark):
+    files = [("/d/train/images/a.jpg", 9), ("/d/train/labels/a.txt", 0), ("/d/val/images/b.jpg", 9), ("/d/ok/images/c.jpg", 9), ("/d/ok/labels/c.txt", 20)]
+    got = readers.scan_images(spark, "/d", spark.createDataFrame(files, "path string, length bigint"))
+    assert {r.stem: r.label_state for r in got.collect()} == {"a": "empty", "b": "absent", "c": "filled"}
+    images = got.withColumn("split", F.regexp_extract("path", "/d/([a-z]+)/", 1)).withColumn("image_id", F.ascii("stem").cast("bigint"))
+    lines = spark.createDataFrame([(ord("c"), 1, "0 0.5 0.5 0.2 0.2")], "image_id bigint, line_no bigint, line string")
+    found = {(r.split, r.rule) for r in governance.validate(images, lines).collect()}
+    assert {("train", "all_labels_empty"), ("val", "no_label_files")} <= found
+    assert not any(s == "ok" for s, _ in found)
+
+
 def test_label_lines_parse_and_repair(spark, folder):
     lines = readers.read_review_labels(spark, str(folder))
     assert {r.file_name for r in lines.collect()} == {"a.txt"}
