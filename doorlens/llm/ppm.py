@@ -26,11 +26,10 @@ U = np.uint64
 
 @dataclass(frozen=True)
 class PpmConfig:
-    """``sample`` bounds the training documents per language (about; smallest hashes), ``grams`` the tree's leaves."""
+    """``sample`` bounds the training documents per language (about; smallest hashes); all of their grams are kept."""
 
     order: int = 4
     sample: int = 1200
-    grams: int = 600_000
     seed: int = 3
 
 
@@ -167,8 +166,7 @@ def fit(docs: DataFrame, config: PpmConfig = PpmConfig()) -> PpmModel:
                 yield pa.record_batch([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], names=["g", "n"])
 
     counted = chosen.select(number.cast("bigint"), "text").mapInArrow(count, "g bigint, n bigint")
-    counted = counted.groupBy("g").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "g").limit(config.grams)
-    tree = counted.toPandas()
+    tree = counted.groupBy("g").agg(F.sum("n").alias("n")).toPandas()  # bounded by the sample
     key = tree["g"].to_numpy(np.int64).view(np.uint64)
     return PpmModel(languages, (key >> U(40)).astype(np.int64), key & U((1 << 40) - 1), tree["n"].to_numpy(float), config.order)
 

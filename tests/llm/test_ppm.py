@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 import numpy as np
@@ -63,6 +64,22 @@ def test_held_out_accuracy(spark):
     assert np.mean([r.lang == r.lang_pred for r in got]) > 0.97 and all(0 <= r.score <= 1 for r in got)
 
 
+def test_rare_language_beside_large_ones(spark):
+    """The large languages have more distinct grams than any table of fixed size, each twice; the rare one's stand once or twice."""
+    rng = random.Random(4)
+
+    def letters(n):
+        return "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+
+    large = [(k, letters(2500)) for k in ("l1", "l2", "l3") for _ in range(100)]
+    vocabulary = [letters(8).replace(" ", "x") for _ in range(60)]
+    rare = [("rare", " ".join(rng.sample(vocabulary, 30))) for _ in range(4)]
+    data = [(i, t, k, "a", 0, 0.0, "") for i, (k, t) in enumerate(large + large + rare)]
+    model = ppm.fit(docs(spark, data))
+    held = [(i, " ".join(rng.sample(vocabulary, 12)), None, "a", 0, 0.0, "") for i in range(20)]
+    assert {r.lang_pred for r in ppm.identify(docs(spark, held), model).collect()} == {"rare"}
+
+
 def test_awkward_rows(spark):
     model = ppm.fit(docs(spark))
     got = ppm.identify(docs(spark), model).collect()
