@@ -21,13 +21,18 @@ from doorlens.llm.shared import runs, slices
 
 @dataclass(frozen=True)
 class ToxicityConfig:
-    """``sample`` bounds the labelled rows that the model is fitted on (smallest hashes of their ids)."""
+    """``sample`` bounds the labelled rows that the model is fitted on (smallest hashes of their ids).
+
+    Every term of ``min_docs`` sampled rows takes part. ``min_z``, ``usual_docs`` and ``least`` size its steps, see ``trust``.
+    """
 
     bits: int = 18
     factors: int = 8
     sample: int = 16_000
     min_docs: int = 3
     min_z: float = 3.0
+    usual_docs: int = 100
+    least: float = 0.05
     epochs: int = 10
     batch: int = 64
     rate: float = 0.1
@@ -73,66 +78,73 @@ def with_terms(docs: DataFrame, bits: int) -> DataFrame:
     return docs.withColumn("_found", F.array_remove(distinct, "")).withColumn("_terms", terms).drop("_found")
 
 
-def informative(terms: np.ndarray, row_of: np.ndarray, labels: np.ndarray, config: ToxicityConfig) -> np.ndarray:
-    """Mask of buckets whose share of label 1 differs from the rest by ``min_z`` standard errors."""
-    size = 1 << config.bits
-    seen = np.bincount(terms, minlength=size)
-    hit = np.bincount(terms, weights=labels[row_of], minlength=size)
-    p = labels.mean()
-    z = np.abs(hit - seen * p) / np.sqrt(np.maximum(seen * p * (1 - p), 1e-9))
-    return (seen >= config.min_docs) & (z >= config.min_z)
+def trust(seen: np.ndarray, hit: np.ndarray, p: float, config: ToxicityConfig) -> tuple[np.ndarray, np.ndarray]:
+    """Shares of a full step that the weights and the vectors of terms take, by rows and rows of label 1 that have them.
 
-
-def sum_by(groups: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
-    """Row sums per group; ``groups`` is ascending."""
-    out = np.zeros((size, values.shape[1]))
-    if len(groups):
-        starts = runs(groups)[:-1]
-        out[groups[starts]] = np.add.reduceat(values, starts)
-    return out
+    A term whose own share of label 1 differs from ``p`` by ``min_z`` standard errors takes half steps, below that
+    its weight takes less, but never under ``least``. Its vector takes at least the steps that its number of rows
+    warrants, so a frequent term that says nothing alone learns its pairs.
+    """
+    z = np.abs(hit - seen * p) / np.sqrt(seen * p * (1 - p))
+    alone = z**4 / (z**4 + config.min_z**4)
+    return np.maximum(alone, config.least).astype(np.float32), np.maximum(alone, seen / (seen + config.usual_docs)).astype(np.float32)
 
 
 def train(rows: list[np.ndarray], labels: np.ndarray, config: ToxicityConfig) -> FactorizationMachine:
     """Minibatch AdaGrad on the logistic loss; needs both classes, else a constant model."""
-    size, k = 1 << config.bits, config.factors
+    size, k, f = 1 << config.bits, config.factors, np.float32
     rng = np.random.default_rng(config.seed)
     rate = float(np.clip(labels.mean() if len(labels) else 0.0, 1e-3, 1 - 1e-3))
-    w, v = np.zeros(size), np.zeros((size, k))
+    weights, vectors = np.zeros(size, f), np.zeros((size, k), f)
     bias = float(np.log(rate / (1 - rate)))
     if not len(labels) or labels.min() == labels.max():
-        return FactorizationMachine(bias, w.astype(np.float32), v.astype(np.float32))
+        return FactorizationMachine(bias, weights, vectors)
     flat = np.concatenate(rows).astype(np.int64)
     row_of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    keep = informative(flat, row_of, labels, config)
-    kept = np.flatnonzero(keep)
-    w[kept] = 1e-6
-    v[kept] = rng.normal(0, 0.02, (len(kept), k))
-    rows = [r[keep[r]] for r in rows]
-    gw, gv, gb = np.full(size, 1e-6), np.full((size, k), 1e-6), 1e-6
+    seen, hit = np.bincount(flat, minlength=size), np.bincount(flat, weights=labels[row_of], minlength=size)
+    used = np.flatnonzero(seen >= config.min_docs)
+    number = np.full(size, -1)
+    number[used] = np.arange(len(used))
+    flat = number[flat]
+    offsets = np.concatenate(([0], np.cumsum(np.bincount(row_of[flat >= 0], minlength=len(rows)))))
+    flat = flat[flat >= 0]
+    w_step, v_step = trust(seen[used], hit[used], labels.mean(), config)
+    w_step, v_step = f(config.rate) * w_step, f(0.1 * config.rate) * v_step[:, None]
+    w, v = np.full(len(used), 1e-6, f), rng.normal(0, 0.02, (len(used), k)).astype(f)
+    gw, gv, gb = np.full(len(used), 1e-6, f), np.full((len(used), k), 1e-4, f), 1e-6
     for _ in range(config.epochs):
         order = rng.permutation(len(rows))
         for at in range(0, len(order), config.batch):
             part = order[at : at + config.batch]
-            count = np.array([len(rows[i]) for i in part])
-            idx = np.concatenate([rows[i] for i in part]) if count.sum() else np.zeros(0, np.int64)
-            seg = np.repeat(np.arange(len(part)), count)
-            vi = v[idx]
-            total, square = sum_by(seg, vi, len(part)), sum_by(seg, vi * vi, len(part))
-            logit = bias + np.bincount(seg, w[idx], len(part)) + (total**2 - square).sum(axis=1) / 2
-            err = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - labels[part]) / len(part)
-            touched, pos = np.unique(idx, return_inverse=True)
-            dw = np.bincount(pos, err[seg], len(touched)) + config.decay * w[touched]
-            by_term = np.argsort(pos, kind="stable")
-            dv = sum_by(pos[by_term], (err[seg][:, None] * (total[seg] - vi))[by_term], len(touched))
-            dv += config.decay * v[touched]
-            db = err.sum()
-            gw[touched] += dw**2
-            gv[touched] += dv**2
+            count = offsets[part + 1] - offsets[part]
+            filled = np.flatnonzero(count)
+            total, logit = np.zeros((len(part), k), f), np.full(len(part), bias)
+            if len(filled):
+                idx = np.concatenate([flat[offsets[i] : offsets[i + 1]] for i in part])
+                starts = (np.cumsum(count) - count)[filled]
+                vi = v.take(idx, axis=0)
+                total[filled] = np.add.reduceat(vi, starts)
+                square = np.add.reduceat(np.einsum("ij,ij->i", vi, vi), starts)
+                logit[filled] += np.add.reduceat(w.take(idx), starts) + ((total[filled] ** 2).sum(axis=1) - square) / 2
+            err = ((1 / (1 + np.exp(-np.clip(logit, -30, 30))) - labels[part]) / len(part)).astype(f)
+            if len(filled):
+                key = np.sort((idx << 32) | np.repeat(np.arange(len(part)), count))  # by term, then row
+                first = runs(key >> 32)[:-1]
+                t = key[first] >> 32
+                both = np.column_stack([err[:, None] * total, err]).take(key & 0xFFFFFFFF, axis=0)
+                both = np.add.reduceat(both, first)
+                wt, vt = w[t], v[t]
+                dw = both[:, k] + f(config.decay) * wt
+                dv = both[:, :k] - both[:, k:] * vt + f(config.decay) * vt
+                gw[t] += dw**2
+                gv[t] += dv**2
+                w[t] = wt - w_step[t] * dw / np.sqrt(gw[t])
+                v[t] = vt - v_step[t] * dv / np.sqrt(gv[t])
+            db = float(err.sum())
             gb += db**2
-            w[touched] -= config.rate * dw / np.sqrt(gw[touched])
-            v[touched] -= 0.1 * config.rate * dv / np.sqrt(gv[touched])
             bias -= 0.1 * config.rate * db / np.sqrt(gb)
-    return FactorizationMachine(float(bias), w.astype(np.float32), v.astype(np.float32))
+    weights[used], vectors[used] = w, v
+    return FactorizationMachine(float(bias), weights, vectors)
 
 
 def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityConfig()) -> FactorizationMachine:

@@ -32,6 +32,29 @@ def test_learns_words_and_pairs(spark):
     assert kept.columns == d.columns and 0 < kept.count() < d.count()
 
 
+def pair_rows(n, seed):
+    """Of 20 rows five are toxic, two by a pair; each word of the pair stands in eight rows, two of them toxic."""
+    rng, rows, labels = np.random.default_rng(seed), [], []
+    for i in range(n):
+        k = i % 20
+        own = [11, 12] if k < 2 else [11] if k < 8 else [12] if k < 14 else [13] if k < 17 else []
+        rows.append(np.unique(np.concatenate([rng.integers(1000, 1040, 8), np.array(own, np.int64)])))
+        labels.append(int(k < 2 or 14 <= k < 17))
+    return rows, np.array(labels, float)
+
+
+def test_learns_a_pair_of_words_at_the_base_rate():
+    rows, labels = pair_rows(8000, 5)
+    for word in (11, 12):
+        assert np.mean(labels[[word in r for r in rows]]) == labels.mean()
+    model = toxicity.train(rows, labels, ToxicityConfig())
+    held, truth = pair_rows(1000, 6)
+    offsets = np.cumsum([0] + [len(r) for r in held])
+    toxic = model.logits(np.concatenate(held), offsets) >= 0
+    pair = np.arange(len(held)) % 20 < 2
+    assert toxic[pair].mean() > 0.9 and toxic[truth == 0].mean() < 0.02
+
+
 def test_logits_equal_the_sum_over_pairs():
     rng = np.random.default_rng(1)
     fm = FactorizationMachine(0.3, rng.normal(size=20), rng.normal(size=(20, 4)))
