@@ -7,7 +7,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doorlens.llm import chosen_path, debruijn, mixing, multi_index, packing, ppm, secrets, seekable, simhash, toxicity
+from doorlens.llm import alignment, chosen_path, debruijn, differencing, fim, mixing, multi_index, packing, ppm, secrets, seekable, simhash, toxicity
 from doorlens.llm.shared import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,30 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's token pieces with their places in sequences of 4096 ids."""
     return packing.pack(table(spark, folder, "documents"))
+
+
+@query(
+    "op11_fill_in_middle",
+    """WITH t AS (SELECT doc_id, coalesce(text, '') AS t, CAST(length(coalesce(text, '')) AS BIGINT) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+  u AS (SELECT doc_id, t, n, ('0x' || h[1:8])::BIGINT % (n + 1) AS x, ('0x' || h[9:16])::BIGINT % (n + 1) AS y, ('0x' || h[17:24])::BIGINT % 100 AS f, ('0x' || h[25:32])::BIGINT % 100 AS g FROM t),
+  v AS (SELECT doc_id, t, n, least(x, y) AS a, greatest(x, y) AS b,
+    CASE WHEN n = 0 OR f >= 90 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain' WHEN g < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+  w AS (SELECT *, substring(t, 1, a) AS p, substring(t, a + 1, b - a) AS m, substring(t, b + 1) AS s FROM v)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM w""",
+)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document rearranged for fill-in-middle training, and restored from that."""
+    return fim.transform(table(spark, folder, "documents")).drop("output")
+
+
+@query("op12_alignment")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """Links between the tokens of two tokenizers in every document, with corpus-wide counts."""
+    return alignment.report(table(spark, folder, "documents"))
+
+
+@query("op13_differencing")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's token pieces with their places in near-equal windows of at most 2048 ids."""
+    return differencing.pack(table(spark, folder, "documents"))
