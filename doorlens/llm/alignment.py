@@ -21,6 +21,7 @@ import os
 import re
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 from typing import Iterator
 
 import numpy as np
@@ -38,6 +39,7 @@ UNIT = re.compile(f"[{BLANKS}]*[^{BLANKS}]+|[{BLANKS}]+")
 LEAD = re.compile(f"[{BLANKS}]*")
 BOUNDARY = re.compile(f"(?<=[^{BLANKS}])(?=[{BLANKS}])")
 BLANK = re.compile(f"[{BLANKS}]")
+CODE_BITS = 40  # of a pair's code
 
 
 @dataclass(frozen=True)
@@ -46,8 +48,7 @@ class AlignConfig:
     b_file: str | None = None  # a sentencepiece model that puts a space before the text
     chunk_bytes: int = 4_000_000  # text bytes whose pairs meet their counts together
     segment: int = 1_000_000  # characters of a text that are split into units at once
-    cache: int = 300_000  # units kept per Python worker
-    long_unit: int = 256  # longer units are not kept
+    cache: int = 600_000  # units kept per Python worker
 
     def files(self) -> tuple[str, str]:
         return self.a_file or tokenizer_file("byte_bpe_50k.json"), self.b_file or tokenizer_file("piece_bpe_32k.model")
@@ -91,6 +92,7 @@ class Tokenizers:
             if raw is not None and (raw not in same or self.b.is_byte(same[raw])):
                 same[raw] = i
         self.identity = np.array([same.get(raw, -1) if raw is not None else -1 for raw in self.a_bytes], np.int64)
+        self.a_length, self.b_length = (np.array([len(x or b"") for x in raw]) for raw in (self.a_bytes, self.b_bytes))
         self.space = self.b.piece_to_id("▁")
         # White space that B may join to what stands before it: no unit may begin there.
         pieces = [x.decode("utf-8", "replace") for x in self.b_bytes if x]
@@ -109,57 +111,29 @@ class Tokenizers:
                 out.append(u)
         return out
 
-    def encode(self, units: list[str]) -> list[tuple[list[int], list[int]]]:
+    def encode(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of both tokenizers of units as they stand inside a text."""
-        a = [e.ids for e in self.a.encode_batch(units, add_special_tokens=False)]
+        a = [e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)]
         b = self.b.encode([u.removeprefix(" ") for u in units], num_threads=1)
         for k, u in enumerate(units):
             if u == " ":
                 b[k] = [self.space]
             elif not u.startswith(" "):  # the library's own space is no part of the unit
                 b[k] = b[k][1:] if b[k][:1] == [self.space] else [-1]
-        return list(zip(a, b))
+        return a, b
 
 
 @dataclass
-class Unit:
-    """Tokens and groups of one unit; ``pairs`` are codes a * size of B + b, ``times`` their numbers of links."""
-
-    n_a: int
-    n_b: int
-    n_groups: int
-    n_links: int
-    shown: bytes
+class Groups:
+    """Groups of units: per unit the numbers n_a, n_b, n_groups, n_links and the digest's part; whether both
+    tokenizers spell it; its distinct pairs (codes a * size of B + b, from ``at[k]`` to ``at[k + 1]``) with their links."""
+
+    numbers: np.ndarray
+    shown: list[bytes]
+    whole: np.ndarray
+    at: np.ndarray
     pairs: np.ndarray
     times: np.ndarray
-    whole: bool
-
-
-def grouped(a: list[int], b: list[int], text: bytes, tokens: Tokenizers) -> Unit:
-    """Groups of the tokens of a text, which must spell the text in both tokenizers."""
-    a_raw, b_raw = [tokens.a_bytes[i] for i in a], [tokens.b_bytes[i] if i >= 0 else None for i in b]
-    if None in a_raw or None in b_raw or b"".join(a_raw) != text or b"".join(b_raw) != text:
-        none = np.zeros(0, np.int64)
-        return Unit(0, 0, 0, 0, b"", none, none, False)
-    size = len(tokens.b_bytes)
-    a_ends, b_ends = np.cumsum([len(x) for x in a_raw]), np.cumsum([len(x) for x in b_raw])
-    cuts = np.intersect1d(a_ends, b_ends, assume_unique=True)
-    a_cut, b_cut = np.searchsorted(a_ends, cuts) + 1, np.searchsorted(b_ends, cuts) + 1
-    shown, codes, times, links, i, j = [], [], [], 0, 0, 0
-    for i2, j2 in zip(a_cut.tolist(), b_cut.tolist()):
-        ga, gb = a[i:i2], b[j:j2]
-        shown.append(f"{','.join(map(str, ga))}|{','.join(map(str, gb))}")
-        links += len(ga) * len(gb)
-        if len(ga) == 1 == len(gb):
-            codes.append(np.array([ga[0] * size + gb[0]]))
-            times.append(np.ones(1, np.int64))
-        else:  # distinct ids meet, with the product of their occurrences
-            (ka, na), (kb, nb) = np.unique(ga, return_counts=True), np.unique(gb, return_counts=True)
-            codes.append((ka[:, None] * size + kb[None, :]).ravel())
-            times.append((na[:, None] * nb[None, :]).ravel())
-        i, j = i2, j2
-    codes, times = summed(np.concatenate(codes), np.concatenate(times))
-    return Unit(len(a), len(b), len(cuts), links, ";".join(shown).encode(), codes, times, True)
 
 
 def summed(keys: np.ndarray, amounts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -170,31 +144,86 @@ def summed(keys: np.ndarray, amounts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], np.add.reduceat(amounts, first) if len(first) else amounts
 
 
+def flat(values: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    count = np.fromiter(map(len, values), np.int64, len(values))
+    return np.fromiter(chain.from_iterable(values), np.int64, int(count.sum())), count
+
+
+def grouped(units: list[bytes], a: list[list[int]], b: list[list[int]], tokens: Tokenizers) -> Groups:
+    """Groups of all units at once. Their bytes are laid end to end; both tokenizers end a token at each unit's end."""
+    a_raw, b_raw, n = tokens.a_bytes, tokens.b_bytes, len(units)
+    whole = np.ones(n, bool)
+    for ids, raw in ((a, a_raw), (b, b_raw)):
+        spelled = [raw[i] if i >= 0 else None for i in chain.from_iterable(ids)]
+        if None in spelled or b"".join(spelled) != b"".join(units):
+            for k, x in enumerate(ids):
+                parts = [raw[i] if i >= 0 else None for i in x]
+                whole[k] &= None not in parts and b"".join(parts) == units[k]
+    a, b = ([x if w else [] for x, w in zip(ids, whole)] for ids in (a, b))
+    (a, a_count), (b, b_count) = flat(a), flat(b)
+    size = len(b_raw)
+    a_ends, b_ends = np.cumsum(tokens.a_length[a]), np.cumsum(tokens.b_length[b])
+    cuts = np.intersect1d(a_ends, b_ends, assume_unique=True)
+    a_group, b_group = np.searchsorted(cuts, a_ends), np.searchsorted(cuts, b_ends)
+    n_a, n_b = np.bincount(a_group, minlength=len(cuts)), np.bincount(b_group, minlength=len(cuts))
+    first_a, first_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
+    unit = np.repeat(np.arange(n), a_count)[first_a] if len(cuts) else np.zeros(0, np.int64)
+    numbers = np.column_stack([a_count, b_count, np.bincount(unit, minlength=n), np.bincount(unit, n_a * n_b, n).astype(np.int64)])
+    # Links: single pairs as they are; small groups in full; large ones by distinct ids, whose occurrences multiply.
+    links = n_a * n_b
+    small = links <= 4096
+    of = np.repeat(np.flatnonzero(small), links[small])
+    k = np.arange(len(of)) - np.repeat(np.cumsum(links[small]) - links[small], links[small])
+    codes = [a[first_a[of] + k // n_b[of]] * size + b[first_b[of] + k % n_b[of]]]
+    owner, times = [unit[of]], [np.ones(len(of), np.int64)]
+    for g in np.flatnonzero(~small):
+        ka, ta = np.unique(a[first_a[g] : first_a[g] + n_a[g]], return_counts=True)
+        kb, tb = np.unique(b[first_b[g] : first_b[g] + n_b[g]], return_counts=True)
+        codes.append((ka[:, None] * size + kb[None, :]).ravel())
+        times.append((ta[:, None] * tb[None, :]).ravel())
+        owner.append(np.full(len(codes[-1]), unit[g]))
+    keys, times = summed((np.concatenate(owner) << CODE_BITS) | np.concatenate(codes), np.concatenate(times))
+    at = np.searchsorted(keys >> CODE_BITS, np.arange(n + 1))
+    # The digest's parts: A's ids, then B's, group by group; what follows each id depends on where it stands.
+    side = np.concatenate((2 * a_group, 2 * b_group + 1))
+    order = np.argsort(side, kind="stable")
+    side = side[order]
+    last = np.concatenate((side[1:] != side[:-1], [True])) if len(side) else np.zeros(0, bool)
+    ends = np.concatenate((unit[1:] != unit[:-1], [True])) if len(unit) else np.zeros(0, bool)
+    mark = np.where(last, np.where(side % 2 == 0, 1, np.where(ends[side // 2], 3, 2)), 0)
+    written = "".join(chain.from_iterable(zip(map(str, np.concatenate((a, b))[order].tolist()), map(",|;\n".__getitem__, mark.tolist()))))
+    lines = iter(written.encode().split(b"\n"))
+    shown = [next(lines) if c else b"" for c in a_count.tolist()]
+    return Groups(numbers, shown, whole, at, keys & ((1 << CODE_BITS) - 1), times)
+
+
 class Aligner:
     """Aligns texts unit by unit; one per Python worker."""
 
     def __init__(self, config: AlignConfig):
         self.config, self.tokens = config, Tokenizers(*config.files())
         self.size = len(self.tokens.b_bytes)
+        self.forget()
+
+    def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.stored: list[Unit] = []
+        self.weight = 0
+        none = np.zeros(0, np.int64)
+        self.seen = Groups(np.zeros((0, 4), np.int64), [], np.zeros(0, bool), np.zeros(1, np.int64), none, none)
 
     def learn(self, units: set[str]) -> None:
+        """Adds the groups of units that are not known."""
+        if len(self.known) > self.config.cache or self.weight > 64 * self.config.cache:
+            self.forget()
         fresh = [u for u in units if u not in self.known]
-        for a in range(0, len(fresh), 20_000):
-            part = fresh[a : a + 20_000]
-            for u, (x, y) in zip(part, self.tokens.encode(part)):
-                self.known[u] = len(self.stored)
-                self.stored.append(grouped(x, y, u.encode(), self.tokens))
-
-    def forget(self) -> None:
-        if len(self.known) > self.config.cache:
-            self.known, self.stored = {}, []
-
-    def drop_long(self, units: set[str]) -> None:
-        for u in units:
-            if len(u) > self.config.long_unit:
-                self.stored[self.known.pop(u)] = None
+        if not fresh:
+            return
+        got, old = grouped([u.encode() for u in fresh], *self.tokens.encode(fresh), self.tokens), self.seen
+        self.known.update(zip(fresh, range(len(old.shown), len(old.shown) + len(fresh))))
+        self.weight += sum(map(len, fresh))
+        old.shown.extend(got.shown)
+        both = [np.concatenate(x) for x in ((old.numbers, got.numbers), (old.whole, got.whole), (old.at, got.at[1:] + old.at[-1]), (old.pairs, got.pairs), (old.times, got.times))]
+        self.seen = Groups(both[0], old.shown, *both[1:])
 
     def segments(self, text: str) -> Iterator[str]:
         """A text in consecutive parts that begin at units."""
@@ -210,69 +239,53 @@ class Aligner:
             at = cut.end()
         yield text[at:]
 
-    def align(self, texts: list[str | None]) -> list[tuple]:
-        """Per text: n_a, n_b, n_groups, n_links, groups_sha256, identity ids, their links, other pair codes, their links."""
-        none = np.zeros(0, np.int64)
-        results: list[tuple] = [(0, 0, 0, 0, "", none, none, none, none)] * len(texts)
-        if sum(len(t) for t in texts if t) > self.config.segment:
-            for k, text in enumerate(texts):  # long texts one by one, in segments
-                if text:
-                    results[k] = self.one(self.segments(" " + text))
-            return results
-        cut = [self.tokens.units(" " + t) if t else [] for t in texts]
-        every = set().union(*cut)
-        self.forget()
-        self.learn(every)
-        for k, units in enumerate(cut):
-            if units:
-                results[k] = self.joined([np.array(list(map(self.known.__getitem__, units)))])
-        self.drop_long(every)
-        return results
-
-    def one(self, segments: Iterator[str]) -> tuple:
-        """As ``align`` for one text whose segments come one by one; each leaves only its sums."""
-        total, digest, first, codes, times, whole = np.zeros(4, np.int64), hashlib.sha256(), True, [], [], True
-        for segment in segments:
-            units = self.tokens.units(segment)
-            every = set(units)
-            self.forget()
-            self.learn(every)
-            index = np.array(list(map(self.known.__getitem__, units)))
-            part, code, time, spelled = self.sums(index)
-            whole &= spelled
-            if whole:
-                total += part
-                digest.update(b"" if first else b";")
-                digest.update(b";".join([self.stored[i].shown for i in index.tolist()]))
-                first = False
-                codes, times = ([x] for x in summed(np.concatenate([*codes, code]), np.concatenate([*times, time])))
-            self.drop_long(every)
-        return self.result(total, digest, codes, times, whole)
-
-    def sums(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
-        """Totals and pairs of units given by number."""
-        kinds, n = np.unique(index, return_counts=True)
-        units = [self.stored[i] for i in kinds.tolist()]
-        if not all(u.whole for u in units):
-            return np.zeros(4, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), False
-        total = np.array([(u.n_a, u.n_b, u.n_groups, u.n_links) for u in units], np.int64).T @ n
-        codes = np.concatenate([u.pairs for u in units])
-        times = np.concatenate([u.times for u in units]) * np.repeat(n, [len(u.pairs) for u in units])
-        return total, *summed(codes, times), True
-
-    def joined(self, index: list[np.ndarray]) -> tuple:
-        total, codes, times, whole = self.sums(index[0])
-        digest = hashlib.sha256(b";".join([self.stored[i].shown for i in index[0].tolist()])) if whole else None
-        return self.result(total, digest, [codes], [times], whole)
-
-    def result(self, total: np.ndarray, digest, codes: list, times: list, whole: bool) -> tuple:
-        none = np.zeros(0, np.int64)
-        if not whole:
-            return 0, 0, 0, 0, "", none, none, none, none
-        code, time = codes[0], times[0]
-        a, b = code // self.size, code % self.size
-        same = self.tokens.identity[a] == b
-        return (*total.tolist(), digest.hexdigest(), a[same], time[same], code[~same], time[~same])
+    def align(self, texts: list[str | None]) -> tuple[np.ndarray, list[str], list[tuple[np.ndarray, ...]]]:
+        """Per text its numbers, its digest ('' without tokens) and (identity ids, links, other codes, links)."""
+        n = len(texts)
+        numbers, whole, digests = np.zeros((n, 4), np.int64), np.array([bool(t) for t in texts], bool), [hashlib.sha256() for _ in texts]
+        keys, times, begun = np.zeros(0, np.int64), np.zeros(0, np.int64), [False] * n
+        waiting: list[tuple[int, str]] = []
+        size = 0
+
+        def settle() -> None:
+            nonlocal keys, times
+            cut = [self.tokens.units(s) for _, s in waiting]
+            self.learn(set(chain.from_iterable(cut)))
+            index = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64, sum(map(len, cut)))
+            doc = np.repeat([k for k, _ in waiting], list(map(len, cut)))
+            seen, at = self.seen, 0
+            for (k, _), units in zip(waiting, cut):
+                digests[k].update(b";" * begun[k] + b";".join([seen.shown[i] for i in index[at : at + len(units)].tolist()]))
+                begun[k], at = True, at + len(units)
+            both, count = np.unique((doc << 32) | index, return_counts=True)
+            doc, index = both >> 32, both & 0xFFFFFFFF
+            np.add.at(numbers, doc, seen.numbers[index] * count[:, None])
+            np.logical_and.at(whole, doc, seen.whole[index])
+            width = seen.at[index + 1] - seen.at[index]
+            place = np.repeat(seen.at[index] - (np.cumsum(width) - width), width) + np.arange(width.sum())
+            key = (np.repeat(doc, width) << CODE_BITS) | seen.pairs[place]
+            key, time = summed(key, seen.times[place] * np.repeat(count, width))
+            keys, times = summed(np.concatenate((keys, key)), np.concatenate((times, time)))
+            waiting.clear()
+
+        for k, text in enumerate(texts):
+            for segment in self.segments(" " + text) if text else ():
+                waiting.append((k, segment))
+                size += len(segment)
+                if size >= self.config.segment:
+                    settle()
+                    size = 0
+        if waiting:
+            settle()
+        numbers[~whole] = 0
+        codes = keys & ((1 << CODE_BITS) - 1)
+        same = self.tokens.identity[codes // self.size] == codes % self.size
+        bounds = np.searchsorted(keys >> CODE_BITS, np.arange(n + 1))
+        out, none = [], np.zeros(0, np.int64)
+        for k in range(n):
+            c, t, m = (x[bounds[k] : bounds[k + 1]] for x in (codes, times, same))
+            out.append((c[m] // self.size, t[m], c[~m], t[~m]) if whole[k] else (none,) * 4)
+        return numbers, [d.hexdigest() if w else "" for d, w in zip(digests, whole)], out
 
 
 @lru_cache(maxsize=1)
@@ -306,17 +319,15 @@ def aligned(docs: DataFrame, config: AlignConfig = AlignConfig()) -> DataFrame:
             text = batch.column(2)
             sizes = np.diff(pc.fill_null(pc.binary_length(text), 0).to_numpy().cumsum(), prepend=0)
             for a, b in slices(sizes, config.chunk_bytes):
-                found = []
-                for c, d in slices(sizes[a:b], config.segment // 4):
-                    found += of.align(text.slice(a + c, d - c).to_pylist())
+                numbers, digests, found = of.align(text.slice(a, b - a).to_pylist())
                 cols = list(zip(*found))
                 chunk = (batch.column(0)[a].as_py() << 32) + number
                 number += 1
                 yield pa.record_batch(
                     [
                         pa.array(np.full(b - a, chunk)), batch.column(1).slice(a, b - a),
-                        *[pa.array(c, pa.int64()) for c in cols[:4]], pa.array(cols[4], pa.string()),
-                        lists(cols[5], pa.int32()), *[lists(c, pa.int64()) for c in cols[6:]],
+                        *[pa.array(numbers[:, k]) for k in range(4)], pa.array(digests, pa.string()),
+                        lists(cols[0], pa.int32()), *[lists(c, pa.int64()) for c in cols[1:]],
                     ],
                     names=["chunk", "doc_id", *NUMBERS, "groups_sha256", *LISTS],
                 )
