@@ -50,24 +50,89 @@ def test_every_piece_has_its_place(spark, config):
     assert len(sequences) <= least * 1.1 + 1
 
 
+def held(solution):
+    used = Counter()
+    for items, count in solution.configurations:
+        assert count > 0
+        for i in items:
+            used[i] += count
+    return used
+
+
 def test_solution_holds_the_histogram():
     rng = random.Random(4)
-    for size in (10, 50):
+    for size in (1, 10, 50):
         histogram = {k: rng.randrange(1, 60) for k in range(1, size + 1)}
-        used = Counter()
-        for items, count in packing.solve(histogram, PackingConfig(size=size)):
-            assert sum(items) <= size and count > 0
-            for i in items:
-                used[i] += count
-        assert used == histogram
-    assert packing.solve({}) == []
+        got = packing.solve(histogram, PackingConfig(size=size))
+        assert all(sum(items) <= size for items, _ in got.configurations)
+        assert held(got) == histogram and got.sequences == sum(c for _, c in got.configurations)
+    assert packing.solve({}).configurations == []
 
 
-def test_close_to_the_bound():
+@pytest.mark.parametrize("kind", ["usual", "many", "over half", "one length"])
+def test_program_decides(kind):
     rng = random.Random(6)
-    histogram = dict(Counter(min(4096, int(rng.lognormvariate(6, 1)) + 1) for _ in range(5000)))
-    sequences = sum(c for _, c in packing.solve(histogram))
-    assert sequences <= 1.01 * sum(k * n for k, n in histogram.items()) / 4096 + 1
+    usual = Counter(min(4096, int(rng.lognormvariate(6, 1)) + 1) for _ in range(5000))
+    histogram = {
+        "usual": dict(usual),
+        "many": {k: 1000 * n for k, n in usual.items()},
+        "over half": {3000: 500, 2500: 300, 700: 100},
+        "one length": {1000: 100_000},
+    }[kind]
+    got = packing.solve(histogram)
+    assert held(got) == histogram
+    assert got.from_program >= 0.9 * got.sequences
+    assert got.bound <= got.sequences <= 1.005 * got.bound + 1
+
+
+def test_program_decides_on_the_test_table(spark):
+    docs_ = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    by_length = packing.pieces_of(docs_, tokenizer_file(), PackingConfig()).groupBy("length").count().collect()
+    got = packing.solve({r["length"]: r["count"] for r in by_length})
+    assert got.from_program >= 0.9 * got.sequences and got.sequences <= 1.002 * got.bound + 1
+
+
+def test_bound_holds():
+    """Against the best packing of small cases, by search."""
+    rng = random.Random(8)
+    for _ in range(20):
+        items = sorted((rng.randrange(2, 11) for _ in range(8)), reverse=True)
+
+        def fewest(k, rooms):
+            if k == len(items):
+                return len(rooms)
+            best = fewest(k + 1, [*rooms, 10 - items[k]])
+            for i, room in enumerate(rooms):
+                if room >= items[k] and room not in rooms[:i]:
+                    best = min(best, fewest(k + 1, [*rooms[:i], room - items[k], *rooms[i + 1 :]]))
+            return best
+
+        got = packing.solve(dict(Counter(items)), PackingConfig(size=10))
+        assert got.bound <= fewest(0, []) + 1e-9 and got.sequences >= fewest(0, [])
+
+
+def test_best_values():
+    rng = random.Random(3)
+    import numpy as np
+
+    lengths = np.array([2, 3, 7, 11])
+    values = np.array([rng.random() for _ in lengths])
+    best = packing.best_values(lengths, values, 30)
+    want = [0.0] * 31
+    for room in range(1, 31):
+        want[room] = max([want[room - 1], *[want[room - n] + v for n, v in zip(lengths, values) if n <= room]])
+    assert np.allclose(best, want)
+
+
+def test_repeated_rows_spread(spark):
+    """Equal rows have row numbers of their own, so no ranking window holds them all."""
+    pieces = packing.pieces_of(docs(spark, [(1, "a b", "en", "a", 0, 0.0, "")] * 5000), tokenizer_file(), PackingConfig())
+    got = packing.ranked(pieces, 100)
+    assert [r.rank for r in got.orderBy("rank").collect()] == list(range(5000))
+    from pyspark.sql import functions as F
+
+    sizes = pieces.groupBy(F.pmod(F.xxhash64("row"), F.lit(50))).count().collect()
+    assert len(sizes) == 50 and max(r["count"] for r in sizes) < 200
 
 
 def test_empty_table(spark):
