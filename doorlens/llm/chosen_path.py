@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from doorlens.llm.components import components
-from doorlens.llm.shared import runs, slices, stored, words
+from doorlens.llm.shared import runs, slices, stored, whole_groups, words
 
 
 @dataclass(frozen=True)
@@ -205,25 +205,6 @@ def in_blocks(rows: DataFrame, group: Column, count: Column) -> DataFrame:
     return dealt.withColumn("path", F.xxhash64("_g", "low", "high")).drop("_g", "_c", "_other")
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[pa.Table]:
-    """Cuts a stream sorted by column ``key`` so that no group crosses two tables."""
-    rest: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = batch.column(key).to_numpy()
-        cut = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if keys[0] != keys[-1] else 0
-        if rest and rest[-1].column(key)[0].as_py() != keys[0]:
-            yield pa.Table.from_batches(rest)
-            rest = []
-        if cut:
-            yield pa.Table.from_batches([*rest, batch.slice(0, cut)])
-            rest = []
-        rest.append(batch.slice(cut))
-    if rest:
-        yield pa.Table.from_batches(rest)
-
-
 def stars(links: np.ndarray) -> np.ndarray:
     """Smallest member index of each member's component, from a symmetric boolean matrix."""
     n = len(links)

@@ -3,12 +3,17 @@
 Every window of ``window`` words is an edge of a De Bruijn graph over the corpus. Edges that occur once need no work,
 and most do: each window is filed under its minimizer, the ``seed_words``-word sequence in it with the smallest hash,
 neighbouring windows mostly share it, and only windows whose minimizer stands at two places or more can be repeated.
-These meet by their 95-bit hash; the first source coordinate (document, start) of an edge is its place, all later ones
-are repeats. Repeats whose edges follow each other both here and at their source lie on one nonbranching path and
-compact to one span (start, length, source); a join on the document brings the spans back to the texts, which are cut.
 
-Documents with the text of an earlier one consist of repeats and never enter the graph. Repeats inside one batch of documents are found there, so that an edge that stands in a third of all documents leaves
-each batch once: no task ever holds all occurrences of an edge.
+1. Edges are dealt by minimizer and sorted by hash: the first place (document, start) of an edge in the corpus is its
+   source, all later ones are repeats. Neighbours meet in one task, so stretches leave it as one row. Inside a batch of
+   documents only the first place of an edge leaves as an edge; later places leave as stretches that point to it, so
+   no task ever holds all occurrences of an edge that stands in a third of all documents.
+2. Such stretches meet the repeats of the document they point to (a join by document), and take over its sources.
+3. Repeats that follow each other both here and at their source lie on one nonbranching path and compact to one span
+   (window functions per document). Each window has one source, so the spans do not depend on partitions or batches.
+4. Spans are joined with the words of their source, and with their own: only those whose words are equal count.
+
+Documents with the text of an earlier one consist of repeats and never enter the graph.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from doorlens.llm.shared import runs, slices, words
+from doorlens.llm.shared import runs, slices, stored, whole_groups, words
 
 U = np.uint64
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -107,11 +112,14 @@ def filed(base: DataFrame, config: DedupConfig) -> DataFrame:
 def edges(candidates: DataFrame, config: DedupConfig) -> DataFrame:
     """Windows of candidate runs: (h, check, doc_id, row, span).
 
-    ``candidates``: doc_id, row, hashes (of all words), runs (array of start and n). ``check`` holds a second hash of
-    31 bits and, in its low half, the start of the window; few bytes matter here. The first place of an edge in its batch leaves without ``span``; later places leave as finished spans (n windows,
-    source document and place), under a random h.
+    ``candidates``: doc_id, row, hashes (of all words), runs (array of start, n and m; n below 0 for a minimizer whose
+    rows are spread). The upper half of ``h`` is the minimizer's, the lower half the window's own hash; where rows are
+    spread, both are the window's. ``check`` holds a second hash of 31 bits and, in its low half, the start of the
+    window; few bytes matter here. The first place of an edge in its batch leaves without ``span``; later places leave
+    as stretches (number of windows, document and place of the first one), under a random h.
     """
     names = ["h", "check", "doc_id", "row", "span"]
+    high = U(0xFFFFFFFF00000000)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,19 +129,22 @@ def edges(candidates: DataFrame, config: DedupConfig) -> DataFrame:
             run_at = found.offsets.to_numpy().astype(np.int64)
             run_at = run_at - run_at[0]
             inner = found.flatten()
-            starts, lengths = (inner.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+            starts, lengths, seeds = (inner.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
             parts = []
             for a, b in slices(np.diff(offsets), config.slice_words):
                 lo, hi = run_at[a], run_at[b]
-                size = lengths[lo:hi]
+                size = np.abs(lengths[lo:hi])
                 of = np.repeat(np.repeat(np.arange(a, b), np.diff(run_at[a : b + 1])), size)
                 start = np.repeat(starts[lo:hi], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                fits = start + config.window <= (offsets[1:] - offsets[:-1])[of]
-                once = np.unique((of[fits] << 32) | start[fits])  # rows of one id share their runs, which may overlap
-                of, start = once >> 32, once & 0xFFFFFFFF
+                seed, spread = np.repeat(seeds[lo:hi], size).view(np.uint64), np.repeat(lengths[lo:hi] < 0, size)
+                fits = np.flatnonzero(start + config.window <= (offsets[1:] - offsets[:-1])[of])
+                # rows of one id share their runs, which may overlap
+                once, at = np.unique((of[fits] << 32) | start[fits], return_index=True)
+                of, start, seed, spread = once >> 32, once & 0xFFFFFFFF, seed[fits][at], spread[fits][at]
                 part = hashes[offsets[a] : offsets[b]]
                 at = offsets[of] - offsets[a] + start
                 h = rolling(part, config.window, 0xD6E8FEB86659FD93)[at]
+                h = np.where(spread, h, (seed & high) | (h >> U(32)))
                 h2 = rolling(mix(part + U(77)), config.window, 0xA0761D6478BD642F)[at]
                 h2 = (h2 >> U(33)).astype(np.int64)
                 parts.append((h.view(np.int64), h2, ids[of], (rows[of] << 32) | start))
@@ -158,9 +169,9 @@ def edges(candidates: DataFrame, config: DedupConfig) -> DataFrame:
 
 
 def paths(doc, place, src_doc, src_place) -> tuple[np.ndarray, ...]:
-    """Compacts repeats to nonbranching paths: edges that follow each other here and at their source become one span.
+    """Repeats that follow each other here and at their source become one stretch.
 
-    Returns document, place, number of windows, source document and source place of each span.
+    Returns document, place, number of windows, source document and source place of each stretch.
     """
     order = np.lexsort((place, doc))
     doc, place, src_doc, src_place = doc[order], place[order], src_doc[order], src_place[order]
@@ -171,9 +182,16 @@ def paths(doc, place, src_doc, src_place) -> tuple[np.ndarray, ...]:
     return doc[first], place[first], n, src_doc[first], src_place[first]
 
 
+SPAN = ["doc_id", "place", "n", "src_doc", "src_place"]
+MET = ["at_doc", "kind", "at_place", "n", "other_doc", "other_place"]
+
+
 def repeats(edge_rows: DataFrame) -> DataFrame:
-    """Spans (doc_id, place, n, src_doc, src_place) of all places but the first of every edge."""
-    names = ["doc_id", "place", "n", "src_doc", "src_place"]
+    """(at_doc, kind, at_place, n, other_doc, other_place).
+
+    ``kind`` 0: the windows at ``at`` have their first place in the corpus at ``other``; 1: those at ``other`` are
+    equal to the ones at ``at``, whose first place is not known here.
+    """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
@@ -183,8 +201,8 @@ def repeats(edge_rows: DataFrame) -> DataFrame:
             packed = np.frombuffer(b"".join(finished.column(4).to_pylist()), "<i8").reshape(-1, 3)
             h, check, doc, row = (c.to_numpy() for c in batch.columns[:4])
             place = (row << 32) | (check & 0xFFFFFFFF)
-            cols = [doc[done], place[done], *[packed[:, k].copy() for k in range(3)]]
-            yield pa.record_batch([pa.array(x) for x in cols], names=names)
+            cols = [packed[:, 1].copy(), np.ones(len(packed), np.int64), packed[:, 2].copy(), packed[:, 0].copy(), doc[done], place[done]]
+            yield pa.record_batch([pa.array(x) for x in cols], names=MET)
             h, h2, doc, place = h[~done], check[~done] >> 32, doc[~done], place[~done]
             if not len(h):
                 continue
@@ -197,11 +215,101 @@ def repeats(edge_rows: DataFrame) -> DataFrame:
                 src_doc[lead], src_place[lead] = last[2:]
                 same[0] = True
             last = (h[-1], h2[-1], src_doc[-1], src_place[-1])
-            spans = paths(doc[same], place[same], src_doc[same], src_place[same])
-            yield pa.record_batch([pa.array(x) for x in spans], names=names)
+            doc, place, n, src_doc, src_place = paths(doc[same], place[same], src_doc[same], src_place[same])
+            cols = [doc, np.zeros(len(doc), np.int64), place, n, src_doc, src_place]
+            yield pa.record_batch([pa.array(x) for x in cols], names=MET)
+
+    met = edge_rows.repartition(F.shiftright("h", 32)).sortWithinPartitions("h", F.shiftright("check", 32), "doc_id", "row", "check")
+    return met.mapInArrow(find, ", ".join(f"{c} bigint" for c in MET))
 
-    met = edge_rows.repartition("h").sortWithinPartitions("h", F.shiftright("check", 32), "doc_id", "row", "check")
-    return met.mapInArrow(find, "doc_id bigint, place bigint, n bigint, src_doc bigint, src_place bigint")
+
+def resolved(met: DataFrame) -> DataFrame:
+    """(doc_id, place, n, src_doc, src_place): every repeated window with its first place in the corpus.
+
+    Stretches that point to a place of ``at_doc`` take over what the document has there: the source where it is a
+    repeat itself, the place where it is none. One task sees one document's rows at a time.
+    """
+
+    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, 0):
+            at_doc, kind, place, n, other_doc, other_place = (table.column(k).to_numpy() for k in range(6))
+            known = kind == 0
+            yield pa.record_batch([pa.array(x[known]) for x in (at_doc, place, n, other_doc, other_place)], names=SPAN)
+            bounds = runs(at_doc)
+            for a, b in zip(bounds[:-1], bounds[1:]):
+                own = a + np.flatnonzero(known[a:b])
+                asked = a + np.flatnonzero(~known[a:b])
+                if not len(asked):
+                    continue
+                # The document's windows in order: gap, repeat, gap, repeat, …, gap
+                ends = np.column_stack([place[own], place[own] + n[own]]).ravel()
+                first = np.searchsorted(ends, place[asked], side="right")
+                count = np.searchsorted(ends, place[asked] + n[asked], side="left") - first + 1
+                of = np.repeat(asked, count)
+                part = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+                begin = np.maximum(place[of], np.concatenate(([np.iinfo(np.int64).min], ends))[part])
+                end = np.minimum(place[of] + n[of], np.concatenate((ends, [np.iinfo(np.int64).max]))[part])
+                src_doc, src_place = np.full(len(of), at_doc[a]), begin.copy()
+                repeat = part % 2 == 1
+                holder = own[part[repeat] // 2]
+                src_doc[repeat] = other_doc[holder]
+                src_place[repeat] = other_place[holder] + begin[repeat] - place[holder]
+                some = end > begin
+                cols = [other_doc[of], other_place[of] + begin - place[of], end - begin, src_doc, src_place]
+                yield pa.record_batch([pa.array(x[some]) for x in cols], names=SPAN)
+
+    dealt = met.repartition("at_doc").sortWithinPartitions("at_doc", "at_place")
+    return dealt.mapInArrow(resolve, ", ".join(f"{c} bigint" for c in SPAN))
+
+
+def compacted(spans: DataFrame) -> DataFrame:
+    """Joins spans that follow each other here and at their source; any cut of them gives the same result."""
+    by = Window.partitionBy("doc_id").orderBy("place")
+
+    def before(c: str) -> Column:
+        return F.lag(c).over(by)
+
+    follows = (
+        (before("place") + before("n") == F.col("place"))
+        & (before("src_doc") == F.col("src_doc"))
+        & (before("src_place") + before("n") == F.col("src_place"))
+    )
+    path = F.sum(F.when(follows, 0).otherwise(1)).over(by)
+    joined = spans.withColumn("path", path).groupBy("doc_id", "path")
+    found = joined.agg(F.min("place").alias("place"), F.sum("n").alias("n"), F.min("src_doc").alias("src_doc"), F.min("src_place").alias("src_place"))
+    return found.select(SPAN)
+
+
+def excerpt(words: list[bytes], start: int, n: int, window: int) -> bytes:
+    """Digest of the words under ``n`` windows."""
+    return hashlib.blake2b(b"\x00".join(words[start : start + n + window - 1]), digest_size=16).digest()
+
+
+def with_source_words(spans: DataFrame, texts: DataFrame, window: int) -> DataFrame:
+    """Adds ``words``: the digest of the source's words under the span, read off the source's text.
+
+    Equal requests are asked once, so a passage of which half the corpus holds copies is read once a length.
+    """
+    asked = spans.select("src_doc", "src_place", "n").distinct()
+    per_source = asked.groupBy(F.col("src_doc").alias("doc_id")).agg(F.collect_list(F.struct("src_place", "n")).alias("asked"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for doc, row, text, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                inner = asked.values
+                place, n = (inner.field(k).to_numpy(zero_copy_only=False) for k in range(2))
+                mine = np.flatnonzero(place >> 32 == row)
+                if len(mine):
+                    found = WORD.findall(text.as_buffer().to_pybytes())
+                    out += [(doc, p, k, excerpt(found, p & 0xFFFFFFFF, k, window)) for p, k in zip(place[mine].tolist(), n[mine].tolist())]
+            cols = list(zip(*out)) if out else [[]] * 4
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds)], names=["src_doc", "src_place", "n", "words"])
+
+    source = texts.join(per_source, "doc_id").select("doc_id", "row", "text", "asked")
+    digests = source.mapInArrow(read, "src_doc bigint, src_place bigint, n bigint, words binary")
+    return spans.join(digests, ["src_doc", "src_place", "n"])
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -221,33 +329,54 @@ def numbered(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "text", "row", (F.col("_again") | F.col("_copied")).alias("copy"))
 
 
-def repeated_spans(docs: DataFrame, config: DedupConfig = DedupConfig()) -> DataFrame:
-    """doc_id, row, start, n (windows), src_doc, src_row, src_start of all repeats of windows (first places are none).
-
-    Documents that are copies as a whole are left out, see ``numbered``.
-    """
-    fresh = numbered(docs).filter(~F.col("copy"))
+def compared_spans(docs: DataFrame, config: DedupConfig) -> tuple[DataFrame, DataFrame]:
+    """Spans (doc_id, place, n, src_doc, src_place, words), and the numbered texts that they refer to."""
+    texts = numbered(docs)
+    fresh = texts.filter(~F.col("copy"))
     found = filed(fresh, config).filter("m is not null")  # said here, so that both uses of the counts share an exchange
     twice = found.groupBy("m").agg(F.count("*").alias("c")).filter("c > 1")
     # The most frequent minimizers are known by a list of fixed length, their rows are spread; every other key holds
     # less than one part in ``hot`` of the rows.
     hot = twice.orderBy(F.desc("c"), "m").limit(config.hot).select("m", F.lit(True).alias("hot"))
     spread = found.join(F.broadcast(hot), "m", "left").select(
-        "doc_id", "start",
+        "doc_id", "start", "m",
         F.when(F.col("hot"), -F.col("n")).otherwise(F.col("n")).alias("n"),
         F.when(F.col("hot"), F.xxhash64("doc_id")).otherwise(F.col("m")).alias("k"),
     )
     again = twice.select(F.col("m").alias("k"), F.lit(True).alias("again"))
     repeated = spread.join(again, "k", "left").filter("n < 0 or again")
-    runs_of = repeated.groupBy("doc_id").agg(F.collect_list(F.struct("start", F.abs("n").alias("n"))).alias("runs"))
+    runs_of = repeated.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "m")).alias("runs"))
     hashes = F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("hashes")
     candidates = fresh.join(runs_of, "doc_id").select("doc_id", "row", hashes, "runs")
-    found = repeats(edges(candidates, config))
+    spans = stored(compacted(resolved(repeats(edges(candidates, config)))), "spans")
+    return with_source_words(spans, texts, config.window), texts
 
-    def unpacked(place: str, row: str, start: str) -> list[Column]:
-        return [F.shiftright(place, 32).cast("int").alias(row), F.col(place).bitwiseAND((1 << 32) - 1).cast("int").alias(start)]
 
-    return found.select("doc_id", *unpacked("place", "row", "start"), F.col("n").cast("int").alias("n"), "src_doc", *unpacked("src_place", "src_row", "src_start"))
+def repeated_spans(docs: DataFrame, config: DedupConfig = DedupConfig()) -> DataFrame:
+    """doc_id, row, start, n (windows), src_doc, src_row, src_start of all repeats of windows (first places are none).
+
+    Every span's words have been compared with its source's. Documents that are copies as a whole are left out, see
+    ``numbered``.
+    """
+    spans, texts = compared_spans(docs, config)
+    listed = spans.groupBy("doc_id").agg(F.collect_list(F.struct("place", "n", "src_doc", "src_place", "words")).alias("spans"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for doc, row, text, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
+                own = [s for s in spans if s["place"] >> 32 == row]
+                found = WORD.findall(text.as_buffer().to_pybytes()) if own else []
+                for s in own:
+                    start = s["place"] & 0xFFFFFFFF
+                    if excerpt(found, start, s["n"], config.window) == s["words"]:
+                        out.append((doc, row, start, s["n"], s["src_doc"], s["src_place"] >> 32, s["src_place"] & 0xFFFFFFFF))
+            cols = list(zip(*out)) if out else [[]] * 7
+            names = ["doc_id", "row", "start", "n", "src_doc", "src_row", "src_start"]
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], names=names)
+
+    schema = "doc_id bigint, row bigint, start bigint, n bigint, src_doc bigint, src_row bigint, src_start bigint"
+    return texts.join(listed, "doc_id").select("doc_id", F.col("row").cast("bigint"), "text", "spans").mapInArrow(compare, schema)
 
 
 def deduplicate(docs: DataFrame, config: DedupConfig = DedupConfig()) -> DataFrame:
@@ -257,8 +386,9 @@ def deduplicate(docs: DataFrame, config: DedupConfig = DedupConfig()) -> DataFra
     texts have no words; rows without id are left out; of repeated ids, rows in order of their digests count as
     documents one after the other. Extra columns are ignored; an empty table gives no rows.
     """
-    spans = repeated_spans(docs, config).groupBy("doc_id").agg(F.collect_list(F.struct("row", "start", "n")).alias("spans"))
-    rows = numbered(docs).join(spans, "doc_id", "left").select("doc_id", "row", "text", "spans", "copy")
+    spans, texts = compared_spans(docs, config)
+    listed = spans.groupBy("doc_id").agg(F.collect_list(F.struct("place", "n", "words")).alias("spans"))
+    rows = texts.join(listed, "doc_id", "left").select("doc_id", "row", "text", "spans", "copy")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -269,12 +399,12 @@ def deduplicate(docs: DataFrame, config: DedupConfig = DedupConfig()) -> DataFra
                 keep = np.full(len(found), not copy or len(found) < config.window)
                 if spans.is_valid and not copy:
                     inner = spans.values
-                    own, pos, n = (inner.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-                    edge = np.zeros(len(found) + 1, np.int64)
-                    mine = own == row
-                    np.add.at(edge, pos[mine], 1)
-                    np.add.at(edge, pos[mine] + n[mine] + config.window - 1, -1)
-                    keep = np.cumsum(edge)[:-1] == 0
+                    place, n = (inner.field(k).to_numpy(zero_copy_only=False) for k in range(2))
+                    source = inner.field(2)
+                    for k in np.flatnonzero(place >> 32 == row).tolist():
+                        start, count = int(place[k]) & 0xFFFFFFFF, int(n[k])
+                        if excerpt(found, start, count, config.window) == source[k].as_py():
+                            keep[start : start + count + config.window - 1] = False
                 left = found if keep.all() else [w for w, k in zip(found, keep) if k]
                 joined = b" ".join(left)
                 n_words.append(len(found))

@@ -7,6 +7,7 @@ import uuid
 from typing import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,3 +66,22 @@ def runs(keys: np.ndarray) -> np.ndarray:
     if not len(keys):
         return np.zeros(1, np.int64)
     return np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]))
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[pa.Table]:
+    """Cuts a stream sorted by column ``key`` so that no group crosses two tables."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(key).to_numpy()
+        cut = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if keys[0] != keys[-1] else 0
+        if rest and rest[-1].column(key)[0].as_py() != keys[0]:
+            yield pa.Table.from_batches(rest)
+            rest = []
+        if cut:
+            yield pa.Table.from_batches([*rest, batch.slice(0, cut)])
+            rest = []
+        rest.append(batch.slice(cut))
+    if rest:
+        yield pa.Table.from_batches(rest)

@@ -51,5 +51,54 @@ def test_spans_name_their_source(spark):
     assert len(spans) <= 8  # compacted, not one row per window
 
 
+def graph_spans(data, k):
+    """Spans of the whole graph, by dictionaries."""
+    seen, out = {}, []
+    for doc_id, text, *_ in sorted(data, key=lambda r: r[0]):
+        w, last = words(text), None
+        for i in range(len(w) - k + 1):
+            edge = tuple(w[i : i + k])
+            source = seen.setdefault(edge, (doc_id, i))
+            if source == (doc_id, i):
+                last = None
+            elif last is not None and out[-1][3] == source[0] and out[-1][4] + out[-1][2] == source[1]:
+                out[-1][2] += 1
+            else:
+                out.append([doc_id, i, 1, *source])
+                last = i
+    return sorted(map(tuple, out))
+
+
+@pytest.mark.parametrize("partitions", [1, 16, 200])
+def test_spans_do_not_depend_on_partitions_or_batches(spark, partitions):
+    rng = random.Random(11)
+    passage, other = sentence(rng, 300).split(), sentence(rng, 60).split()
+    data = []
+    for i in range(40):
+        part = passage[rng.randrange(0, 100) : 300 - rng.randrange(0, 100)] if i else passage
+        text = " ".join([sentence(rng, rng.randrange(0, 30)), *part, *(other if i % 3 else []), sentence(rng, 9), *other])
+        data.append((i * 7, text, "en", "a", 0, 0.0, ""))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        got = debruijn.repeated_spans(docs(spark, data).repartition(partitions)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = graph_spans(data, 20)
+    assert sorted((r.doc_id, r.start, r.n, r.src_doc, r.src_start) for r in got) == want
+    assert len(want) < 200 and sum(n for _, _, n, *_ in want) > 5000
+
+
+def test_unequal_words_do_not_count(spark):
+    """A span whose hash lies is found out by its words."""
+    rng = random.Random(2)
+    a, b = sentence(rng, 40), sentence(rng, 40)
+    texts = debruijn.numbered(docs(spark, [(1, a, "en", "a", 0, 0.0, ""), (2, b, "en", "a", 0, 0.0, ""), (3, a + " x", "en", "a", 0, 0.0, "")]))
+    place = 1 << 32
+    spans = spark.createDataFrame([(2, place, 21, 1, place), (3, place, 21, 1, place)], "doc_id bigint, place bigint, n bigint, src_doc bigint, src_place bigint")
+    got = {r.doc_id: bytes(r.words) for r in debruijn.with_source_words(spans, texts, 20).collect()}
+    own = {i: debruijn.excerpt([w.encode() for w in t.split()], 0, 21, 20) for i, t in ((2, b), (3, a))}
+    assert got[3] == own[3] and got[2] != own[2]
+
+
 def test_empty_table(spark):
     assert debruijn.deduplicate(empty(spark)).count() == 0
