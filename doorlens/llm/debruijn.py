@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from doorlens.llm.shared import runs, slices, stored, whole_groups, words
+from doorlens.llm.shared import runs, slices, whole_groups, words
 
 U = np.uint64
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -37,7 +37,7 @@ WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 @dataclass(frozen=True)
 class DedupConfig:
     window: int = 20
-    seed_words: int = 8
+    seed_words: int = 8  # less than 256 below ``window``
     slice_words: int = 1_000_000  # words that one vectorised step holds
     hot: int = 4096  # minimizers whose rows are spread
 
@@ -92,7 +92,7 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def filed(base: DataFrame, config: DedupConfig) -> DataFrame:
-    """(doc_id, start, n, m): runs of windows with their minimizers."""
+    """(doc_id, run, m): runs of windows with their minimizers; a run is its start times 256 plus its length."""
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,26 +100,22 @@ def filed(base: DataFrame, config: DedupConfig) -> DataFrame:
             hashes, offsets = flat(batch.column(1))
             for a, b in slices(np.diff(offsets), config.slice_words):
                 row, start, n, m = minimizers(hashes[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], config)
-                yield pa.record_batch(
-                    [pa.array(ids[a:b][row]), pa.array(start, pa.int32()), pa.array(n, pa.int32()), pa.array(m.view(np.int64))],
-                    names=["doc_id", "start", "n", "m"],
-                )
+                yield pa.record_batch([pa.array(ids[a:b][row]), pa.array((start << 8) | n), pa.array(m.view(np.int64))], names=["doc_id", "run", "m"])
 
     hashed = base.select("doc_id", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)))
-    return hashed.mapInArrow(file, "doc_id bigint, start int, n int, m bigint")
+    return hashed.mapInArrow(file, "doc_id bigint, run bigint, m bigint")
 
 
 def edges(candidates: DataFrame, config: DedupConfig) -> DataFrame:
     """Windows of candidate runs: (h, check, doc_id, row, span).
 
-    ``candidates``: doc_id, row, hashes (of all words), runs (array of start, n and m; n below 0 for a minimizer whose
-    rows are spread). The upper half of ``h`` is the minimizer's, the lower half the window's own hash; where rows are
-    spread, both are the window's. ``check`` holds a second hash of 31 bits and, in its low half, the start of the
+    ``candidates``: doc_id, row, hashes (of all words), runs (as ``filed`` has them, with 23 bits of the minimizer above;
+    below 0 for a minimizer whose rows are spread). The upper 24 bits of ``h`` are the minimizer's, the others the
+    window's own hash; where rows are spread, all are the window's. ``check`` holds a second hash of 31 bits and, in its low half, the start of the
     window; few bytes matter here. The first place of an edge in its batch leaves without ``span``; later places leave
     as stretches (number of windows, document and place of the first one), under a random h.
     """
     names = ["h", "check", "doc_id", "row", "span"]
-    high = U(0xFFFFFFFF00000000)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,15 +124,17 @@ def edges(candidates: DataFrame, config: DedupConfig) -> DataFrame:
             found = batch.column(3)
             run_at = found.offsets.to_numpy().astype(np.int64)
             run_at = run_at - run_at[0]
-            inner = found.flatten()
-            starts, lengths, seeds = (inner.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
+            codes = found.flatten().to_numpy(zero_copy_only=False)
+            hot = codes < 0
+            codes = np.where(hot, -1 - codes, codes)
+            lengths, starts, seeds = codes & 0xFF, (codes >> 8) & 0xFFFFFFFF, codes >> 40
             parts = []
             for a, b in slices(np.diff(offsets), config.slice_words):
                 lo, hi = run_at[a], run_at[b]
-                size = np.abs(lengths[lo:hi])
+                size = lengths[lo:hi]
                 of = np.repeat(np.repeat(np.arange(a, b), np.diff(run_at[a : b + 1])), size)
                 start = np.repeat(starts[lo:hi], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                seed, spread = np.repeat(seeds[lo:hi], size).view(np.uint64), np.repeat(lengths[lo:hi] < 0, size)
+                seed, spread = np.repeat(seeds[lo:hi], size).view(np.uint64), np.repeat(hot[lo:hi], size)
                 fits = np.flatnonzero(start + config.window <= (offsets[1:] - offsets[:-1])[of])
                 # rows of one id share their runs, which may overlap
                 once, at = np.unique((of[fits] << 32) | start[fits], return_index=True)
@@ -144,7 +142,7 @@ def edges(candidates: DataFrame, config: DedupConfig) -> DataFrame:
                 part = hashes[offsets[a] : offsets[b]]
                 at = offsets[of] - offsets[a] + start
                 h = rolling(part, config.window, 0xD6E8FEB86659FD93)[at]
-                h = np.where(spread, h, (seed & high) | (h >> U(32)))
+                h = np.where(spread, h, (seed << U(40)) | (h >> U(24)))
                 h2 = rolling(mix(part + U(77)), config.window, 0xA0761D6478BD642F)[at]
                 h2 = (h2 >> U(33)).astype(np.int64)
                 parts.append((h.view(np.int64), h2, ids[of], (rows[of] << 32) | start))
@@ -219,7 +217,7 @@ def repeats(edge_rows: DataFrame) -> DataFrame:
             cols = [doc, np.zeros(len(doc), np.int64), place, n, src_doc, src_place]
             yield pa.record_batch([pa.array(x) for x in cols], names=MET)
 
-    met = edge_rows.repartition(F.shiftright("h", 32)).sortWithinPartitions("h", F.shiftright("check", 32), "doc_id", "row", "check")
+    met = edge_rows.repartition(F.shiftright("h", 40)).sortWithinPartitions("h", F.shiftright("check", 32), "doc_id", "row", "check")
     return met.mapInArrow(find, ", ".join(f"{c} bigint" for c in MET))
 
 
@@ -339,16 +337,18 @@ def compared_spans(docs: DataFrame, config: DedupConfig) -> tuple[DataFrame, Dat
     # less than one part in ``hot`` of the rows.
     hot = twice.orderBy(F.desc("c"), "m").limit(config.hot).select("m", F.lit(True).alias("hot"))
     spread = found.join(F.broadcast(hot), "m", "left").select(
-        "doc_id", "start", "m",
-        F.when(F.col("hot"), -F.col("n")).otherwise(F.col("n")).alias("n"),
+        "doc_id",
+        F.when(F.col("hot"), -1 - F.col("run")).otherwise(F.col("run")).alias("run"),
         F.when(F.col("hot"), F.xxhash64("doc_id")).otherwise(F.col("m")).alias("k"),
     )
     again = twice.select(F.col("m").alias("k"), F.lit(True).alias("again"))
-    repeated = spread.join(again, "k", "left").filter("n < 0 or again")
-    runs_of = repeated.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "m")).alias("runs"))
+    repeated = spread.join(again, "k", "left").filter("run < 0 or again")
+    with_seed = F.shiftleft(F.col("k").bitwiseAND(0x7FFFFF), 40).bitwiseOR(F.col("run"))
+    code = F.when(F.col("run") < 0, F.col("run")).otherwise(with_seed)
+    runs_of = repeated.groupBy("doc_id").agg(F.collect_list(code).alias("runs"))
     hashes = F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("hashes")
     candidates = fresh.join(runs_of, "doc_id").select("doc_id", "row", hashes, "runs")
-    spans = stored(compacted(resolved(repeats(edges(candidates, config)))), "spans")
+    spans = compacted(resolved(repeats(edges(candidates, config))))
     return with_source_words(spans, texts, config.window), texts
 
 
