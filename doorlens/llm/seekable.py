@@ -191,7 +191,9 @@ def read_shards(manifest: DataFrame, folder: str, with_ids: bool = False) -> Dat
                             out = []
                     yield pd.DataFrame(out, columns=schema_names(schema))
 
-    shards = placed.select("path", F.col("_start").alias("start")).repartition("path")
+    shards = placed.select("path", F.col("_start").alias("start"), "shard")
+    # A task a shard: a number that is asked for is not put together again at run time, however short the manifest.
+    shards = shards.repartitionByRange(max(1, manifest.count()), "shard").select("path", "start")
     return shards.mapInPandas(read, schema)
 
 

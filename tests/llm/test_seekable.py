@@ -46,6 +46,16 @@ def test_damage_is_noticed():
         seekable.ShardReader(io.BytesIO(bytes(data[:-1])))
 
 
+def test_a_read_task_a_shard(spark):
+    folder = seekable.new_path(spark, "shards")
+    manifest = seekable.write_shards(docs(spark), folder, shard_rows=9)
+    shards = manifest.filter("n_docs > 0").count()
+    from pyspark.sql import functions as F
+
+    tasks = seekable.read_shards(manifest, folder).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert shards > 4 and tasks == shards
+
+
 @pytest.mark.parametrize("partitions", [1, 5])
 def test_round_trip(spark, partitions):
     data = rows()
