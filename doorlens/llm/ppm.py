@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doorlens.llm.shared import slices
+from doorlens.llm.shared import row_of, runs, slices
 
 U = np.uint64
 
@@ -124,16 +124,25 @@ class PpmModel:
             out[unknown] = self.below(rest, k) + np.where(context[:, None] >= 0, escape[context], 0.0)
         return out
 
-    def code_lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Bits of each text in each language."""
+    def code_lengths(self, data: np.ndarray, offsets: np.ndarray, block: int = 250_000) -> np.ndarray:
+        """Bits of each text in each language; what is held at once has the size of a block, however long a text is."""
         out = np.zeros((len(offsets) - 1, len(self.languages)))
-        full = np.flatnonzero(np.diff(offsets))
-        if len(full):
-            per_byte = self.bits(grams_of(data, offsets, self.order))
-            out[full] = np.add.reduceat(per_byte, offsets[:-1][full])
+        for text, grams in gram_blocks(data, offsets, self.order, block):
+            first = runs(text)[:-1]
+            out[text[first]] += np.add.reduceat(self.bits(grams), first)
         return out
 
 
+def gram_blocks(data: np.ndarray, offsets: np.ndarray, order: int, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text number, gram) of the bytes of all texts, ``block`` bytes at a time; a block reads ``order`` bytes before it."""
+    for lo in range(0, len(data), block):
+        hi = min(lo + block, len(data))
+        begin = max(lo - order, 0)
+        edges = np.unique(np.clip(offsets, begin, hi)) - begin
+        grams = grams_of(data[begin:hi], edges, order)[lo - begin :]
+        yield np.searchsorted(offsets, np.arange(lo, hi), side="right") - 1, grams
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts in a row, and their offsets."""
     column = column.cast(pa.large_string())
@@ -159,10 +168,8 @@ def fit(docs: DataFrame, config: PpmConfig = PpmConfig()) -> PpmModel:
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
             langs = batch.column(0).to_numpy()
-            for a, b in slices(np.diff(offsets), 4_000_000):
-                grams = grams_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], config.order)
-                lang = np.repeat(langs[a:b], np.diff(offsets[a : b + 1])).astype(np.uint64)
-                found, n = np.unique(grams | (lang << U(40)), return_counts=True)
+            for text, grams in gram_blocks(data, offsets, config.order, 4_000_000):
+                found, n = np.unique(grams | (langs[text].astype(np.uint64) << U(40)), return_counts=True)
                 yield pa.record_batch([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], names=["g", "n"])
 
     counted = chosen.select(number.cast("bigint"), "text").mapInArrow(count, "g bigint, n bigint")
@@ -174,7 +181,7 @@ def fit(docs: DataFrame, config: PpmConfig = PpmConfig()) -> PpmModel:
 def identify(docs: DataFrame, model: PpmModel) -> DataFrame:
     """Adds ``lang_pred`` and ``score`` (posterior of that language by code lengths) to every row.
 
-    Null texts and texts without any letter are ``und`` with score 0.
+    Null texts and texts without any letter are ``und`` with score 0. Input columns of these two names give way.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -191,9 +198,9 @@ def identify(docs: DataFrame, model: PpmModel) -> DataFrame:
         return pa.StructArray.from_arrays([pa.array(best, pa.string()), pa.array(score, pa.float64())], ["lang", "score"])
 
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    out = docs.withColumn("_guess", guess(F.coalesce("text", F.lit(""))))
-    return out.select(
-        *docs.columns,
-        F.when(lettered, F.col("_guess.lang")).otherwise("und").alias("lang_pred"),
-        F.when(lettered, F.col("_guess.score")).otherwise(0.0).alias("score"),
+    found = docs.select(row_of(docs), lettered.alias("lettered"), guess(F.coalesce("text", F.lit(""))).alias("guess"))
+    return found.select(
+        *[F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("lang_pred", "score")],
+        F.when(F.col("lettered"), F.col("guess.lang")).otherwise("und").alias("lang_pred"),
+        F.when(F.col("lettered"), F.col("guess.score")).otherwise(0.0).alias("score"),
     )

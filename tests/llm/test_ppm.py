@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from doorlens.llm import ppm
 from doorlens.llm.ppm import PpmConfig, PpmModel, grams_of
@@ -89,3 +90,30 @@ def test_awkward_rows(spark):
     assert ppm.identify(empty(spark), model).count() == 0
     none = ppm.fit(empty(spark))
     assert {r.lang_pred for r in ppm.identify(docs(spark), none).collect()} == {"und"}
+
+
+def test_blocks_equal_the_whole():
+    texts = ["the cat sat", "", "der Hund é", "x", "", "on the mat " * 30]
+    data, offsets = encoded(texts)
+    model = PpmModel(["a", "b"], np.arange(len(data)) % 2, grams_of(data, offsets, 4), np.ones(len(data)), 4)
+    whole = model.code_lengths(data, offsets, len(data))
+    for block in (1, 3, 7, 64):
+        assert np.allclose(model.code_lengths(data, offsets, block), whole)
+
+
+def test_long_text_needs_little_memory():
+    import tracemalloc
+
+    data, offsets = encoded(["the cat sat on the mat, " * 830_000])  # 20 MB
+    model = PpmModel([f"l{i}" for i in range(8)], np.arange(4000) % 8, grams_of(data[:4000], np.array([0, 4000]), 4), np.ones(4000), 4)
+    tracemalloc.start()
+    model.code_lengths(data, offsets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500_000_000
+
+
+def test_input_columns_of_the_same_names(spark):
+    model = ppm.fit(docs(spark))
+    got = ppm.identify(docs(spark).withColumn("lang_pred", F.col("lang")), model)
+    assert got.columns.count("score") == got.columns.count("lang_pred") == 1 and got.count() == docs(spark).count()
