@@ -18,11 +18,11 @@ from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doorlens.llm.components import components
-from doorlens.llm.shared import runs, slices, stored, whole_groups, words
+from doorlens.llm.shared import numbered_rows, runs, slices, stored, whole_groups, words
 
 
 @dataclass(frozen=True)
@@ -378,11 +378,16 @@ def jaccard_join(docs: DataFrame, config: JoinConfig = JoinConfig()) -> DataFram
 
 
 def keep_first(docs: DataFrame, config: JoinConfig = JoinConfig()) -> DataFrame:
-    """Documents with one left of each class, that with the smallest id; columns unchanged.
+    """Documents with one left of each class, that with the smallest id (null last, then by digest); columns unchanged.
 
-    Repeated rows of one id leave one row; rows without id stay.
+    Every row is a document: rows of one id stay if their texts differ, rows without id are compared like others, and
+    of equal rows one stays. Null, empty and blank texts are in no class: all of them stay.
     """
-    firsts = jaccard_join(docs, config).filter("doc_id = class_id").select(F.col("doc_id").alias("_first"))
-    kept = docs.join(firsts, docs["doc_id"] == F.col("_first"))
-    row = F.row_number().over(Window.partitionBy("_first").orderBy(F.md5(F.lower("text")).asc_nulls_last()))
-    return kept.withColumn("_row", row).filter("_row = 1").select(docs.columns).unionByName(docs.filter("doc_id is null"))
+    rows = numbered_rows(docs, "rows")
+    text = F.col("row.text")
+    classes = jaccard_join(rows.select(F.col("number").alias("doc_id"), text.alias("text")), config)
+    doc_id = F.col("row.doc_id")
+    first = F.struct(doc_id.isNull().alias("absent"), doc_id.alias("id"), F.md5(text).alias("digest"), "number")
+    ranked = rows.select(F.col("number").alias("doc_id"), first.alias("first")).join(classes, "doc_id")
+    kept = ranked.groupBy("class_id").agg(F.min("first").alias("first")).select(F.col("first.number").alias("number"))
+    return rows.join(kept, "number").select("row.*")

@@ -15,11 +15,11 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from doorlens.llm.shared import stored
+from doorlens.llm.shared import numbered_rows, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
-ITEM = "struct<key:bigint,doc_id:bigint,size:bigint,p:double>"
-DONE = "array<struct<doc_id:bigint,size:bigint,up:int>>"
+ITEM = "struct<key:bigint,number:bigint,doc_id:bigint,size:bigint,p:double>"
+DONE = "array<struct<number:bigint,doc_id:bigint,size:bigint,up:int>>"
 
 
 @dataclass(frozen=True)
@@ -28,6 +28,7 @@ class MixConfig:
     most: int = 3  # a source, and a document, counts at most so many times its size
     fan_in: int = 64
     seed: int = 5
+    ranked_rows: int = 50_000  # equal rows that one ranking window holds on average
 
 
 def word_count(text: Column) -> Column:
@@ -71,10 +72,10 @@ def pivot(state: Column, b: Column, seed: int) -> Column:
     a = state["open"]
 
     def item(x: Column, p: Column) -> Column:
-        return F.struct(x["key"].alias("key"), x["doc_id"].alias("doc_id"), x["size"].alias("size"), p.alias("p")).cast(ITEM)
+        return F.struct(*[x[c].alias(c) for c in ("key", "number", "doc_id", "size")], p.alias("p")).cast(ITEM)
 
     def done(x: Column, up: Column) -> Column:
-        return F.struct(x["doc_id"].alias("doc_id"), x["size"].alias("size"), up.cast("int").alias("up"))
+        return F.struct(*[x[c].alias(c) for c in ("number", "doc_id", "size")], up.cast("int").alias("up"))
 
     room = F.struct(
         (a["size"] * (1 - a["p"])).alias("a_up"), (a["size"] * a["p"]).alias("a_down"),
@@ -116,22 +117,56 @@ def folded(items: DataFrame, seed: int) -> DataFrame:
     )
 
 
+def sized(docs: DataFrame, number: Column) -> DataFrame:
+    """number, doc_id, source, size and a hash of the text of every row."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(
+        number.alias("number"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"),
+        word_count(F.col("text")).alias("size"), F.xxhash64(text).alias("text_hash"),
+    )
+
+
+def keyed(sizes: DataFrame, config: MixConfig) -> DataFrame:
+    """Adds ``key``, a hash of the row and of its rank among equal rows: equal rows are drawn and dealt apart.
+
+    Equal rows may be swapped, so ranks by number leave the result the same in every run. Ranking windows run per
+    bucket of numbers, and a small table carries on from bucket to bucket.
+    """
+    content = F.xxhash64(F.lit(config.seed), "doc_id", "source", F.col("source").isNull(), "size", "text_hash")
+    rows = sizes.withColumn("content", content)
+    several = rows.groupBy("content").agg(F.count("*").alias("c")).filter("c > 1").select("content")
+    buckets = max(1, -(-sizes.count() // config.ranked_rows))
+    dealt = rows.join(several, "content", "left_semi").withColumn("b", F.pmod(F.xxhash64("number"), F.lit(buckets)))
+    before = Window.partitionBy("content").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = dealt.groupBy("content", "b").agg(F.count("*").alias("c"))
+    offsets = offsets.select("content", "b", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("before"))
+    rank = F.row_number().over(Window.partitionBy("content", "b").orderBy("number")) - 1
+    ranked = dealt.withColumn("rank", rank).join(offsets, ["content", "b"])
+    apart = ranked.withColumn("key", F.xxhash64("content", F.col("rank") + F.col("before"))).select(*sizes.columns, "key")
+    single = rows.join(several, "content", "left_anti").withColumn("key", F.xxhash64("content", F.lit(0).cast("bigint")))
+    return single.select(*sizes.columns, "key").unionByName(apart)
+
+
 def mix(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
     """doc_id, size, source_size, target, copies, taken for every row.
 
     Null texts have size 0, and documents of size 0 are taken 0 times; a null source is a source; null ids and
     repeated rows are documents of their own. Extra columns are ignored; an empty table gives no rows.
     """
-    sizes = stored(docs.select(F.col("doc_id").cast("bigint"), F.col("source").cast("string"), word_count(F.col("text")).alias("size")), "sizes")
+    return mixed(stored(sized(docs, F.monotonically_increasing_id()), "sizes"), config).drop("number")
+
+
+def mixed(sizes: DataFrame, config: MixConfig) -> DataFrame:
+    """number, doc_id, size, source_size, target, copies, taken of rows as ``sized`` gives them, stored."""
     per_source = targets(sizes, config).withColumn("source_no", F.xxhash64(F.coalesce("source", F.lit("null")), F.col("source").isNull()))
     per_source = stored(per_source, "targets")
-    rows = sizes.join(per_source, sizes["source"].eqNullSafe(per_source["source"])).drop("source")
+    rows = keyed(sizes, config)
+    rows = rows.join(per_source, rows["source"].eqNullSafe(per_source["source"])).drop("source")
     rows = rows.withColumn("_times", F.when(F.col("size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
     rows = rows.withColumn("_whole", F.floor("_times").cast("bigint")).withColumn("_p", F.col("_times") - F.col("_whole"))
-    key = F.xxhash64(F.lit(config.seed), "doc_id", "size")
     groups = F.greatest(F.ceil(F.col("n") / config.fan_in), F.lit(1))
-    item = F.struct(key.alias("key"), "doc_id", "size", F.col("_p").alias("p")).cast(ITEM)
-    items = rows.filter("_p > 0").select("source_no", F.pmod(key, groups).cast("bigint").alias("g"), item.alias("item"))
+    item = F.struct("key", "number", "doc_id", "size", F.col("_p").alias("p")).cast(ITEM)
+    items = rows.filter("_p > 0").select("source_no", F.pmod("key", groups).cast("bigint").alias("g"), item.alias("item"))
     level = stored(folded(items, config.seed), "fold")
     decided = [level.select("source_no", F.explode("done").alias("d"))]
     most = per_source.agg(F.max("n")).first()[0] or 0
@@ -144,7 +179,7 @@ def mix(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
         decided.append(level.select("source_no", F.explode("done").alias("d")))
         width = -(-width // config.fan_in)
     last = draw(F.col("open.key"), F.lit(0), config.seed) < F.col("open.p")
-    final = F.struct(F.col("open.doc_id").alias("doc_id"), F.col("open.size").alias("size"), last.cast("int").alias("up"))
+    final = F.struct("open.number", "open.doc_id", "open.size", last.cast("int").alias("up"))
     decided.append(level.filter("open is not null").select("source_no", final.alias("d")))
     rounded = decided[0]
     for more in decided[1:]:
@@ -152,21 +187,15 @@ def mix(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
     per = per_source.select("source_no", "source_size", "target")
     rounded = rounded.select("source_no", "d.*").join(per, "source_no")
     whole = F.floor(F.col("target") / F.col("source_size")).cast("bigint")
-    rounded = rounded.select("doc_id", "size", "source_size", "target", (whole + F.col("up")).alias("copies"))
-    certain = rows.filter("_p <= 0").select("doc_id", "size", "source_size", "target", F.col("_whole").alias("copies"))
+    rounded = rounded.select("number", "doc_id", "size", "source_size", "target", (whole + F.col("up")).alias("copies"))
+    certain = rows.filter("_p <= 0").select("number", "doc_id", "size", "source_size", "target", F.col("_whole").alias("copies"))
     return rounded.unionByName(certain).withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def repeat_rows(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
-    """Documents as often as the mix takes them; columns unchanged. Rows without id are not taken.
-
-    Copies go by id and size: repeated rows of one id share the sum of their copies evenly, the first ones more.
-    """
-    by = ["_id", "_size"]
-    copies = mix(docs.filter("doc_id is not null"), config).groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size"))
-    copies = copies.agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).filter("_copies > 0")
-    keyed = docs.withColumn("_id", F.col("doc_id").cast("bigint")).withColumn("_size", word_count(F.col("text")))
-    row = F.row_number().over(Window.partitionBy(*by).orderBy(F.md5("text")))
-    one = F.floor(F.col("_copies") / F.col("_rows")) + (F.col("_row") <= F.col("_copies") % F.col("_rows")).cast("int")
-    out = keyed.join(copies, by).withColumn("_row", row).withColumn("_times", one.cast("int")).filter("_times > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)
+    """Documents as often as the mix takes them; columns unchanged. Every row counts for itself, with or without id."""
+    rows = numbered_rows(docs, "rows")
+    sizes = stored(sized(rows.select("number", "row.doc_id", "row.source", "row.text"), F.col("number")), "sizes")
+    copies = mixed(sizes, config).filter("copies > 0").select("number", F.col("copies").cast("int").alias("copies"))
+    taken = rows.join(copies, "number")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doorlens.llm.shared import stored
+from doorlens.llm.shared import row_of, stored
 
 # fixed values: patterns of the strong parts
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -163,10 +163,10 @@ def redacted(text: Column, spans: Column, mark: str) -> Column:
 def redact(docs: DataFrame, config: SecretConfig = SecretConfig()) -> DataFrame:
     """The same rows with every reported span replaced by a mark and ``n_chars`` (if there) kept true; others unchanged."""
     spans = F.concat("assign", "access", "hex", "linked")
-    found = scan(docs, config).select(F.col("text_key").alias("_key"), spans.alias("_spans")).filter(F.size("_spans") > 0)
-    found = found.dropDuplicates(["_key"])
-    joined = docs.withColumn("_md5", F.md5("text")).join(found, F.col("_md5") == F.col("_key"), "left")
-    text = F.when(F.col("_key").isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col("_spans"), config.mark))
-    out = joined.withColumn("_new", text)
-    columns = {"text": F.col("_new"), "n_chars": F.when(F.col("_key").isNull(), docs["n_chars"]).otherwise(F.char_length("_new").cast("bigint")) if "n_chars" in docs.columns else None}
-    return out.select(*[columns[c].alias(c) if c in columns else docs[c] for c in docs.columns])
+    found = scan(docs, config).select("text_key", spans.alias("spans")).filter(F.size("spans") > 0).dropDuplicates(["text_key"])
+    joined = docs.select(row_of(docs), F.md5("text").alias("text_key")).join(found, "text_key", "left")
+    row = F.col("row")
+    text = F.when(F.col("spans").isNull(), row["text"]).otherwise(redacted(row["text"], F.col("spans"), config.mark))
+    new = joined.select("row", text.alias("text"), F.col("spans").isNull().alias("same"))
+    changed = {"text": F.col("text"), "n_chars": F.when(F.col("same"), row["n_chars"]).otherwise(F.char_length("text").cast("bigint"))}
+    return new.select(*[(changed[c] if c in changed else row.getField(c)).alias(c) for c in docs.columns])

@@ -40,6 +40,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def row_of(docs: DataFrame) -> Column:
+    """The whole row as one struct column ``row``: no name that an operator adds can clash with the caller's."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("row")
+
+
+def numbered_rows(docs: DataFrame, name: str) -> DataFrame:
+    """Stored table (number, row): a number of its own for every row, whatever its id; fixed once it is stored."""
+    return stored(docs.select(row_of(docs), F.monotonically_increasing_id().alias("number")), name)
+
+
 def words(text: Column) -> Column:
     """Words between white space, unchanged; null and blank texts give an empty array."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")

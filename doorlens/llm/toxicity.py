@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doorlens.llm.shared import runs, slices
+from doorlens.llm.shared import row_of, runs, slices
 
 
 @dataclass(frozen=True)
@@ -212,4 +212,5 @@ def score(docs: DataFrame, model: FactorizationMachine, config: ToxicityConfig =
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, config: ToxicityConfig = ToxicityConfig()) -> DataFrame:
     """Documents whose score stays below ``threshold``; columns unchanged."""
     model = fit(docs, labels, config)
-    return score(docs, model, config, "_score").filter(F.col("_score") < threshold).drop("_score")
+    scored = score(docs.select(row_of(docs), "text"), model, config)
+    return scored.filter(F.col("score") < threshold).select("row.*")

@@ -61,11 +61,20 @@ def test_equals_brute_force(spark, config):
 
 
 def test_keep_first(spark):
+    """Every row is a document, whatever its id; of each class the smallest id stays (null last, then the digest)."""
+    from hashlib import md5
+
     data = rows()
-    kept = chosen_path.keep_first(docs(spark, data)).collect()
-    want = {i for i, (c, _) in brute(data).items() if i == c}
-    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(want)
-    assert sum(r.doc_id is None for r in kept) == 1
+    data += [(None, data[9][1], "en", "a", 0, 0.0, ""), (None, "text without an id", "en", "a", 0, 0.0, ""), data[9]]
+    classes = defaultdict(list)
+    for number, (c, _) in brute([(k, *r[1:]) for k, r in enumerate(data)]).items():
+        classes[c].append(data[number])
+    first = lambda r: (r[0] is None, r[0] or 0, r[1] is not None, md5((r[1] or "").encode()).hexdigest())
+    want = [min(members, key=first) for members in classes.values()]
+    kept = chosen_path.keep_first(docs(spark, data).repartition(3))
+    assert kept.columns == docs(spark).columns
+    key = lambda r: (str(r[0]), r[1] or "", str(r[3]))
+    assert sorted(map(key, kept.collect())) == sorted(map(key, want))
     assert chosen_path.keep_first(empty(spark)).count() == 0
 
 

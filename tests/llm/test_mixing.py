@@ -1,4 +1,4 @@
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from doorlens.llm import mixing
 from doorlens.llm.mixing import MixConfig
@@ -59,13 +59,37 @@ def test_probabilities_hold_on_average(spark):
 
 
 def test_rows_are_repeated(spark):
-    data = rows()
-    got = mixing.repeat_rows(docs(spark, data))
-    want = sum(r.copies for r in mixing.mix(docs(spark, data).filter("doc_id is not null")).collect())
-    assert got.count() == want and got.columns == docs(spark).columns
+    """Each row as often as the mix takes it, rows without id and different texts of one id too."""
+    data = rows() + [(None, "words without an id " * 9, "en", "a", 0, 0.0, ""), (None, "more of these " * 9, "en", None, 0, 0.0, "")]
+    got = mixing.repeat_rows(docs(spark, data).repartition(3))
+    want = Counter()
+    for r in mixing.mix(docs(spark, data)).collect():
+        want[r.doc_id, r.size] += r.copies
+    assert got.columns == docs(spark).columns
+    assert Counter((r.doc_id, len(words(r.text))) for r in got.collect()) == +want
+    allowed = {tuple(r) for r in docs(spark, data).collect()}
+    assert all(tuple(r) in allowed for r in got.collect())
+    assert any(r.doc_id is None for r in got.collect())
     assert mixing.repeat_rows(empty(spark)).count() == 0 and mixing.mix(empty(spark)).count() == 0
 
 
+def test_equal_rows_are_drawn_apart(spark):
+    """A hundred thousand equal rows have keys of their own and do not fall into one group."""
+    from pyspark.sql import functions as F
+
+    same = spark.range(100_000).select(F.lit(7).alias("doc_id"), F.lit("a b c").alias("text"), F.lit("x").alias("source"))
+    other = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("a b c d").alias("text"), F.lit("y").alias("source"))
+    docs_ = same.unionByName(other)
+    config = MixConfig()
+    sizes = mixing.stored(mixing.sized(docs_, F.monotonically_increasing_id()), "sizes")
+    keys = mixing.keyed(sizes, config)
+    assert keys.count() == keys.select("key").distinct().count() == 120_000
+    groups = keys.filter("source = 'x'").groupBy(F.pmod("key", F.lit(100_000 // 64))).count()
+    assert groups.agg(F.max("count")).first()[0] < 150
+    got = mixing.mix(docs_, config).groupBy("source_size", "target").agg(F.sum("taken").alias("t")).collect()
+    assert len(got) == 2 and all(abs(r.t - r.target) <= 4 for r in got)
+
+
 def test_all_texts_empty(spark):
     data = [(1, None, None, None, 0, 0.0, ""), (2, "", "en", "a", 0, 0.0, "")]
     assert [(r.size, r.taken) for r in mixing.mix(docs(spark, data)).collect()] == [(0, 0), (0, 0)]
