@@ -143,3 +143,64 @@ def recent_values(
     both = F.concat(F.coalesce(c("_carry"), none), F.coalesce(F.last("_tail", True).over(inside), none))
     d = d.join(carried, [*keys, "_blk"], "left").withColumn("_both", both)
     return d.select(*[F.col(x) for x in df.columns], newest(c("_both")).alias(out))
+
+
+def _prefix(d: DataFrame, keys: list[str], order: str, block: Column, names: list[str], longest: int, radix: int = 8) -> DataFrame:
+    """Composes maps x -> a x + b with all earlier ones of their block: after the step of width w every row holds the
+    composition of the last ``radix`` w maps. ``names``: the column of a, then those of b."""
+    quoted = [f"`{x.replace('`', '``')}`" for x in [*keys, "_blk", order]]
+    over = f"OVER (PARTITION BY {', '.join(quoted[:-1])} ORDER BY {quoted[-1]})"
+    a, *bs = names
+    rest = [f"`{x.replace('`', '``')}`" for x in d.columns if x not in names]
+    d, width = d.withColumn("_blk", block), 1
+    while width < longest:
+        lags = [f"lag({n}, {width * k}, {1 if n == a else 0}D) {over} AS {n}_{k}" for k in range(1, radix) for n in names]
+        d = d.selectExpr("*", *lags)
+        step = [""] + [f"_{k}" for k in range(1, radix)]
+        composed = [f"{a}{' * '.join([''] + [a + k for k in step[1:]])} AS {a}"]
+        for b in bs:
+            x = f"{b}{step[-1]}"
+            for k in reversed(step[:-1]):
+                x = f"({b}{k} + {a}{k} * {x})"
+            composed.append(f"{x} AS {b}")
+        d = d.selectExpr(*rest, "_blk", *composed)
+        width *= radix
+    return d
+
+
+def affine_scan(
+    df: DataFrame, keys: Sequence[str], order: str, factor: Column, offsets: Mapping[str, Column], span: int = 512, levels: int = 2
+) -> DataFrame:
+    """Adds x(k) = factor(k) x(k - 1) + offset(k) in ``order`` per ``keys``, for every named offset; x starts at 0.
+
+    Affine maps compose, so a timeline needs no pass from end to end: rows are numbered and cut into blocks of ``span``
+    rows, each row composes the maps of its block up to itself, and one row per block, the composition of the whole
+    block, goes through the same scan one level up. The last level is one block of span ** levels times fewer rows (at
+    most 32,768, or 8 * 10 ** 9 rows per key by default). Null factors and offsets count as 0.
+    """
+    keys = list(keys)
+    names = ["_a", *[f"_x{i}" for i in range(len(offsets))]]
+    d = number_rows(df, keys, block_of(order), [order], "_no")
+    zero = F.lit(0.0)
+    maps = [F.coalesce(v.cast("double"), zero).alias(n) for n, v in zip(names, [factor, *offsets.values()])]
+    d = d.select("*", *maps)
+
+    def scan(rows: DataFrame, order: str, level: int) -> DataFrame:
+        if level == 0:
+            return _prefix(rows, keys, order, F.lit(0), names, 1 << 15).drop("_blk")
+        inside = _prefix(rows, keys, order, F.floor((c(order) - 1) / span), names, span)
+        # one row per block, numbered from 1: the composition of the whole block
+        ends = inside.groupBy(*keys, "_blk").agg(*[F.max_by(n, order).alias(n) for n in names])
+        above = scan(ends.withColumn("_up", c("_blk") + 1), "_up", level - 1)
+        carried = above.select(*[c(k).alias(f"_k{i}") for i, k in enumerate(keys)], c("_up").alias("_next"), *[c(n).alias(f"_c{n}") for n in names])
+        same = c("_blk") == c("_next")
+        for i, k in enumerate(keys):
+            same = same & inside[k].eqNullSafe(c(f"_k{i}"))
+        joined = inside.join(carried, same, "left")
+        a, *bs = names
+        whole = [(c(b) + c(a) * F.coalesce(c(f"_c{b}"), zero)).alias(b) for b in bs]
+        whole.append((c(a) * F.coalesce(c(f"_c{a}"), F.lit(1.0))).alias(a))
+        return joined.select(*[x for x in rows.columns if x not in names], *whole)
+
+    out = scan(d, "_no", levels)
+    return out.select(*df.columns, *[c(n).alias(name) for n, name in zip(names[1:], offsets)])
