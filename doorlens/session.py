@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "doorlens") -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -16,6 +19,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # no Python stack capture per column
         .getOrCreate()
     )
