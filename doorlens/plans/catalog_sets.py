@@ -105,9 +105,10 @@ _RESIDUAL = """WITH pr AS MATERIALIZED (SELECT image_id, box_id, det_id, iou FRO
   gt AS (SELECT g.image_id, g.box_id AS item_id, COALESCE(b.iou, 0) AS iou FROM {gt_boxes} g LEFT JOIN best b ON b.image_id = g.image_id AND b.box_id = g.box_id),
   hit AS (SELECT DISTINCT image_id, det_id FROM pr WHERE iou >= 0.5::DOUBLE),
   fp AS (SELECT d.image_id, d.det_id AS item_id FROM {detections} d LEFT JOIN hit h ON h.image_id = d.image_id AND h.det_id = d.det_id WHERE conf >= 0.4::DOUBLE AND h.det_id IS NULL),
-  items AS (SELECT image_id, item_id, CASE WHEN iou < 0.5::DOUBLE THEN 'miss_recovery' ELSE 'box_refinement' END AS b FROM gt WHERE iou < 0.7::DOUBLE UNION ALL SELECT *, 'background_suppression' FROM fp),
+  items AS MATERIALIZED (SELECT image_id, item_id, CASE WHEN iou < 0.5::DOUBLE THEN 'miss_recovery' ELSE 'box_refinement' END AS b FROM gt WHERE iou < 0.7::DOUBLE UNION ALL SELECT image_id, item_id, 'background_suppression' AS b FROM fp),
   mixed AS (SELECT image_id FROM {gt_boxes} GROUP BY 1 HAVING bool_or(cls_id = 0) AND bool_or(cls_id = 1)),
-  res AS (SELECT image_id, item_id, CASE WHEN b <> 'box_refinement' AND image_id IN (SELECT image_id FROM mixed) THEN 'mixed_state_review' ELSE b END AS bucket FROM items)
+  res AS (SELECT i.image_id, i.item_id, CASE WHEN i.b <> 'box_refinement' AND m.image_id IS NOT NULL THEN 'mixed_state_review' ELSE i.b END AS bucket
+    FROM items i LEFT JOIN mixed m ON m.image_id = i.image_id)
 """
 
 
@@ -116,7 +117,7 @@ def _(t):
     return match.residual_buckets(match.residual_items(t.gt_boxes, t.detections))
 
 
-@query("residual_items", _RESIDUAL + "SELECT * FROM res")
+@query("residual_items", _RESIDUAL + "SELECT image_id, item_id, bucket FROM res")
 def _(t):
     return match.residual_items(t.gt_boxes, t.detections)
 

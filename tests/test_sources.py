@@ -248,3 +248,19 @@ def test_augmented_boxes_stay_in_frame(spark):
     assert bad.count() == 0 and d.count() > 0
     flipped = d.filter("profile = 'mixed_boundary'").groupBy("image_id", "copy_no").count()
     assert flipped.count() > 0
+
+
+def test_deployment_switches_as_a_whole(spark, tmp_path):
+    path = str(tmp_path / "dataset")
+    rows = lambda n, v: spark.range(n).select(F.col("id").alias("image_id"), F.lit("train").alias("split"), F.lit(v).alias("version"))
+    with pytest.raises(ValueError):
+        sinks.read_dataset(spark, path)
+    first = sinks.deploy_dataset(rows(50, "v1"), path)
+    assert sinks.read_dataset(spark, path).count() == 50
+    broken = rows(50, "v2").withColumn("image_id", F.when(F.col("image_id") == 33, F.raise_error(F.lit("disk full")).cast("bigint")).otherwise(F.col("image_id")))
+    with pytest.raises(Exception, match="disk full"):
+        sinks.deploy_dataset(broken, path)
+    assert {r.version for r in sinks.read_dataset(spark, path).collect()} == {"v1"}  # the old state is still there
+    sinks.deploy_dataset(rows(70, "v2"), path)
+    assert sinks.read_dataset(spark, path).count() == 70 and sinks.read_dataset(spark, path, first).count() == 50
+    assert [(r.number, r.rows) for r in sinks.deployments(spark, path).orderBy("number").collect()] == [(1, 50), (2, 70)]

@@ -7,7 +7,7 @@ from doorlens.operators import stateful as S
 from doorlens.operators.repair import gate_detections
 from doorlens.plans.fixtures import Tables
 from doorlens.sources.readers import read_detections_stream
-from doorlens.sources.sinks import write_events
+from doorlens.sources.sinks import EventSink, OncePerBatch, write_batches, write_events
 from doorlens.streaming import stateful as X
 
 SMALL = "/root/testdata/sf0.001"
@@ -209,7 +209,38 @@ def test_file_source_and_event_sink(spark, t, tmp_path):
 def test_writer_plugin(spark, t, tmp_path):
     t.frame_obs.select("camera_id", "frame_seq").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("camera_id bigint, frame_seq bigint").parquet(str(tmp_path / "in"))
-    q = X.write_batches(stream, lambda df, i: df.write.mode("append").parquet(str(tmp_path / "out")), str(tmp_path / "cp"))
+    q = write_batches(stream, lambda df, i: df.write.mode("append").parquet(str(tmp_path / "out")), str(tmp_path / "cp"), str(tmp_path / "log"))
     q.processAllAvailable()
     q.stop()
     assert spark.read.parquet(str(tmp_path / "out")).count() == t.frame_obs.count()
+
+
+def test_a_repeated_batch_is_written_once(spark, tmp_path):
+    sink, schema = EventSink(str(tmp_path / "events")), "camera_id bigint, event string"
+    rows = spark.createDataFrame([(1, "OPEN"), (2, "ALARM")], schema)
+    once = sink.once()
+    once(rows, 0)
+    once(rows, 0)  # Spark hands the batch over again
+    assert sink.read(spark, schema).count() == 2
+    # a writer that died half-way: its folder is there, its id is not in the log
+    rows.limit(1).write.json(f"{sink.path}/data/app=default/batch=1")
+    assert sink.read(spark, schema).count() == 2
+    once(rows, 1)
+    assert sink.read(spark, schema).count() == 4
+    EventSink(sink.path, "other").once()(rows, 0)  # another stream counts its batches for itself
+    assert sink.read(spark, schema).groupBy("app").count().count() == 2
+    calls = []
+    plugin = OncePerBatch(lambda df, batch: calls.append(batch), str(tmp_path / "log"))
+    for batch in (0, 1, 1, 0, 2):
+        plugin(rows, batch)
+    assert calls == [0, 1, 2]
+
+
+def test_a_replayed_stream_adds_nothing(spark, tmp_path):
+    src, sink, schema = str(tmp_path / "in"), EventSink(str(tmp_path / "events")), "camera_id bigint, event string"
+    spark.createDataFrame([(i, "OPEN") for i in range(20)], schema).write.json(src)
+    for checkpoint in ("a", "b"):  # the second start has lost its checkpoint and reads the first batch again
+        q = sink.start(spark.readStream.schema(schema).json(src), str(tmp_path / checkpoint))
+        q.processAllAvailable()
+        q.stop()
+    assert sink.read(spark, schema).count() == 20
