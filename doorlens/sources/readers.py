@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from doorlens.functions.geometry import c
 from doorlens.functions.text import stem
+from doorlens.sources.files import list_files, picture_sizes
 
 IMAGE_EXTS = ("jpg", "jpeg", "png", "bmp", "tif", "tiff", "webp")
 VIDEO_EXTS = ("mp4", "avi", "mkv")
@@ -45,11 +46,11 @@ def list_media(spark: SparkSession, paths: str | list[str], exts: Sequence[str]
 def scan_images(spark: SparkSession, paths: str | list[str], listing: DataFrame | None = None) -> DataFrame:
     """Images with the label file of the same stem in the sibling ``labels`` folder, if there is one.
 
-    ``label_state`` is absent, empty or filled. Spark's file sources pass over zero-byte files, so only a ``listing``
-    (path, length: an inventory table of the store) shows empty label files; without one they count as absent.
+    ``label_state`` is absent, empty or filled. ``listing`` (path, length: an inventory table of the store) takes the
+    place of listing the folders.
     """
     if listing is None:
-        listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+        listing = list_files(spark, paths)
     files = listing.select("path", "length")
     folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
     images = files.filter(_has_ext(c("path"), IMAGE_EXTS)).select(
@@ -118,9 +119,12 @@ def read_manifest(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def image_dims(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Width and height per image file; pixels are dropped by column pruning."""
-    d = spark.read.format("image").option("dropInvalid", "true").load(paths)
-    return d.select(c("image.origin").alias("path"), c("image.width").alias("width"), c("image.height").alias("height"))
+    """path, width, height and reason per image file, from the head of the file: pixels are never decoded.
+
+    A broken file is a row with a reason and without a size.
+    """
+    files = list_files(spark, paths).filter(_has_ext(c("path"), IMAGE_EXTS))
+    return picture_sizes(files.hint("rebalance"))
 
 
 def read_detections_stream(spark: SparkSession, path: str, schema: str = DETECTION_SCHEMA, fmt: str = "json", max_files: int | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ from doorlens.config import LIVE_THRESHOLDS
 from doorlens.functions import geometry as G
 from doorlens.functions.udf import luma_stats, score
 from doorlens.operators import audit, governance, joins, match, mining, repair, split
-from doorlens.sources import readers, sinks
+from doorlens.sources import files, readers, sinks
 
 BOX = "image_id bigint, box_id bigint, cls_id int, cx double, cy double, w double, h double"
 DET = "image_id bigint, det_id bigint, cls_id int, conf double, cx double, cy double, w double, h double"
@@ -31,7 +31,8 @@ def folder(tmp_path):
 def test_scan_and_media(spark, folder):
     got = {r.file_name: r for r in readers.scan_images(spark, str(folder)).collect()}
     assert set(got) == {"a.jpg", "b.PNG", "c.jpg"}
-    assert got["a.jpg"].label_path.endswith("a.txt") and got["b.PNG"].label_path is None and got["c.jpg"].label_path is None
+    assert got["a.jpg"].label_path.endswith("a.txt") and got["b.PNG"].label_path.endswith("b.txt") and got["c.jpg"].label_path is None
+    assert {n: r.label_state for n, r in got.items()} == {"a.jpg": "filled", "b.PNG": "empty", "c.jpg": "absent"}
     plan = readers.list_media(spark, str(folder))._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema" in plan and "content" not in plan.split("ReadSchema")[1]
     assert [r.file_name for r in readers.list_media(spark, str(folder)).collect()] == ["a.jpg", "b.PNG", "c.jpg"]
@@ -264,3 +265,43 @@ def test_deployment_switches_as_a_whole(spark, tmp_path):
     sinks.deploy_dataset(rows(70, "v2"), path)
     assert sinks.read_dataset(spark, path).count() == 70 and sinks.read_dataset(spark, path, first).count() == 50
     assert [(r.number, r.rows) for r in sinks.deployments(spark, path).orderBy("number").collect()] == [(1, 50), (2, 70)]
+
+
+def test_listing_holds_every_file_once(spark, tmp_path):
+    want = {}
+    for i in range(30):
+        folder = tmp_path / f"f{i % 7}" / f"g{i % 3}"
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"x{i}.txt").write_bytes(b"a" * (i % 4))
+        want[f"x{i}.txt"] = i % 4
+    (tmp_path / "top.txt").write_bytes(b"")
+    want["top.txt"] = 0
+    for partitions in (1, 5, 64, 1000):
+        got = files.list_files(spark, str(tmp_path), partitions).collect()
+        assert {r.path.rsplit("/", 1)[1]: r.length for r in got} == want and len(got) == len(want)
+    assert got[0].path.startswith("file:/")
+    many = files.list_files(spark, [str(tmp_path / "f1"), str(tmp_path / "f2")])
+    assert many.count() == sum(1 for i in range(30) if i % 7 in (1, 2))
+
+
+def test_sizes_come_from_the_heads_of_files(spark, tmp_path):
+    import struct
+
+    jpeg = b"\xff\xd8\xff\xe0" + struct.pack(">H", 60_002) + b"x" * 60_000 + b"\xff\xff\xc2" + struct.pack(">HBHHB", 11, 8, 480, 640, 3)
+    data = {
+        "a.jpg": (jpeg, 640, 480, None),
+        "b.png": (b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sII", 13, b"IHDR", 31, 17), 31, 17, None),
+        "c.bmp": (b"BM" + b"\0" * 16 + struct.pack("<ii", 12, -9) + b"\0" * 8, 12, 9, None),
+        "d.webp": (b"RIFF\0\0\0\0WEBPVP8X" + b"\0" * 8 + (99).to_bytes(3, "little") + (49).to_bytes(3, "little"), 100, 50, None),
+        "e.tif": (b"MM\0*" + struct.pack(">IH", 8, 2) + struct.pack(">HHIHH", 256, 3, 1, 70, 0) + struct.pack(">HHII", 257, 4, 1, 80), 70, 80, None),
+        "f.webp": (b"RIFF\0\0\0\0WEBPVP8L\0\0\0\0\x2f" + (299 | 199 << 14).to_bytes(4, "little") + b"\0" * 8, 300, 200, None),
+        "g.jpg": (b"", None, None, "empty file"),
+        "h.jpg": (b"not a picture", None, None, "unknown format"),
+        "i.jpg": (jpeg[:100], None, None, "the file ends early"),
+        "j.jpg": (b"\xff\xd8\xff\xda\0\0", None, None, "JPEG without a frame header"),
+        "k.png": (b"\x89PNG\r\n\x1a\n", None, None, "PNG without a header chunk"),
+    }
+    for name, (raw, *_) in data.items():
+        (tmp_path / name).write_bytes(raw)
+    got = {r.path.rsplit("/", 1)[1]: (r.width, r.height, r.reason) for r in readers.image_dims(spark, str(tmp_path)).collect()}
+    assert got == {name: tuple(want) for name, (_, *want) in data.items()}
