@@ -77,12 +77,17 @@ def within(queries: DataFrame, prints: DataFrame, radius: int = 3, blocks: int =
     return q.join(p, near).select("query", "fingerprint")
 
 
-def neighbours(ids: DataFrame) -> DataFrame:
-    """doc_id, n, next_id, prev_id, prev_n of distinct ids (doc_id, n), in a circle by ascending id.
+def in_blocks(ids: DataFrame, rows: int) -> DataFrame:
+    """Stored ``ids`` with ``_b``: ranges of ascending ids that hold about ``ID_BLOCK`` of ``rows`` rows, however sparse."""
+    ranges = ids.repartitionByRange(max(1, -(-rows // ID_BLOCK)), "doc_id")
+    return stored(ranges.withColumn("_b", F.spark_partition_id()), "ids")
+
+
+def neighbours(blocked: DataFrame) -> DataFrame:
+    """Adds next_id, prev_id and prev_n to distinct ids (doc_id, n, _b), in a circle by ascending id.
 
     Windows hold one block of ids each; a table with one row per block carries over from block to block.
     """
-    blocked = ids.withColumn("_b", F.floor(F.col("doc_id") / ID_BLOCK))
     ends = blocked.groupBy("_b").agg(F.min("doc_id").alias("_lo"), F.max(F.struct("doc_id", "n")).alias("_hi"))
     order = Window.partitionBy(F.lit(0)).orderBy("_b")
     everything = Window.partitionBy(F.lit(0))
@@ -93,10 +98,9 @@ def neighbours(ids: DataFrame) -> DataFrame:
     )
     inside = Window.partitionBy("_b").orderBy("doc_id")
     before = F.coalesce(F.lag(F.struct("doc_id", "n")).over(inside), F.col("_before"))
-    linked = blocked.join(ends, "_b").select(
-        "doc_id", "n", F.coalesce(F.lead("doc_id").over(inside), F.col("_after")).alias("next_id"), before.alias("_p")
-    )
-    return linked.select("doc_id", "n", "next_id", F.col("_p.doc_id").alias("prev_id"), F.col("_p.n").alias("prev_n"))
+    kept = [c for c in blocked.columns if c != "_b"]
+    linked = blocked.join(ends, "_b").select(*kept, F.coalesce(F.lead("doc_id").over(inside), F.col("_after")).alias("next_id"), before.alias("_p"))
+    return linked.select(*kept, "next_id", F.col("_p.doc_id").alias("prev_id"), F.col("_p.n").alias("prev_n"))
 
 
 def compare_edits(docs: DataFrame, radius: int = 3, blocks: int = 6, every: int = 20) -> DataFrame:
@@ -111,7 +115,7 @@ def compare_edits(docs: DataFrame, radius: int = 3, blocks: int = 6, every: int
     base = docs.filter("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), text)
     lengths = base.select("doc_id", F.struct(F.md5("text").alias("k"), F.char_length("text").cast("bigint").alias("n")).alias("s"))
     ids = lengths.groupBy("doc_id").agg(F.min("s").alias("s")).select("doc_id", F.col("s.n").alias("n"), F.col("s.k").alias("text_key"))
-    ring = stored(neighbours(ids.select("doc_id", "n")).join(ids.select("doc_id", "text_key"), "doc_id"), "ring")
+    ring = stored(neighbours(in_blocks(ids, docs.count())), "ring")
     # A repeated id may hold longer texts than its first: the starts are cut to the longest quarter of the id's rows.
     longest = lengths.groupBy("doc_id").agg(F.max("s.n").alias("longest"))
     need = ring.select("doc_id", "prev_id", "text_key").join(longest.withColumnRenamed("doc_id", "prev_id"), "prev_id")

@@ -67,3 +67,19 @@ def test_block_tables_find_every_pair(spark, radius, blocks):
     got = [(r[0], r[1]) for r in simhash.within(d, d, radius, blocks).collect()]
     want = {(a, b) for a in signed for b in signed if bin((a ^ b) & (2**64 - 1)).count("1") <= radius}
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_sparse_ids_are_few_blocks(spark, monkeypatch):
+    """Blocks follow the number of rows, not the range of the ids; the circle is the same."""
+    import random
+
+    monkeypatch.setattr(simhash, "ID_BLOCK", 100)
+    rng = random.Random(5)
+    ids = sorted({rng.randrange(-(2**62), 2**62) for _ in range(1000)}, key=lambda _: rng.random())
+    blocked = simhash.in_blocks(spark.createDataFrame([(i, i % 7) for i in ids], "doc_id bigint, n bigint"), len(ids))
+    assert blocked.select("_b").distinct().count() <= 10
+    got = {r.doc_id: (r.next_id, r.prev_id, r.prev_n) for r in simhash.neighbours(blocked).collect()}
+    order = sorted(ids)
+    assert got == {x: (order[(k + 1) % 1000], order[k - 1], order[k - 1] % 7) for k, x in enumerate(order)}
+    one = simhash.neighbours(simhash.in_blocks(spark.createDataFrame([(5, 3)], "doc_id bigint, n bigint"), 1)).first()
+    assert (one.next_id, one.prev_id, one.prev_n) == (5, 5, 3)
