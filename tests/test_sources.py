@@ -10,7 +10,7 @@ from doorlens.config import LIVE_THRESHOLDS
 from doorlens.functions import geometry as G
 from doorlens.functions.udf import luma_stats, score
 from doorlens.operators import audit, governance, joins, match, mining, repair, split
-from doorlens.sources import files, readers, sinks
+from doorlens.sources import files, packs, readers, sinks
 
 BOX = "image_id bigint, box_id bigint, cls_id int, cx double, cy double, w double, h double"
 DET = "image_id bigint, det_id bigint, cls_id int, conf double, cx double, cy double, w double, h double"
@@ -305,3 +305,31 @@ def test_sizes_come_from_the_heads_of_files(spark, tmp_path):
         (tmp_path / name).write_bytes(raw)
     got = {r.path.rsplit("/", 1)[1]: (r.width, r.height, r.reason) for r in readers.image_dims(spark, str(tmp_path)).collect()}
     assert got == {name: tuple(want) for name, (_, *want) in data.items()}
+
+
+def test_label_pack(spark, tmp_path):
+    path = str(tmp_path / "pack")
+    images = 100_000
+    lines = spark.range(images).selectExpr("id * 3 AS image_id", "explode(sequence(1, 1 + CAST(id % 3 AS INT))) AS line_no").withColumn(
+        "line", F.concat_ws(" ", F.col("line_no"), F.col("image_id"), F.lit("0.5 0.5"))
+    )
+    lines = lines.unionByName(spark.createDataFrame([(-7, 1, None), (None, 1, "lost")], "image_id bigint, line_no int, line string"))
+    packs.write_label_pack(lines.repartition(5), path)
+    containers = packs.manifest(path)
+    assert len(containers) <= 8 and sum(x[1] for x in containers) == images + 1  # a bounded number of files
+    assert packs.read_label_file(path, 15) == "1 15 0.5 0.5\n2 15 0.5 0.5\n3 15 0.5 0.5\n"
+    assert packs.read_label_file(path, -7) == "" and packs.read_label_file(path, 16) is None
+    back = packs.read_label_pack(spark, path)
+    assert back.count() == images + 1
+    want = lines.filter("line is not null").count()
+    assert back.select(F.sum(F.regexp_count("labels", F.lit("\n")))).first()[0] == want - 1  # but the row without id
+    # a failing write leaves the old state readable and no container behind
+    broken = lines.withColumn("line", F.when(F.col("image_id") == 300, F.raise_error(F.lit("no room"))).otherwise(F.col("line")))
+    with pytest.raises(Exception, match="no room"):
+        packs.write_label_pack(broken, path)
+    assert packs.manifest(path) == containers and packs.read_label_file(path, 0) == "1 0 0.5 0.5\n"
+    packs.write_label_pack(lines.filter("image_id < 3000"), path, container_bytes=2000)  # replaced, in small containers
+    assert len(packs.manifest(path)) > 8 and packs.read_label_pack(spark, path).count() == 1001
+    assert len(list((tmp_path / "pack").glob("*.labels"))) == len(packs.manifest(path))
+    packs.write_label_pack(lines.limit(0), path)
+    assert packs.read_label_pack(spark, path).count() == 0
