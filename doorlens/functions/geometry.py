@@ -139,6 +139,21 @@ def in_polygon(x: Column, y: Column, polygon: Sequence[tuple[float, float]], mod
     return inside
 
 
+def in_region(x: Column, y: Column, polygon: Column, mode: str = "correct") -> Column:
+    """As ``in_polygon`` for a polygon that is data: an array of structs x, y. Null and fewer than three vertices accept
+    everything."""
+    following = F.concat(F.slice(polygon, 2, F.greatest(F.size(polygon) - 1, F.lit(0))), F.slice(polygon, 1, 1))
+
+    def crossed(p: Column, q: Column) -> Column:
+        rise = (q["y"] - p["y"]).cast("double")
+        rise = F.greatest(rise, lit(1e-6)) if mode == "reference" else rise
+        straddles = (p["y"] > y) != (q["y"] > y)  # a level edge is never crossed
+        return straddles & (x < F.try_divide((q["x"] - p["x"]) * (y - p["y"]), rise) + p["x"])
+
+    crossings = F.size(F.filter(F.zip_with(polygon, following, crossed), lambda hit: hit))
+    return F.when(F.coalesce(F.size(polygon), F.lit(0)) < 3, F.lit(True)).otherwise(crossings % 2 == 1)
+
+
 def center_shift(a: Corners, b: Corners, width, height) -> Column:
     dx = ((b.x1 + b.x2) / 2 - (a.x1 + a.x2) / 2) / F.greatest(c(width), F.lit(1))
     dy = ((b.y1 + b.y2) / 2 - (a.y1 + a.y2) / 2) / F.greatest(c(height), F.lit(1))

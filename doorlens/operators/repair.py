@@ -162,6 +162,21 @@ def gate_detections(dets: DataFrame, cfg: FrameGateConfig = FrameGateConfig()) -
     return dets.select("*", ratio.alias("area_ratio"), roi.alias("roi_pass"), (roi & sure).alias("filtered_pass"))
 
 
+def gate_regions(dets: DataFrame, regions: DataFrame, mode: str = "correct") -> DataFrame:
+    """Adds ``roi_pass``: the box's centre lies in one of its camera's regions.
+
+    ``regions``: camera_id and ``polygon``, an array of structs x, y (a rectangle is one of four), any number of rows a
+    camera. A camera without regions accepts everything. The regions of a camera travel as one row, so detections stay
+    single rows, however many regions there are.
+    """
+    per_camera = regions.groupBy(c("camera_id").alias("_camera")).agg(F.collect_list("polygon").alias("_regions"))
+    box = G.corners()
+    mx, my = (box.x1 + box.x2) / 2, (box.y1 + box.y2) / 2
+    d = dets.join(per_camera, dets["camera_id"].eqNullSafe(c("_camera")), "left")
+    inside = F.exists("_regions", lambda polygon: G.in_region(mx, my, polygon, mode))
+    return d.select(*[dets[x] for x in dets.columns], F.coalesce(inside, F.lit(True)).alias("roi_pass"))
+
+
 def reject_reason(cfg: DoorConfig = DoorConfig(), polygon_mode: str = "correct") -> Column:
     """First failed check of an observation, or ``accepted``. The temporal check needs state and is in door_states."""
     box = G.corners()

@@ -100,6 +100,31 @@ def _crossings() -> str:
     return " + ".join(out)
 
 
+@query(
+    "gate_regions",
+    """WITH cam AS (SELECT DISTINCT camera_id AS k FROM {frame_obs} WHERE camera_id % 3 <> 0),
+  e AS (SELECT k, 1 AS r, 100 + 10 * (k % 7) AS px, 80 AS py, 1200 AS qx, 120 AS qy FROM cam UNION ALL SELECT k, 1, 1200, 120, 900 - 20 * (k % 5), 700 FROM cam
+    UNION ALL SELECT k, 1, 900 - 20 * (k % 5), 700, 100 + 10 * (k % 7), 80 FROM cam UNION ALL SELECT k, 2, 0, 400, 300, 400 FROM cam
+    UNION ALL SELECT k, 2, 300, 400, 300, 720 FROM cam UNION ALL SELECT k, 2, 300, 720, 0, 720 FROM cam UNION ALL SELECT k, 2, 0, 720, 0, 400 FROM cam),
+  d AS (SELECT camera_id, frame_seq, det_no, (x1 + x2) / 2 AS mx, (y1 + y2) / 2 AS my FROM {frame_obs}),
+  h AS (SELECT camera_id, frame_seq, det_no, r, COUNT(*) FILTER ((py > my) <> (qy > my) AND mx < (qx - px) * (my - py) / NULLIF(qy - py, 0) + px) % 2 = 1 AS hit
+    FROM d JOIN e ON e.k = d.camera_id GROUP BY ALL),
+  g AS (SELECT camera_id, frame_seq, det_no, bool_or(hit) AS hit FROM h GROUP BY ALL)
+SELECT d.camera_id, d.frame_seq, d.det_no, COALESCE(g.hit, TRUE) AS roi_pass FROM d LEFT JOIN g ON g.camera_id = d.camera_id AND g.frame_seq = d.frame_seq AND g.det_no = d.det_no""",
+)
+def _(t):
+    """Two regions for two of three cameras, a triangle and a rectangle; the third accepts everything."""
+    k = F.col("camera_id")
+
+    def region(*points):
+        return F.array(*[F.struct(F.lit(x).cast("double").alias("x"), F.lit(y).cast("double").alias("y")) for x, y in points])
+
+    triangle = F.array(*[F.struct(x.cast("double").alias("x"), F.lit(y).cast("double").alias("y")) for x, y in ((100 + 10 * (k % 7), 80), (F.lit(1200), 120), (900 - 20 * (k % 5), 700))])
+    cameras = t.frame_obs.filter("camera_id % 3 <> 0").select("camera_id").distinct()
+    both = F.explode(F.array(triangle, region((0, 400), (300, 400), (300, 720), (0, 720)))).alias("polygon")
+    return repair.gate_regions(t.frame_obs, cameras.select("camera_id", both)).select("camera_id", "frame_seq", "det_no", "roi_pass")
+
+
 @query(
     "in_polygon",
     f"SELECT camera_id, frame_seq, (({_crossings()}) % 2 = 1) AS inside FROM (SELECT camera_id, frame_seq, {_XY} FROM {{frame_obs}})",

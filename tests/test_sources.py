@@ -333,3 +333,26 @@ def test_label_pack(spark, tmp_path):
     assert len(list((tmp_path / "pack").glob("*.labels"))) == len(packs.manifest(path))
     packs.write_label_pack(lines.limit(0), path)
     assert packs.read_label_pack(spark, path).count() == 0
+
+
+def test_regions_of_cameras(spark):
+    import random
+
+    rng = random.Random(3)
+    shapes = [[(0, 0), (10, 0), (8, 10), (2, 10)], [(20, 20), (30, 20), (25, 30)], [(0, 0), (5, 5)], []]
+    shapes = [[(float(x), float(y)) for x, y in s] for s in shapes]
+    points = [(rng.uniform(-2, 32), rng.uniform(-2, 32)) for _ in range(200)] + [(5.0, 5.0), (25.0, 22.0)]
+    polygon = "array<struct<x:double,y:double>>"
+    d = spark.createDataFrame([(x, y, s) for x, y in points for s in shapes + [None]], f"x double, y double, p {polygon}")
+    for mode in ("correct", "reference"):
+        got = d.select("x", "y", "p", G.in_region(F.col("x"), F.col("y"), F.col("p"), mode).alias("hit")).collect()
+        for shape in shapes:
+            fixed = spark.createDataFrame(points, "x double, y double").select("x", "y", G.in_polygon(F.col("x"), F.col("y"), shape, mode).alias("hit"))
+            want = {(r.x, r.y): r.hit for r in fixed.collect()}
+            assert all(r.hit == want[r.x, r.y] for r in got if r.p is not None and [(v.x, v.y) for v in r.p] == shape)
+        assert all(r.hit for r in got if r.p is None)
+    dets = spark.createDataFrame([(1, 4, 4, 6, 6), (1, 24, 21, 26, 23), (1, 90, 90, 92, 92), (2, 90, 90, 92, 92), (None, 1, 1, 2, 2)], "camera_id bigint, x1 int, y1 int, x2 int, y2 int")
+    regions = spark.createDataFrame([(1, shapes[0]), (1, shapes[1])], f"camera_id bigint, polygon {polygon}")
+    got = repair.gate_regions(dets, regions)
+    assert got.columns == [*dets.columns, "roi_pass"] and got.count() == 5
+    assert {(r.camera_id, r.x1): r.roi_pass for r in got.collect()} == {(1, 4): True, (1, 24): True, (1, 90): False, (2, 90): True, (None, 1): True}
