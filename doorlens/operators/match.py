@@ -7,7 +7,7 @@ image. Everything after the pairs is an aggregation that combines before it shuf
 
 from __future__ import annotations
 
-from typing import Sequence
+from typing import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,27 +36,55 @@ def _cell(v: Column) -> Column:
 
 
 def _celled(boxes: DataFrame, crowded: DataFrame, prefix: str) -> DataFrame:
-    d = boxes.join(crowded, "image_id", "left").withColumn("_g", F.coalesce(c("_g"), F.lit(1)))
     x1, y1, x2, y2 = (f"{prefix}{n}" for n in ("x1", "y1", "x2", "y2"))
-    d = d.withColumn("_gx", F.explode(F.sequence(_cell(c(x1)), _cell(F.greatest(x1, x2)))))
+    d = boxes.join(crowded, "image_id").withColumn("_gx", F.explode(F.sequence(_cell(c(x1)), _cell(F.greatest(x1, x2)))))
     return d.withColumn("_gy", F.explode(F.sequence(_cell(c(y1)), _cell(F.greatest(y1, y2)))))
 
 
-def overlaps(gt: DataFrame, pred: DataFrame) -> DataFrame:
-    """Pairs with IoU > 0: image_id, box_id, gt_cls, det_id, pred_cls, conf, iou. Each pair appears once."""
+Work = Callable[[DataFrame, DataFrame, Callable[[DataFrame, DataFrame], DataFrame]], DataFrame]
+
+
+def per_image(gt: DataFrame, pred: DataFrame, work: Work) -> DataFrame:
+    """Union of ``work(gt, pred, pairs)`` over the ordinary images and over the crowded ones.
+
+    ``work`` may only group and join by the image and further columns; ``pairs`` finds the overlapping boxes of two
+    tables. Ordinary images leave one shuffle by ``image_id`` and stay where it put them, whatever ``work`` groups by
+    next; tables in ``spark.sql.shuffle.partitions`` buckets by ``image_id`` need not even that. Joins by more columns stay,
+    too, if the session sets ``spark.sql.requireAllClusterKeysForCoPartition`` to false, else they move a few columns
+    once more. Crowded images, which may hold any share of the rows, meet by grid cell and are spread by each later key.
+    Boxes without an image are among the ordinary ones and meet nothing.
+    """
+    crowded = _crowded(gt, pred)
+
+    def of(df: DataFrame, how: str) -> DataFrame:
+        return df.join(crowded.select("image_id"), "image_id", how)
+
+    here = [of(df, "left_anti").repartition("image_id") for df in (gt, pred)]  # no shuffle for tables in as many buckets
+    ordinary = work(*here, lambda g, p: _pairs(g, p, None))
+    return ordinary.unionByName(work(of(gt, "left_semi"), of(pred, "left_semi"), lambda g, p: _pairs(g, p, crowded)))
+
+
+def _pairs(gt: DataFrame, pred: DataFrame, crowded: DataFrame | None) -> DataFrame:
     g = G.to_xyxy(G.centre())
     a = gt.select("image_id", "box_id", c("cls_id").alias("gt_cls"), *[v.alias(f"g{n}") for n, v in g._asdict().items()])
     b = pred.select(
         "image_id", "det_id", c("cls_id").alias("pred_cls"), "conf", *[v.alias(f"p{n}") for n, v in g._asdict().items()]
     )
-    crowded = _crowded(gt, pred)
-    a, b = _celled(a, crowded, "g"), _celled(b, crowded, "p").drop("_g")
     ga, pb = G.corners("gx1", "gy1", "gx2", "gy2"), G.corners("px1", "py1", "px2", "py2")
     touching = (ga.x1 < pb.x2) & (pb.x1 < ga.x2) & (ga.y1 < pb.y2) & (pb.y1 < ga.y2)
-    # a pair is reported only by the cell that holds the corner of its intersection
-    home = (_cell(F.greatest("gx1", "px1")) == c("_gx")) & (_cell(F.greatest("gy1", "py1")) == c("_gy"))
-    pairs = a.join(b, ["image_id", "_gx", "_gy"]).filter(touching & home)
-    return pairs.select("image_id", "box_id", "gt_cls", "det_id", "pred_cls", "conf", G.iou(ga, pb).alias("iou"))
+    if crowded is None:
+        found = a.join(b, "image_id").filter(touching)
+    else:
+        a, b = _celled(a, crowded, "g"), _celled(b, crowded, "p").drop("_g")
+        # a pair is reported only by the cell that holds the corner of its intersection
+        home = (_cell(F.greatest("gx1", "px1")) == c("_gx")) & (_cell(F.greatest("gy1", "py1")) == c("_gy"))
+        found = a.join(b, ["image_id", "_gx", "_gy"]).filter(touching & home)
+    return found.select("image_id", "box_id", "gt_cls", "det_id", "pred_cls", "conf", G.iou(ga, pb).alias("iou"))
+
+
+def overlaps(gt: DataFrame, pred: DataFrame) -> DataFrame:
+    """Pairs with IoU > 0: image_id, box_id, gt_cls, det_id, pred_cls, conf, iou. Each pair appears once."""
+    return per_image(gt, pred, lambda g, p, pairs: pairs(g, p))
 
 
 def match_boxes(gt: DataFrame, pred: DataFrame, iou_min: float = 0.0) -> DataFrame:
@@ -67,8 +95,12 @@ def fn_taxonomy(gt: DataFrame, pred: DataFrame, strict: float = 0.45, loose: flo
     """Status of every open ground-truth box: TP or the kind of miss (Type_A no box … Type_D suppressed)."""
     opens = gt.filter(c("cls_id") == OPEN)
     best = F.struct("iou", (-c("det_id")).alias("first"), "pred_cls", "conf")
-    found = overlaps(opens, pred).groupBy("image_id", "box_id").agg(F.max(best).alias("any"), F.max(F.when(c("pred_cls") == OPEN, best)).alias("opn"))
-    d = opens.select("image_id", "box_id").join(found, ["image_id", "box_id"], "left")  # one row per box, also for equal keys
+
+    def boxes_with_best(g: DataFrame, p: DataFrame, pairs: Callable) -> DataFrame:
+        found = pairs(g, p).groupBy("image_id", "box_id").agg(F.max(best).alias("any"), F.max(F.when(c("pred_cls") == OPEN, best)).alias("opn"))
+        return g.select("image_id", "box_id").join(found, ["image_id", "box_id"], "left")  # one row per box, also for equal keys
+
+    d = per_image(opens, pred, boxes_with_best)
     zero = lit(0)
     o_iou, o_conf = F.coalesce(c("opn.iou"), zero), F.coalesce(c("opn.conf"), zero)
     a_iou = F.coalesce(c("any.iou"), zero)
@@ -152,7 +184,7 @@ def claims(pairs: DataFrame, iou_min: float) -> DataFrame:
 def confusion(gt: DataFrame, pred: DataFrame, conf: float = 0.25, iou: float = 0.45) -> DataFrame:
     """Counts per (true class, predicted class); -1 is background on either side."""
     kept = pred.filter(c("conf") >= lit(conf))
-    won = settle(claims(overlaps(gt, kept), iou))  # read three times below
+    won = settle(per_image(gt, kept, lambda g, p, pairs: claims(pairs(g, p), iou)))  # read three times below
     n = F.count(F.lit(1))
     hit = won.groupBy("gt_cls", "pred_cls").agg(n.alias("n"))
     # background = all boxes or predictions of a class minus those that were matched
@@ -166,23 +198,19 @@ def confusion(gt: DataFrame, pred: DataFrame, conf: float = 0.25, iou: float = 0
     return cells.groupBy("gt_cls", "pred_cls").agg(F.sum("n").alias("n")).filter(c("n") > 0)
 
 
-def _flagged_predictions(pairs: DataFrame, pred: DataFrame, ious: Sequence[float]) -> DataFrame:
+def _flagged(pairs: DataFrame, pred: DataFrame, ious: Sequence[float]) -> DataFrame:
     """Predictions with bit i of ``mask`` set where they are a true positive at the i-th IoU threshold."""
     pairs = pairs.filter(c("gt_cls") == c("pred_cls"))
     best = F.max(F.struct("iou", (-c("box_id")).alias("nb"), "conf")).alias("m")
     taken = pairs.groupBy("image_id", "det_id").agg(best).filter(c("m.iou") >= lit(min(ious)))
-    taken = taken.select("image_id", "det_id", (-c("m.nb")).alias("box_id"), "m.conf", "m.iou")
-    claimant = F.struct("conf", (-c("det_id")).alias("nd"))
-    won = taken.groupBy("image_id", "box_id").agg(
-        *[F.max(F.when(c("iou") >= lit(t), claimant)).alias(f"w{i}") for i, t in enumerate(ious)]
-    )
-    # a prediction claims one box only, so all its bits are in that box's row
-    winners = F.array_distinct(F.array_compact(F.array(*[-c(f"w{i}.nd") for i in range(len(ious))])))
-    won = won.select("image_id", *[f"w{i}" for i in range(len(ious))], F.explode(winners).alias("det_id"))
-    bits = [F.when(-c(f"w{i}.nd") == c("det_id"), F.lit(1 << i)).otherwise(F.lit(0)) for i in range(len(ious))]
-    mask = won.select("image_id", "det_id", sum(bits[1:], bits[0]).alias("mask"))
-    d = pred.select("image_id", "det_id", "cls_id", "conf").join(mask, ["image_id", "det_id"], "left")
-    return settle(d.withColumn("mask", F.coalesce(c("mask"), F.lit(0))))
+    taken = taken.select("image_id", "det_id", c("m.nb").alias("nb"), c("m.conf").alias("conf"), c("m.iou").alias("iou"))
+    # the most confident claimant with enough overlap wins: at thresholds above what all claimants before it reach
+    stronger = Window.partitionBy("image_id", "nb").orderBy(F.desc("conf"), "det_id").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.max("iou").over(stronger), lit(-1))
+    bits = [F.when((c("iou") >= lit(t)) & (c("before") < lit(t)), F.lit(1 << i)).otherwise(F.lit(0)) for i, t in enumerate(ious)]
+    won = taken.withColumn("before", before).select("image_id", "det_id", sum(bits[1:], bits[0]).alias("mask"))
+    d = pred.select("image_id", "det_id", "cls_id", "conf").join(won, ["image_id", "det_id"], "left")
+    return d.withColumn("mask", F.coalesce(c("mask"), F.lit(0)))
 
 
 def _ranked_predictions(flagged: DataFrame, ious: Sequence[float]) -> DataFrame:
@@ -217,7 +245,7 @@ def _average_precision(points: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def detection_metrics(gt: DataFrame, pred: DataFrame, ious: Sequence[float] = COCO_IOUS) -> DataFrame:
     """Per class: counts, precision, recall and AP at the first threshold, AP averaged over all thresholds."""
-    flagged = _flagged_predictions(overlaps(gt, pred), pred, ious)
+    flagged = settle(per_image(gt, pred, lambda g, p, pairs: _flagged(pairs(g, p), p, ious)))
     ranked = _ranked_predictions(flagged, ious)
     totals = gt.groupBy("cls_id").agg(F.count(F.lit(1)).alias("n_gt"))
     per_t = F.array(
@@ -256,7 +284,7 @@ def threshold_sweep(gt: DataFrame, pred: DataFrame, confs: Sequence[float] = SWE
     """
     cuts = sorted(confs)
     pairs = settle(overlaps(gt, pred))
-    ranked = _ranked_predictions(_flagged_predictions(pairs, pred, [iou]), [iou])
+    ranked = _ranked_predictions(settle(_flagged(pairs, pred, [iou])), [iou])
     level = sum((F.when(c("conf") >= lit(t), 1).otherwise(0) for t in cuts), F.lit(0))
     totals = gt.groupBy("cls_id").agg(F.count(F.lit(1)).alias("n_gt"))
     q = F.when(F.getbit(c("mask"), F.lit(0)) == 1, F.expr("100 * tp0 div n_gt"))

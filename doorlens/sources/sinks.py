@@ -25,6 +25,16 @@ DETECTION_LOG = (
 )
 
 
+def write_by_image(boxes: DataFrame, table: str, buckets: int) -> None:
+    """Stores boxes or predictions as a table bucketed by ``image_id``, one file a bucket.
+
+    Tables with as many buckets as ``spark.sql.shuffle.partitions`` meet in ``operators.match`` without a shuffle. An
+    image lies in one bucket, so one that holds much of the table makes a large file.
+    """
+    placed = boxes.repartition(buckets, "image_id")
+    placed.write.mode("overwrite").bucketBy(buckets, "image_id").sortBy("image_id").saveAsTable(table)
+
+
 def write_dataset(df: DataFrame, path: str) -> None:
     """Replaces the dataset: one row per image and box, background images keep a row with null box columns.
 

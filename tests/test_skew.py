@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from doorlens.functions.hashing import draw
 from doorlens.operators import match, ranking, stateful, temporal
+from doorlens.sources import sinks
 
 SPAN = 8
 
@@ -193,3 +194,76 @@ def test_alert_windows_equal_the_stream_rule(spark, monkeypatch):
     s, cfg = stateful.AlertState(), AlertConfig()
     want = [stateful.alert_of_frame(cfg, s, SimpleNamespace(camera_id=1, frame_seq=r[2], intent=r[3], max_area=r[4]))[0] for r in rows]
     assert [(r.state, r.alert) for r in got] == [w[2:4] for w in want] and {r.session for r in got} == {"s"}
+
+
+def box_tables(spark, seed, images):
+    """Ground truth and predictions; image 1 is crowded, confidences and coordinates repeat."""
+    rnd = random.Random(seed)
+    gt, pred = [], []
+    for image in range(1, images + 1):
+        n = 30 if image == 1 else rnd.randint(0, 4)
+        for rows in (gt, pred):
+            for k in range(n):
+                x, y = rnd.randint(2, 8) / 10, rnd.randint(2, 8) / 10
+                rows.append((image, k, rnd.randint(0, 1), x, y, 0.2, 0.2 + rnd.randint(0, 2) / 20, rnd.randint(1, 4) / 4))
+    pred.append((images + 1, 0, 1, 0.5, 0.5, 0.2, 0.2, 0.9))  # an image without ground truth
+    cols = "image_id bigint, {} bigint, cls_id int, cx double, cy double, w double, h double, conf double"
+    return spark.createDataFrame(gt, cols.format("box_id")).drop("conf"), spark.createDataFrame(pred, cols.format("det_id"))
+
+
+def true_positives(gt, pred, pairs, t):
+    """Plain loops: every prediction claims its best box of its class, the most confident claimant wins the box."""
+    claim = {}
+    for p in pairs:
+        if p.gt_cls == p.pred_cls:
+            key = (p.image_id, p.det_id)
+            claim[key] = max(claim.get(key, (-1.0, 0)), (p.iou, -p.box_id))
+    conf = {(r.image_id, r.det_id): r.conf for r in pred.collect()}
+    winner = {}
+    for (image, det), (iou, nb) in claim.items():
+        if iou >= t:
+            winner[image, nb] = max(winner.get((image, nb), (-1.0, 0)), (conf[image, det], -det))
+    return {(image, -nd) for (image, _), (_, nd) in winner.items()}
+
+
+@pytest.mark.parametrize("crowded", [20, 2048])
+def test_true_positive_masks(spark, monkeypatch, crowded):
+    monkeypatch.setattr(match, "CROWDED", crowded)
+    gt, pred = box_tables(spark, 5, 25)
+    ious = [0.3, 0.5, 0.8]
+    rows = match.per_image(gt, pred, lambda g, p, pairs: match._flagged(pairs(g, p), p, ious)).collect()
+    assert len(rows) == pred.count()
+    pairs = match.overlaps(gt, pred).collect()
+    for i, t in enumerate(ious):
+        got = {(r.image_id, r.det_id) for r in rows if r["mask"] >> i & 1}
+        assert got and got == true_positives(gt, pred, pairs, t)
+
+
+def boxes_moved(df):
+    """Shuffles on the way of the ordinary images (the first half of the plan) other than the counting of boxes."""
+    plan = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    halves = [i for i, line in enumerate(plan) if line.startswith("   +- ")]  # the crowded images
+    ordinary = plan[: halves[0]] if halves else plan
+    counting = "HashAggregate(keys=[image_id"
+    return sum("Exchange hashpartitioning(" in x and counting not in ordinary[i + 1] for i, x in enumerate(ordinary))
+
+
+def test_bucketed_boxes_meet_without_shuffle(spark, monkeypatch):
+    """Tables in as many buckets as shuffle partitions: matching and the taxonomy move no box."""
+    gt, pred = box_tables(spark, 6, 40)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    names = [f"boxes_{random.Random().getrandbits(40):x}" for _ in range(2)]
+    want = sorted(match.fn_taxonomy(gt, pred).collect(), key=str)
+    setting = "spark.sql.requireAllClusterKeysForCoPartition"
+    try:
+        spark.conf.set(setting, "false")
+        for df, name in zip((gt, pred), names):
+            sinks.write_by_image(df, name, n)
+        got = match.fn_taxonomy(*[spark.table(name) for name in names])
+        assert sorted(got.collect(), key=str) == want
+        stored, moved = (boxes_moved(match.fn_taxonomy(*x)) for x in ([spark.table(n) for n in names], (gt, pred)))
+        assert stored == 0 and moved == 3, (stored, moved)  # boxes with and without corners, predictions
+    finally:
+        spark.conf.unset(setting)
+        for name in names:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
