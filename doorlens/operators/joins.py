@@ -96,14 +96,15 @@ def exclude_contained(cands: DataFrame, pool: DataFrame) -> DataFrame:
     """Candidates whose name is no substring of any pool name.
 
     Pool names (file names, so at most 255 characters) are expanded to their substrings of the candidates' lengths;
-    the test is then an equality join that spreads over the cluster, never candidate × pool.
+    the test is then an equality join that spreads over the cluster, never candidate × pool. The planner does not see
+    how many substrings a name has and would broadcast them all, so the join is asked to be a sorted one.
     """
     n = F.length("file_name")
     lengths = cands.select(n.alias("l")).distinct().agg(F.collect_set("l").alias("ls"))  # at most 255 numbers
     names = pool.select("file_name").distinct().withColumn("_ls", lengths.scalar())
     d = names.select("file_name", F.explode("_ls").alias("_l")).filter(c("_l") <= n)
     d = d.select(F.explode(F.transform(F.sequence(F.lit(1), n - c("_l") + 1), lambda i: F.substr(c("file_name"), i, c("_l")))).alias("file_name"))
-    return cands.join(d, "file_name", "left_anti")
+    return cands.join(d.distinct().hint("merge"), "file_name", "left_anti")
 
 
 def remove_leakage(val: DataFrame, intake: DataFrame) -> DataFrame:

@@ -267,3 +267,17 @@ def test_bucketed_boxes_meet_without_shuffle(spark, monkeypatch):
         spark.conf.unset(setting)
         for name in names:
             spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def test_substrings_are_not_broadcast(spark):
+    """Every pool name stands for all its substrings, which the planner takes for as few rows as there are names."""
+    from doorlens.operators import joins
+    from doorlens.plans.fixtures import Tables
+
+    pool = spark.createDataFrame([(f"img{i}_{i * 7}.png",) for i in range(50)] + [(None,)], "file_name string")
+    names = ["img3", "mg1", "img3_2", "img3_3", "_343.png", "7.pn", "", "img49_343.png!", None]
+    out = joins.exclude_contained(spark.createDataFrame([(n,) for n in names], "file_name string"), pool)
+    assert {r.file_name for r in out.collect()} == {"img3_3", "img49_343.png!", None}
+    t = Tables(spark, "/root/testdata/sf0.001")
+    plan = joins.exclude_contained(t.raw_images, t.gold_images)._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
