@@ -232,6 +232,23 @@ def test_assertions(spark):
         governance.assert_metrics(spark.createDataFrame([(0.0,)], "map50 double")).collect()
 
 
+def test_assert_metrics_judges_every_run(spark, monkeypatch):
+    """The query leaves no run out, and its rows do pass through the assertion."""
+    from doorlens.plans.catalog import QUERIES
+    from doorlens.plans.fixtures import Tables
+
+    small = "/root/testdata/sf0.001"
+    runs = {r.run_id: r.map50 for r in Tables(spark, small).experiments.collect()}
+    got = QUERIES["assert_metrics"](spark, small).collect()
+    assert {r.run_id: r.map50 for r in got} == runs and len(got) == len(runs)
+    zero = Tables(spark, small).experiments.limit(1).withColumn("map50", F.lit(0.0))
+    monkeypatch.setattr(Tables, "experiments", zero, raising=False)
+    assert [r.ok for r in QUERIES["assert_metrics"](spark, small).collect()] == [False]
+    monkeypatch.setattr(governance, "metric_verdicts", lambda df: df.withColumn("ok", F.lit(True)))
+    with pytest.raises(Exception, match="is zero"):
+        QUERIES["assert_metrics"](spark, small).collect()
+
+
 def test_close_counts_differ_between_audits(spark):
     """A class-7 line counts as close in label_stats and not at all in audit_versions."""
     img = spark.createDataFrame([(1, "v1")], "image_id bigint, version string")
