@@ -56,8 +56,10 @@ def per_image(gt: DataFrame, pred: DataFrame, work: Work) -> DataFrame:
     """
     crowded = _crowded(gt, pred)
 
+    few = F.broadcast(crowded.select("image_id"))  # at most one row per ``CROWDED`` rows
+
     def of(df: DataFrame, how: str) -> DataFrame:
-        return df.join(crowded.select("image_id"), "image_id", how)
+        return df.join(few, "image_id", how)
 
     here = [of(df, "left_anti").repartition("image_id") for df in (gt, pred)]  # no shuffle for tables in as many buckets
     ordinary = work(*here, lambda g, p: _pairs(g, p, None))
@@ -87,6 +89,11 @@ def overlaps(gt: DataFrame, pred: DataFrame) -> DataFrame:
     return per_image(gt, pred, lambda g, p, pairs: pairs(g, p))
 
 
+def same_class() -> Column:
+    """Whether the boxes of a pair have one class. Not an equality of columns: the join would deal by it once more."""
+    return c("gt_cls").cast("bigint") - c("pred_cls") == 0
+
+
 def match_boxes(gt: DataFrame, pred: DataFrame, iou_min: float = 0.0) -> DataFrame:
     return overlaps(gt, pred).filter(c("iou") >= lit(iou_min))
 
@@ -158,7 +165,7 @@ def class_fn_report(
     gt: DataFrame, pred: DataFrame, conf: float = 0.4, iou: float = 0.5, small_area: float = 0.02
 ) -> DataFrame:
     hits = overlaps(gt, pred.filter(c("conf") >= lit(conf))).filter(
-        (c("gt_cls") == c("pred_cls")) & (c("iou") >= lit(iou))
+        same_class() & (c("iou") >= lit(iou))
     )
     small = (c("w") * c("h")) < lit(small_area)
     d = _gt_flags(gt.select("image_id", "box_id", "cls_id", small.alias("small")), hits)
@@ -200,7 +207,7 @@ def confusion(gt: DataFrame, pred: DataFrame, conf: float = 0.25, iou: float = 0
 
 def _flagged(pairs: DataFrame, pred: DataFrame, ious: Sequence[float]) -> DataFrame:
     """Predictions with bit i of ``mask`` set where they are a true positive at the i-th IoU threshold."""
-    pairs = pairs.filter(c("gt_cls") == c("pred_cls"))
+    pairs = pairs.filter(same_class())
     best = F.max(F.struct("iou", (-c("box_id")).alias("nb"), "conf")).alias("m")
     taken = pairs.groupBy("image_id", "det_id").agg(best).filter(c("m.iou") >= lit(min(ious)))
     taken = taken.select("image_id", "det_id", c("m.nb").alias("nb"), c("m.conf").alias("conf"), c("m.iou").alias("iou"))
@@ -215,14 +222,13 @@ def _flagged(pairs: DataFrame, pred: DataFrame, ious: Sequence[float]) -> DataFr
 
 def _ranked_predictions(flagged: DataFrame, ious: Sequence[float]) -> DataFrame:
     """Adds the rank in the class by confidence and cumulative true positives per IoU threshold."""
-    d = once(flagged, _h=draw("ap", "image_id", "det_id"))
+    d = once(flagged, _h=F.unhex(draw("ap", "image_id", "det_id")))  # half as long as its digits, in the same order
     sums = {"rank": F.lit(1).cast("bigint")}
     for i in range(len(ious)):
         sums[f"tp{i}"] = F.getbit(c("mask"), F.lit(i)).cast("bigint")
     # ranges of 1e-3; a repeated round value (1.0, 0.95 …) is split further by hash, in the same order
-    d = d.withColumn("_near", F.round("conf", 3))
-    near = c("_near")
-    part = F.when(c("conf") > near, "0").when(c("conf") == near, F.concat(F.lit("1"), F.substring("_h", 1, 1))).otherwise("2")
+    near = F.round("conf", 3)
+    part = F.when(c("conf") > near, "0").when(c("conf") == near, F.concat(F.lit("1"), F.substring(F.hex("_h"), 1, 1))).otherwise("2")
     return two_level_prefix(
         d,
         ["cls_id"],
@@ -283,8 +289,17 @@ def threshold_sweep(gt: DataFrame, pred: DataFrame, confs: Sequence[float] = SWE
     one ranking gives all cut-offs: rows are counted by the highest cut-off they pass and summed from the top.
     """
     cuts = sorted(confs)
-    pairs = settle(overlaps(gt, pred))
-    ranked = _ranked_predictions(settle(_flagged(pairs, pred, [iou])), [iou])
+
+    def judged(g: DataFrame, p: DataFrame, pairs: Callable) -> DataFrame:
+        """The flagged predictions and, as rows of their own, the open ones that won a close box."""
+        found = pairs(g, p)
+        cols = ["cls_id", "image_id", "det_id", "conf"]
+        wrong = claims(found, iou).filter((c("gt_cls") == CLOSE) & (c("pred_cls") == OPEN)).withColumn("cls_id", c("pred_cls"))
+        flagged = _flagged(found, p, [iou]).select(*cols, "mask", F.lit(False).alias("wrong"))
+        return flagged.unionByName(wrong.select(*cols, F.lit(0).alias("mask"), F.lit(True).alias("wrong")))
+
+    rows = settle(per_image(gt, pred, judged))
+    ranked = _ranked_predictions(rows.filter(~c("wrong")).drop("wrong"), [iou])
     level = sum((F.when(c("conf") >= lit(t), 1).otherwise(0) for t in cuts), F.lit(0))
     totals = gt.groupBy("cls_id").agg(F.count(F.lit(1)).alias("n_gt"))
     q = F.when(F.getbit(c("mask"), F.lit(0)) == 1, F.expr("100 * tp0 div n_gt"))
@@ -318,9 +333,9 @@ def threshold_sweep(gt: DataFrame, pred: DataFrame, confs: Sequence[float] = SWE
         F.avg("r").alias("mr"),
         F.avg("ap").alias("map50"),
     )
-    won = claims(pairs, iou).filter((c("gt_cls") == CLOSE) & (c("pred_cls") == OPEN))
     wrong = (
-        won.withColumn("level", level)
+        rows.filter("wrong")
+        .withColumn("level", level)
         .filter(c("level") >= 1)
         .groupBy("level")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -354,7 +369,7 @@ def residual_items(
     Misses and background hits on an image that truly holds both classes go to review instead.
     """
     kept = pred.filter(c("conf") >= lit(conf))
-    pairs = settle(overlaps(gt, kept).filter(c("gt_cls") == c("pred_cls")))
+    pairs = settle(overlaps(gt, kept).filter(same_class()))
     best = pairs.groupBy("image_id", "box_id").agg(F.max("iou").alias("iou"))
     boxes = gt.select("image_id", "box_id").join(best, ["image_id", "box_id"], "left").withColumn("iou", F.coalesce("iou", lit(0)))
     kind = F.when(c("iou") < lit(iou), "miss_recovery").when(c("iou") < lit(low_iou), "box_refinement")

@@ -28,29 +28,23 @@ def two_level_prefix(
     sums: Mapping[str, Column],
     inclusive: bool = True,
 ) -> DataFrame:
-    """Running sums of ``sums`` per ``keys`` in ``order``; ``bucket`` must be a coarsening of that order."""
+    """Running sums of ``sums`` per ``keys`` in ``order``; ``bucket`` must be a coarsening of that order.
+
+    Keys and buckets are one struct, in which nulls are values like others: the join with the totals and the window
+    then need the rows dealt alike, so they are shuffled once.
+    """
     keys = list(keys)
-    marks = [f"_b{i}" for i in range(len(bucket))]
-    vals = [f"_s{i}" for i in range(len(sums))]
-    d = df.select("*", *[b.alias(m) for b, m in zip(bucket, marks)], *[v.alias(n) for v, n in zip(sums.values(), vals)])
-    by_group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    before = by_group.orderBy(*marks).rowsBetween(_START, -1)
-    offsets = (
-        d.groupBy(*keys, *marks)
-        .agg(*[F.sum(n).alias(f"_t{n}") for n in vals])
-        .select(*keys, *marks, *[F.sum(f"_t{n}").over(before).alias(f"_o{n}") for n in vals])
-    )
-    inside = Window.partitionBy(*keys, *marks).orderBy(*order).rowsBetween(_START, 0 if inclusive else -1)
-    # null keys and null buckets are groups like others
-    same = None
-    for k in [*keys, *marks]:
-        offsets = offsets.withColumnRenamed(k, f"_j{k}")
-        both = d[k].eqNullSafe(F.col(f"_j{k}"))
-        same = both if same is None else same & both
-    d = d.join(offsets, same, "left")
+    marks, vals = [f"_b{i}" for i in range(len(bucket))], [f"_s{i}" for i in range(len(sums))]
+    group = F.struct(F.struct(*[F.col(k) for k in keys]) if keys else F.lit(0), F.struct(*[b.alias(m) for b, m in zip(bucket, marks)]))
+    d = df.select("*", group.alias("_g"))
+    before = Window.partitionBy("_g.col1").orderBy("_g.col2").rowsBetween(_START, -1)
+    offsets = d.groupBy("_g").agg(*[F.sum(v).alias(n) for v, n in zip(sums.values(), vals)])
+    offsets = offsets.select("_g", *[F.sum(n).over(before).alias(f"_o{n}") for n in vals])
+    inside = Window.partitionBy("_g").orderBy(*order).rowsBetween(_START, 0 if inclusive else -1)
+    d = d.join(offsets, "_g", "left")
     out = [
-        (F.coalesce(F.col(f"_o{n}"), F.lit(0)) + F.coalesce(F.sum(n).over(inside), F.lit(0))).alias(name)
-        for name, n in zip(sums, vals)
+        (F.coalesce(F.col(f"_o{n}"), F.lit(0)) + F.coalesce(F.sum(v).over(inside), F.lit(0))).alias(name)
+        for (name, v), n in zip(sums.items(), vals)
     ]
     return d.select(*[F.col(x) for x in df.columns], *out)
 

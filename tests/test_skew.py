@@ -281,3 +281,30 @@ def test_substrings_are_not_broadcast(spark):
     t = Tables(spark, "/root/testdata/sf0.001")
     plan = joins.exclude_contained(t.raw_images, t.gold_images)._jdf.queryExecution().sparkPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def shuffles(df):
+    return [x.split("Exchange ")[1] for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning(" in x]
+
+
+def test_running_sums_shuffle_rows_once(spark):
+    """One shuffle for the rows, three for the totals: the window takes the rows as the join with the totals got them."""
+    df = spark.createDataFrame([(1, 1, 1.5), (None, 2, None)], "k int, v int, b double")
+    out = ranking.two_level_prefix(df, ["k"], [F.col("b")], [F.col("v")], {"run": F.col("v")})
+    assert len(shuffles(out)) == 4
+    assert sorted((r.k or 0, r.run) for r in out.collect()) == [(0, 2), (1, 1)]
+
+
+def test_detection_metrics_matches_where_images_lie(spark):
+    """The condition on the class deals no box by class once more."""
+    gt, pred = box_tables(spark, 6, 40)
+    flagged = match.per_image(gt, pred, lambda g, p, pairs: match._flagged(pairs(g, p), p, [0.5]))
+    assert not [x for x in shuffles(flagged) if "cls" in x]
+
+
+def test_threshold_sweep_stores_predictions_and_no_pairs(spark, monkeypatch):
+    gt, pred = box_tables(spark, 6, 40)
+    stored, settle = [], match.settle
+    monkeypatch.setattr(match, "settle", lambda df: stored.append(df.columns) or settle(df))
+    assert match.threshold_sweep(gt, pred).count() > 0
+    assert stored and not [x for x in stored if "iou" in x]
