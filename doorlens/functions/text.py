@@ -65,7 +65,11 @@ def mined_name(tier: Column, file_name="file_name") -> Column:
 
 
 def augmented_name(file_name: Column, profile: Column, index: Column) -> Column:
-    return F.concat(stem(file_name), F.lit("_"), profile, F.lit("_aug_"), index.cast("string"))
+    return augmented_stem(stem(file_name), profile, index)
+
+
+def augmented_stem(name: Column, profile: Column, index: Column) -> Column:
+    return F.concat(name, F.lit("_"), profile, F.lit("_aug_"), index.cast("string"))
 
 
 def frame_name(video: Column, index: Column) -> Column:

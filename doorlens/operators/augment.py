@@ -11,7 +11,7 @@ from doorlens.config import AugmentConfig
 from doorlens.functions import geometry as G
 from doorlens.functions.geometry import c, lit
 from doorlens.functions.hashing import draw, u01
-from doorlens.functions.text import augmented_name
+from doorlens.functions.text import augmented_stem, stem
 from doorlens.operators.repair import once
 
 # Fixed values per profile: flip chance, scale range, share of copies that are scaled, translation, rotation (degrees).
@@ -41,9 +41,10 @@ def augment_plan(images: DataFrame, cfg: AugmentConfig = AugmentConfig()) -> Dat
     """One row per output image: ``copy_no`` 0 is the original, later ones are augmented copies."""
     times = F.when(c("open_cnt") > 0, cfg.open_multiplier).otherwise(cfg.other_multiplier)
     d = images.withColumn("profile", profile_of(cfg)).withColumn("multiplier", times)
+    d = once(d, _stem=stem("file_name"))  # its regular expression runs per image, not per copy
     d = d.withColumn("copy_no", F.explode(F.sequence(F.lit(0), c("multiplier") - 1)))
     name = F.when(c("copy_no") == 0, c("file_name")).otherwise(
-        F.concat(augmented_name(c("file_name"), c("profile"), c("copy_no") - 1), F.lit(".jpg"))
+        F.concat(augmented_stem(c("_stem"), c("profile"), c("copy_no") - 1), F.lit(".jpg"))
     )
     return d.select("image_id", "profile", "multiplier", "copy_no", name.alias("out_name"))
 
@@ -66,18 +67,23 @@ def augment_boxes(plan: DataFrame, boxes: DataFrame, cfg: AugmentConfig = Augmen
     def u(tag: str) -> Column:
         return u01(draw(cfg.seed, F.lit(tag), "image_id", "copy_no"))
 
-    scaled = u("do_scale") < _by_profile(3)
-    factor = F.when(scaled, _by_profile(1) + (_by_profile(2) - _by_profile(1)) * u("scale")).otherwise(lit(1))
+    def spread(i: int, value: Column) -> Column:
+        """A draw is made only where the profile leaves something to draw."""
+        return F.when(_by_profile(i) != 0, value * _by_profile(i)).otherwise(lit(0))
+
+    share, low, high = (_by_profile(i) for i in (3, 1, 2))
+    scaled = (share > 0) & ((share >= 1) | (u("do_scale") < share))
+    factor = F.when(scaled, low + (high - low) * u("scale")).otherwise(lit(1))
     p = copies.select(
         "image_id",
         "profile",
         "copy_no",
         "out_name",
-        (u("flip") < _by_profile(0)).alias("flip"),
+        ((_by_profile(0) > 0) & (u("flip") < _by_profile(0))).alias("flip"),
         factor.alias("s"),
-        ((u("tx") * 2 - 1) * _by_profile(4)).alias("tx"),
-        ((u("ty") * 2 - 1) * _by_profile(4)).alias("ty"),
-        ((u("rot") * 2 - 1) * _by_profile(5) * lit(math.pi / 180)).alias("a"),
+        spread(4, u("tx") * 2 - 1).alias("tx"),
+        spread(4, u("ty") * 2 - 1).alias("ty"),
+        (spread(5, u("rot") * 2 - 1) * lit(math.pi / 180)).alias("a"),
     )
     lo, hi = cfg.margin, 1 - cfg.margin
     base = G.clip_box(G.centre(), lo, hi)

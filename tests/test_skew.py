@@ -308,3 +308,26 @@ def test_threshold_sweep_stores_predictions_and_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(match, "settle", lambda df: stored.append(df.columns) or settle(df))
     assert match.threshold_sweep(gt, pred).count() > 0
     assert stored and not [x for x in stored if "iou" in x]
+
+
+def test_augmented_names_are_parsed_once_an_image(spark):
+    """Augmented boxes: what copies share is made before the copies, and nothing is drawn that the profile fixes."""
+    from doorlens.operators import augment
+
+    cols = "image_id bigint, file_name string, open_cnt bigint, close_cnt bigint, is_type_a boolean, min_open_area double"
+    images = spark.createDataFrame([(1, "a.b.jpg", 0, 1, False, None), (2, "c.png", 1, 1, True, 0.1)], cols)
+    plan = augment.augment_plan(images)
+    names = {(r.image_id, r.copy_no): r.out_name for r in plan.collect()}
+    assert names[(1, 0)] == "a.b.jpg" and names[(2, 2)] == "c_augment_fn_open_aug_1.jpg"
+    lines = plan._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    copies = next(i for i, x in enumerate(lines) if "explode(sequence" in x)
+    assert not [x for x in lines[:copies] if "regexp" in x] and [x for x in lines[copies:] if "regexp" in x]
+
+
+def test_second_stage_runs_the_budget_once(spark):
+    cols = "camera_id bigint, track_id bigint, frame_seq bigint, missed bigint, det_conf double"
+    tracks = spark.createDataFrame([(1, 1, f, 0, 0.9) for f in range(1, 8)], cols)
+    asked = stateful.secondary_budget(tracks).select("camera_id", "track_id", "frame_seq", F.lit("open").alias("label"), F.lit(0.5).alias("cls_conf"))
+    out = stateful.second_stage(tracks, asked)
+    assert "MapInPandas" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {(r.label, r.cls_conf) for r in out.collect()} == {("open", 0.5)}
