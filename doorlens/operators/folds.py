@@ -7,6 +7,7 @@ that one busy camera becomes many independent pieces.
 
 from __future__ import annotations
 
+from operator import attrgetter
 from typing import Any, Callable, Iterator, Sequence
 
 import pandas as pd
@@ -38,20 +39,25 @@ def ordered_fold(
         return pd.DataFrame.from_records(rows, columns=names)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state, waiting = None, None, []
+        current, state, waiting, frame = None, None, [], None
+        key_of, frame_of_row = attrgetter(*keys), attrgetter(group) if group else None
         for pdf in batches:
             out: list[tuple] = []
             for row in pdf.itertuples(index=False):
-                key = tuple(getattr(row, k) for k in keys)
-                if waiting and (key != current or getattr(row, group) != getattr(waiting[0], group)):
+                key = key_of(row)
+                if group is None:
+                    if key != current:
+                        current, state = key, start()
+                    out += step(state, row)
+                    continue
+                if waiting and (key != current or frame_of_row(row) != frame):
                     out += step(state, waiting)
                     waiting = []
                 if key != current:
                     current, state = key, start()
-                if group is None:
-                    out += step(state, row)
-                else:
-                    waiting.append(row)
+                if not waiting:
+                    frame = frame_of_row(row)
+                waiting.append(row)
             if out:
                 yield frame_of(out)
         if waiting:
